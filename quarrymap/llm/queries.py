@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,20 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.common import crc_fold
+    from quarrymap.llm.langid import identify, train
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id", 3) == 1)
+    return identify(docs, train(docs.filter(~F.col("held_out"))), keep=["held_out"])
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.quality import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of the packed id matrices (documents end with <|endoftext|>, which also pads)."""
     from quarrymap.llm.token_rows import packed_rows
@@ -32,6 +47,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_round_trip, op9_token_rows, op10_packing)
+    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op6_quality_rules, op9_token_rows, op10_packing)
 }
 ORACLES: dict[str, str] = {}
