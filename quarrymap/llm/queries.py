@@ -27,12 +27,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.filter(~F.col("held_out"))), keep=["held_out"])
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.html_extract import extract_main_text
+
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymap.llm.quality import quality_rules
 
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.common import crc_fold
+    from quarrymap.llm.toxicity import score_documents, train
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id", 5) == 0)
+    model = train(docs.filter(~F.col("held_out")), read(spark, sf_dir, "labels"))
+    return score_documents(docs, model, keep=["held_out"])
+
+
 def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of the packed id matrices (documents end with <|endoftext|>, which also pads)."""
     from quarrymap.llm.token_rows import packed_rows
@@ -47,6 +62,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op6_quality_rules, op9_token_rows, op10_packing)
+    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op4_html_extraction, op6_quality_rules, op7_toxicity, op9_token_rows, op10_packing)
 }
 ORACLES: dict[str, str] = {}
