@@ -33,6 +33,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymap.llm.quality import quality_rules
 
@@ -62,6 +68,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op4_html_extraction, op6_quality_rules, op7_toxicity, op9_token_rows, op10_packing)
+    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op9_token_rows, op10_packing)
+}
+ORACLES: dict[str, str] = {
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id AS id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            GROUP BY vec_id
+        ), s AS (
+            SELECT q.id AS query_id, p.id AS vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+            FROM v q JOIN v p ON q.id % 50 = 0 AND p.id <> q.id
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
-ORACLES: dict[str, str] = {}
