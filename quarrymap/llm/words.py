@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 700_000
+CACHE = 900_000
 LONGEST = 64
 LINE = 1000
 MARKS = frozenset(".,;:!?")
@@ -57,11 +57,18 @@ class WordIds:
         Words of letters alone are one pre-token, so many are encoded as one line and cut where
         pre-tokens end; a chunk of letters and one punctuation mark is its two parts' ids in a row.
         """
-        cache = self.cache
-        marked = {w: (w[:-1], w[-1]) for w in new if w[-1] in MARKS and w[:-1].isalpha()}
-        parts = dict.fromkeys(x for pair in marked.values() for x in pair if x not in cache)
-        letters = [w for w in {*(w for w in new if w not in marked), *parts} if w.isalpha()]
-        others = [w for w in {*(w for w in new if w not in marked), *parts} if not w.isalpha()]
+        cache, letters, others, marked = self.cache, set(), [], []
+        for w in new:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1] in MARKS and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in cache:
+                    letters.add(w[:-1])
+            else:
+                others.append(w)
+        others += [m for m in MARKS if marked and m not in cache]
+        letters = list(letters)
         for k in range(0, len(letters), LINE):
             line = letters[k : k + LINE]
             ids = np.array(self.lib.encode(" ".join(line), add_special_tokens=False).ids, "<u4")
@@ -74,19 +81,24 @@ class WordIds:
             cache.update(zip(line, [raw[a:b] for a, b in zip([0, *stops], stops)]))
         for k in range(0, len(others), 5000):
             cache.update(zip(others[k : k + 5000], self.whole(others[k : k + 5000])))
-        for w, (word, mark) in marked.items():
-            cache[w] = cache[word] + cache[mark]
+        for w in marked:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
+        cache, find = self.cache, self.cache.get
         odd = [bool(ODD.search(t)) or any(s in t for s in self.special) for t in texts]
         cut = [[] if o else t.split() for t, o in zip(texts, odd)]
-        new = list({w for words in cut for w in words if w not in cache})
+        found = [list(map(find, words)) for words in cut]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = list({words[i] for words, at in zip(cut, holes) for i in at})
         self.learn(new)
-        out = [b"".join(map(cache.__getitem__, words)) for words in cut]
+        for ids, words, at in zip(found, cut, holes):
+            for i in at:
+                ids[i] = cache[words[i]]
+        out = list(map(b"".join, found))
         for w in new:
             if len(w) > LONGEST:
                 del cache[w]
