@@ -54,6 +54,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model, keep=["held_out"])
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.suffix_dedup import span_digests
+
+    return span_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of the packed id matrices (documents end with <|endoftext|>, which also pads)."""
     from quarrymap.llm.token_rows import packed_rows
@@ -68,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op9_token_rows, op10_packing)
+    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op8_suffix_dedup, op9_token_rows, op10_packing)
 }
 ORACLES: dict[str, str] = {
     "op5_top_k": """
