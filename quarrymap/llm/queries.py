@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.ngram_join import near_duplicate_classes
+
+    return near_duplicate_classes(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymap.llm.bpe import round_trip_digests
 
@@ -74,7 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op8_suffix_dedup, op9_token_rows, op10_packing)
+    f.__name__: f for f in (op1_ngram_join, op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op8_suffix_dedup, op9_token_rows, op10_packing)
 }
 ORACLES: dict[str, str] = {
     "op5_top_k": """
