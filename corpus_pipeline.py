@@ -11,15 +11,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrymap.llm.common import materialize
+from quarrymap.llm.ngram_join import keep_one
 from quarrymap.llm.packing import pack_documents
+from quarrymap.llm.quality import keep_good
+from quarrymap.llm.suffix_dedup import remove_repeats
+from quarrymap.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network (operator 7) doesn't reject."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the weakly supervised verdict (operator 6)."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component (operator 1)."""
+    return keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings of 200 bytes or more that occur elsewhere (operator 8)."""
+    return remove_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of what is left (ids end with 1)."""
+    """Pieces of packed sequences of what is left (operator 10; ids end with 1)."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeats),
+    ("packing", packing),
+]
 
 #: Trained models, tokenizer files and suffix work can't be expressed in SQL; tests hold stages against brute force.
 ORACLE_SQL = None

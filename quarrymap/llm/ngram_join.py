@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymap.llm.common import materialize
@@ -192,7 +192,7 @@ def runs(sizes: list[int], limit: int) -> Iterator[slice]:
 
 
 def set_stats(docs: DataFrame) -> DataFrame:
-    """(id, n, fa, fb, need0, need1, sketch) of every row of `docs` (id, text)."""
+    """(id, tfp, n, fa, fb, need0, need1, sketch) of every row of `docs` (id, text, tfp)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -204,9 +204,9 @@ def set_stats(docs: DataFrame) -> DataFrame:
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (h, mixed(h ^ ODD))]
                 fa, fb = ((x[ends] - x[ends - counts]).view(np.int64) for x in sums)
                 sketches = [parity_sketch(h[e - n : e], n) for e, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0)[s], *(pa.array(x, pa.int64()) for x in (counts, fa, fb, need[:, 0], need[:, 1])), pa.array(sketches, pa.binary())], names=["id", "n", "fa", "fb", "need0", "need1", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[s], b.column(2)[s], *(pa.array(x, pa.int64()) for x in (counts, fa, fb, need[:, 0], need[:, 1])), pa.array(sketches, pa.binary())], names=["id", "tfp", "n", "fa", "fb", "need0", "need1", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, fa long, fb long, need0 long, need1 long, sketch binary")
+    return docs.select("id", "text", "tfp").mapInArrow(run, "id long, tfp long, n long, fa long, fb long, need0 long, need1 long, sketch binary")
 
 
 def by_bucket(bucket: np.ndarray, names: list[str], columns: list[np.ndarray], **more: int) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, signature binary, id binary, view binary")
+    return docs.select("id", "text").mapInArrow(run, "bucket int, signature binary, id binary, view binary")
 
 
 def unpacked(rows: list[tuple], kinds: list[type]) -> list[np.ndarray]:
@@ -411,9 +411,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tfp, n, fa, fb, component) of every row; tfp is the hash of the row's text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tfp"))
     stats = materialize(set_stats(rows), "stats")
     docs = rows.filter(F.col("id").isNotNull())
     # Rows that share an id but not their text are kept apart by the set's fingerprint.
@@ -437,4 +438,24 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     member = stats.join(classes.select("fa", "fb", "n", F.col("id").alias("rep")), ["fa", "fb", "n"], "left")
     member = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return member.select("id", "tfp", "n", "fa", "fb", component.alias("component"))
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    return classify(df, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `df`, all columns, less all but one row of each component: the least id's, of those the least text hash's.
+
+    Rows with a null id or no word stay.
+    """
+    found = classify(df, id_col, text_col).filter("id = component AND n > 0")
+    first = found.groupBy("id", "fa", "fb", "n").agg(F.min("tfp").alias("__tfp")).select(F.col("id").alias("__id"), "__tfp", F.lit(True).alias("__first")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.withColumns({"__id": F.col(id_col).cast("long"), "__tfp": F.xxhash64(text)})
+    free = F.col("__id").isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
+    joined = keyed.withColumn("__free", free).join(first, ["__id", "__tfp"], "left").filter(F.col("__free") | F.col("__first"))
+    nth = F.row_number().over(Window.partitionBy("__id", "__tfp").orderBy(F.lit(1)))
+    return joined.withColumn("__nth", nth).filter(F.col("__free") | (F.col("__nth") == 1)).select(*df.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import texts_of
+from quarrymap.llm.common import crc_fold, texts_of
 
 WINDOW, STRIDE = 32, 16
 VOCABULARY, MIN_DOCS = 4000, 4
@@ -301,3 +301,13 @@ def score_documents(df: DataFrame, model: tuple[Network | None, float], keep: li
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col, *keep])
     return df.select(id_col, text_col, *keep).mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:
+    """Rows of `df`, all columns, that are not predicted toxic; labels of fold 0 are not learnt."""
+    model = train(df.filter(crc_fold(id_col, fold) != 0), labels, id_col, text_col)
+    row = "__row"
+    while row in df.columns:
+        row += "_"
+    scored = score_documents(df.withColumn(row, F.struct(*(F.col(c) for c in df.columns))), model, [row], id_col, text_col)
+    return scored.filter("predicted = 0").select(f"{row}.*")
