@@ -1,10 +1,600 @@
-"""Registered queries over the driver's tables and their SQL twins."""
+"""Registered queries over the driver's tables: each operator on whole tables, with its SQL twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarrymap.functions import paths, text, urls
+from quarrymap.operators import answers, catalog, chunks, classify, graph, modules, retrieval, store, summary
+from quarrymap.plans import synthetic as syn
+from quarrymap.schemas import IMPORT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+EDGES, THIN = syn.edges_sql(), syn.edges_sql(8)
+FILES = syn.files_sql()
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- graph ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT path, category, importance_score, importance_reason, is_entry_point FROM ({FILES}) WHERE NOT is_test ORDER BY importance_score DESC, path LIMIT 12")
+def important_files_topk(spark, sf):
+    return summary.important_files(syn.files(spark, sf)).select("path", "category", "importance_score", "importance_reason", "is_entry_point")
+
+
+@query(f"SELECT path, importance_score, importance_reason FROM ({FILES})")
+def importance_score(spark, sf):
+    return syn.files(spark, sf).select("path", "importance_score", "importance_reason")
+
+
+@query(f"""
+    SELECT n.path, coalesce(i.d, 0) AS incoming_count, coalesce(o.d, 0) AS outgoing_count FROM ({syn.NODES}) n
+    LEFT JOIN (SELECT target_path AS path, count(DISTINCT source_path) AS d FROM ({EDGES}) GROUP BY 1) i USING (path)
+    LEFT JOIN (SELECT source_path AS path, count(DISTINCT target_path) AS d FROM ({EDGES}) GROUP BY 1) o USING (path)""")
+def degree_counts(spark, sf):
+    return graph.degrees(syn.nodes(spark, sf), syn.edges(spark, sf)).select("path", "incoming_count", "outgoing_count")
+
+
+@query(EDGES)
+def edge_dedupe(spark, sf):
+    return syn.edges(spark, sf).select("source_path", "target_path", "imported_module", "line_number")
+
+
+@query(f"""
+    SELECT count(*) AS python_file_count, CAST(sum(line_count) AS BIGINT) AS lines_of_python, (SELECT count(*) FROM ({EDGES})) AS internal_dependency_edges,
+           count(*) FILTER (is_entry_point) AS entry_point_count, count(*) FILTER (is_test) AS test_file_count, count(*) FILTER (parse_status <> 'ok') AS parse_warning_count
+    FROM ({syn.NODES})""")
+def run_statistics(spark, sf):
+    rows = syn.nodes(spark, sf)
+    return summary.statistics(rows, syn.edges(spark, sf), rows.limit(0)).drop("analysis_id", "chunk_count")
+
+
+@query(f"SELECT category, count(*) AS files FROM ({syn.NODES}) GROUP BY 1")
+def category_counts(spark, sf):
+    return summary.category_counts(syn.nodes(spark, sf)).drop("analysis_id")
+
+
+@query(f"""
+    SELECT path, category, is_entry_point, CASE WHEN is_entry_point THEN 'Detected entry point — a natural place to begin.' ELSE importance_reason END AS why FROM ({FILES}) WHERE NOT is_test
+    ORDER BY CASE WHEN is_entry_point THEN 0 WHEN category IN ('API / Routes', 'Services', 'Core / Domain', 'Configuration') THEN 1 ELSE 2 END, importance_score DESC, path LIMIT 8""")
+def start_here(spark, sf):
+    return summary.start_here(syn.files(spark, sf)).select("path", "category", "is_entry_point", "why")
+
+
+@query(f"SELECT category, path, importance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY importance_score DESC, path) AS rank FROM ({FILES})) WHERE rank <= 5")
+def top_files_per_category(spark, sf):
+    order = Window.partitionBy("category").orderBy(F.desc("importance_score"), "path")
+    return syn.files(spark, sf).withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 5").select("category", "path", "importance_score", "rank")
+
+
+SELECTED = "part % 100 = 7"
+DEPENDENTS = f"""
+    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), s AS (SELECT path AS selected FROM ({syn.NODES}) WHERE {SELECTED}),
+    d1 AS (SELECT selected, source_path AS dependent FROM s JOIN e ON e.target_path = selected),
+    d2 AS (SELECT DISTINCT selected, e.source_path AS dependent FROM d1 JOIN e ON e.target_path = dependent WHERE e.source_path <> selected
+           AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.selected = d1.selected AND x.dependent = e.source_path)),
+    d AS (SELECT selected, dependent, 1 AS depth FROM d1 UNION ALL SELECT selected, dependent, 2 FROM d2)"""
+
+
+def _selected(spark, sf):
+    return syn.nodes(spark, sf).filter(SELECTED)
+
+
+@query(f"{DEPENDENTS} SELECT selected, dependent FROM d WHERE depth = 1")
+def impact_direct(spark, sf):
+    return graph.dependents(syn.edges(spark, sf), _selected(spark, sf)).filter("depth = 1").select("selected", "dependent")
+
+
+@query(f"{DEPENDENTS} SELECT selected, dependent FROM d WHERE depth = 2")
+def impact_second_level(spark, sf):
+    return graph.dependents(syn.edges(spark, sf), _selected(spark, sf)).filter("depth = 2").select("selected", "dependent")
+
+
+@query(f"""{DEPENDENTS}
+    SELECT selected AS selected_path, coalesce(string_agg(dependent, ',' ORDER BY dependent) FILTER (is_test), '') AS related_tests, coalesce(string_agg(dependent, ',' ORDER BY dependent) FILTER (is_entry_point), '') AS affected_entry_points
+    FROM s LEFT JOIN d USING (selected) LEFT JOIN ({syn.NODES}) n ON n.path = dependent GROUP BY 1""")
+def impact_tests_entries(spark, sf):
+    found = graph.change_impact(syn.nodes(spark, sf), syn.edges(spark, sf), _selected(spark, sf))
+    return found.select("selected_path", F.array_join("related_tests", ",").alias("related_tests"), F.array_join("affected_entry_points", ",").alias("affected_entry_points"))
+
+
+@query(f"""
+    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({THIN})), d1 AS (SELECT target_path AS selected, source_path AS dependent FROM e),
+    d2 AS (SELECT DISTINCT d1.selected, e.source_path AS dependent FROM d1 JOIN e ON e.target_path = d1.dependent WHERE e.source_path <> d1.selected),
+    d AS (SELECT selected, dependent, min(depth) AS depth FROM (SELECT selected, dependent, 1 AS depth FROM d1 UNION ALL SELECT selected, dependent, 2 FROM d2) GROUP BY 1, 2)
+    SELECT selected, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth = 2) AS second_level FROM d GROUP BY 1""")
+def impact_all_counts(spark, sf):
+    found = graph.dependents(syn.edges(spark, sf, 8), syn.nodes(spark, sf))
+    return found.groupBy("selected").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("second_level"))
+
+
+@query(f"""
+    WITH RECURSIVE e AS (SELECT DISTINCT source_path, target_path FROM ({THIN})),
+    r AS (SELECT path AS selected, path AS dependent, 0 AS depth FROM ({syn.NODES}) WHERE {SELECTED}
+          UNION SELECT r.selected, e.source_path, r.depth + 1 FROM r JOIN e ON e.target_path = r.dependent WHERE r.depth < 3)
+    SELECT selected, dependent, min(depth) AS depth FROM r WHERE dependent <> selected GROUP BY 1, 2""")
+def impact_depth_n(spark, sf):
+    return graph.reachable(syn.edges(spark, sf, 8), _selected(spark, sf), 3).select("selected", "dependent", "depth")
+
+
+@query(f"""
+    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), s AS (SELECT path AS selected FROM ({syn.NODES}) WHERE {SELECTED}),
+    d AS (SELECT selected, source_path AS dep, row_number() OVER (PARTITION BY selected ORDER BY source_path) AS dep_rank FROM s JOIN e ON e.target_path = selected),
+    n AS (SELECT d.*, e.source_path AS nxt, row_number() OVER (PARTITION BY selected, dep ORDER BY e.source_path) AS step FROM d JOIN e ON e.target_path = dep WHERE dep_rank <= 8),
+    p AS (SELECT selected, dep_rank, 0 AS step, selected || ' ' || dep AS nodes FROM d WHERE dep_rank <= 8 UNION ALL SELECT selected, dep_rank, step, selected || ' ' || dep || ' ' || nxt FROM n WHERE step <= 2 AND nxt <> selected),
+    c AS (SELECT selected, dep_rank, sum(count(*)) OVER (PARTITION BY selected ORDER BY dep_rank) - count(*) AS before FROM p GROUP BY 1, 2)
+    SELECT p.selected, CAST(p.dep_rank AS INTEGER) AS dep_rank, CAST(p.step AS INTEGER) AS step, nodes FROM p JOIN c USING (selected, dep_rank) WHERE before < 12""")
+def representative_paths(spark, sf):
+    return graph.representative_paths(syn.edges(spark, sf), _selected(spark, sf)).select("selected", "dep_rank", "step", F.array_join("nodes", " ").alias("nodes"))
+
+
+@query(f"""
+    WITH s AS (SELECT path FROM ({syn.NODES}) WHERE {SELECTED}), e AS ({EDGES})
+    SELECT DISTINCT path FROM (SELECT target_path AS path FROM e WHERE source_path IN (FROM s) UNION ALL SELECT source_path FROM e WHERE target_path IN (FROM s)) WHERE path NOT IN (FROM s)""")
+def neighbors_undirected(spark, sf):
+    return graph.neighbours(syn.edges(spark, sf), _selected(spark, sf)).select("path")
+
+
+@query(f"""
+    WITH n AS (SELECT path FROM ({FILES}) WHERE NOT is_test ORDER BY importance_score DESC, path LIMIT 200)
+    SELECT source_path, target_path, imported_module, line_number FROM ({EDGES}) WHERE source_path IN (FROM n) AND target_path IN (FROM n)""")
+def induced_subgraph(spark, sf):
+    top = summary.important_files(syn.files(spark, sf), 200)
+    return graph.induced_edges(syn.edges(spark, sf), top).select("source_path", "target_path", "imported_module", "line_number")
+
+
+@query(f"""
+    WITH f AS (SELECT * FROM ({FILES}) WHERE NOT is_test), r AS (SELECT path, row_number() OVER (ORDER BY is_entry_point DESC, importance_score DESC, path) AS rank FROM f),
+    p AS (SELECT DISTINCT source_path, target_path FROM ({THIN})),
+    ev AS (SELECT rank, 0 AS side, path AS node FROM r
+           UNION ALL SELECT rank, 1, target_path FROM r JOIN p ON source_path = path WHERE target_path IN (SELECT path FROM f)
+           UNION ALL SELECT rank, 2, source_path FROM r JOIN p ON target_path = path WHERE source_path IN (SELECT path FROM f)),
+    c AS (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY rank, side, node) = 1 AS INTEGER) AS new FROM ev),
+    k AS (SELECT *, sum(new) OVER w AS n, row_number() OVER w AS at FROM c WINDOW w AS (ORDER BY rank, side, node ROWS UNBOUNDED PRECEDING)),
+    stop AS (SELECT min(CASE WHEN side > 0 AND n >= 50 THEN at WHEN side = 0 AND n - new >= 50 THEN at - 1 END) AS stop FROM k)
+    SELECT DISTINCT node AS path, (SELECT count(DISTINCT node) FROM k, stop WHERE at <= stop) < (SELECT count(*) FROM r) AS truncated FROM k, stop WHERE at <= stop""")
+def bounded_subgraph(spark, sf):
+    return graph.subgraph_nodes(syn.files(spark, sf), syn.edges(spark, sf, 8)).select("path", "truncated")
+
+
+@query(f"""
+    WITH e AS ({EDGES})
+    SELECT n.path, coalesce((SELECT string_agg(target_path, ',' ORDER BY target_path) FROM e WHERE source_path = n.path), '') AS dependencies,
+           coalesce((SELECT string_agg(source_path, ',' ORDER BY source_path) FROM e WHERE target_path = n.path), '') AS importers
+    FROM ({syn.NODES}) n WHERE {SELECTED}""")
+def file_detail_neighbors(spark, sf):
+    found = catalog.file_neighbours(syn.edges(spark, sf), _selected(spark, sf))
+    return found.select("path", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("importers", ",").alias("importers"))
+
+
+# -- catalog -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT path, importance_score, line_count FROM ({FILES}) ORDER BY line_count, path LIMIT 25 OFFSET 50")
+def file_list_page(spark, sf):
+    return catalog.file_page(syn.files(spark, sf), 3, 25, "lines", "asc").select("path", "importance_score", "line_count")
+
+
+@query(f"SELECT path, category, importance_score FROM ({FILES}) WHERE path ILIKE '%API/M_1%' AND NOT is_test AND parse_status = 'ok'")
+def file_list_filtered(spark, sf):
+    return catalog.filter_files(syn.files(spark, sf), search="API/M_1", tests=False, parse_status="ok").select("path", "category", "importance_score")
+
+
+@query(f"SELECT count(*) AS files FROM ({syn.NODES}) WHERE category = 'Services' AND path ILIKE '%m1%'")
+def file_count_filtered(spark, sf):
+    return catalog.count_files(catalog.filter_files(syn.nodes(spark, sf), search="m1", category="Services")).select("files")
+
+
+@query(f"SELECT path, concat_ws(',', CASE WHEN is_entry_point THEN 'entry point' END, CASE WHEN is_test THEN 'test' END, CASE WHEN parse_status <> 'ok' THEN 'parse warning' END) AS flags FROM ({syn.NODES})")
+def file_flags(spark, sf):
+    return syn.nodes(spark, sf).select("path", F.array_join(catalog.flags(), ",").alias("flags"))
+
+
+@query("""
+    SELECT DISTINCT o_custkey, o_orderstatus FROM orders o WHERE NOT EXISTS (
+        SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_custkey = o.o_custkey AND f.o_orderpriority = o.o_orderpriority AND year(f.o_orderdate) = year(o.o_orderdate))""")
+def cache_miss_antijoin(spark, sf):
+    rows = syn.table(spark, sf, "orders").select(F.col("o_custkey").alias("repository_id"), F.col("o_orderpriority").alias("commit_sha"), F.year("o_orderdate").alias("analyzer_version"), "o_orderstatus")
+    done = rows.withColumn("status", F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed"))
+    return catalog.cache_misses(rows, done).select(F.col("repository_id").alias("o_custkey"), "o_orderstatus").distinct()
+
+
+@query("""
+    SELECT o_orderkey, o_custkey, running_rows, round(running_size, 2) AS running_size, running_rows <= 5 AND running_size <= 500000 AS within FROM (
+        SELECT *, count(*) OVER w AS running_rows, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w / 100.0::DOUBLE AS running_size FROM orders
+        WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))""")
+def running_cap(spark, sf):
+    rows = syn.table(spark, sf, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    capped = store.running_cap(rows, ["o_custkey"], ["o_orderkey"], "cents", 5, 50_000_000)
+    return capped.select("o_orderkey", "o_custkey", "running_rows", F.round(F.col("running_size") / 100.0, 2).alias("running_size"), "within")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def repository_upsert_latest(spark, sf):
+    return store.latest(syn.table(spark, sf, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT user_id, event_type AS status, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def current_status(spark, sf):
+    rows = syn.table(spark, sf, "events").select(F.col("user_id").alias("analysis_id"), F.col("event_type").alias("status"), F.col("event_id").alias("stage"), F.lit(0).alias("progress"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    return store.current_status(rows).select(F.col("analysis_id").alias("user_id"), "status", F.col("stage").alias("seq"))
+
+
+# -- paths and modules ---------------------------------------------------------------------------
+
+#: Each file, and for some a package file or a twin outside src, so that modules collide.
+TREE = f"""
+    SELECT path FROM ({syn.NODES}) UNION ALL SELECT replace(path, '.py', '/__init__.py') FROM ({syn.NODES}) WHERE part % 5 = 0
+    UNION ALL SELECT replace(path, 'src/', '') FROM ({syn.NODES}) WHERE part % 7 = 0 UNION ALL SELECT replace(path, '.py', '.txt') FROM ({syn.NODES}) WHERE part % 11 = 0"""
+MODULE = "nullif(replace(regexp_replace(regexp_replace(regexp_replace(path, '^src/', ''), '(^|/)__init__\\.py$', ''), '\\.py$', ''), '/', '.'), '')"
+
+
+def _tree(spark, sf):
+    rows = syn.nodes(spark, sf)
+    one = lambda cond, path: rows.filter(cond).select("analysis_id", path.alias("path"))
+    swap = lambda a, b: F.replace("path", F.lit(a), F.lit(b))
+    return rows.select("analysis_id", "path").unionByName(one("part % 5 = 0", swap(".py", "/__init__.py"))).unionByName(one("part % 7 = 0", swap("src/", ""))).unionByName(one("part % 11 = 0", swap(".py", ".txt")))
+
+
+@query(f"SELECT path, CASE WHEN path LIKE '%.py' THEN {MODULE} END AS module FROM ({TREE})")
+def path_to_module(spark, sf):
+    return _tree(spark, sf).select("path", paths.module_name(F.col("path")).alias("module"))
+
+
+@query(f"SELECT module, arg_min(path, string_split(path, '/')) AS path FROM (SELECT path, {MODULE} AS module FROM ({TREE}) WHERE path LIKE '%.py') GROUP BY 1")
+def module_map_first_wins(spark, sf):
+    return modules.module_map(_tree(spark, sf)).select("module", "path")
+
+
+@query(f"SELECT path, regexp_matches(lower(path), '(^|/)tests?(/|$)|(^|/)test_[^/]*$|_test\\.py$') AS is_test FROM (SELECT replace(path, '/m', CASE part % 4 WHEN 0 THEN '/test_m' WHEN 1 THEN '/Tests/m' ELSE '/m' END) AS path FROM ({syn.NODES}))")
+def is_test_path(spark, sf):
+    kind = F.col("part") % 4
+    path = F.replace("path", F.lit("/m"), F.when(kind == 0, "/test_m").when(kind == 1, "/Tests/m").otherwise("/m"))
+    return syn.nodes(spark, sf).select(path.alias("path")).select("path", paths.is_test_path(F.col("path")).alias("is_test"))
+
+
+VARIED = ["main", "conf", "settings", "cli", "scripts/run", "migrations/0001", "helpers/x", "app", "views/v"]
+
+
+def _varied(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, VARIED)), (F.col("part") % len(VARIED) + 1).cast("int"))
+    return syn.nodes(spark, sf).select("part", F.concat(paths.directory(F.col("path")), F.lit("/"), name, F.lit(".py")).alias("path"), "is_entry_point")
+
+
+VARIED_SQL = f"SELECT part, regexp_replace(path, '/[^/]*$', '') || '/' || (['{"', '".join(VARIED)}'])[part % {len(VARIED)} + 1] || '.py' AS path, is_entry_point FROM ({syn.NODES})"
+ARMS = "\n".join(
+    f"WHEN list_has_any(low, {dirs}) OR name IN ({', '.join(repr(n) for n in names) or 'NULL'}) THEN '{category}'" for category, dirs, names, _ in classify.BY_PATH
+)
+
+
+@query(f"""
+    SELECT part, path, CASE WHEN regexp_matches(lower(path), '(^|/)tests?(/|$)|(^|/)test_[^/]*$|_test\\.py$') THEN 'Tests' WHEN is_entry_point THEN 'Entry Point'
+        WHEN list_contains(low, 'migrations') OR (name LIKE '0%' AND lower(path) LIKE '%alembic%') THEN 'Migrations' {ARMS} ELSE 'Other' END AS category
+    FROM (SELECT *, string_split(lower(path), '/') AS low, list_extract(string_split(lower(path), '/'), -1) AS name FROM ({VARIED_SQL}))""")
+def classify_by_path(spark, sf):
+    none = F.array().cast("array<string>")
+    symbols = F.array().cast("array<struct<name:string,decorators:array<string>>>")
+    return _varied(spark, sf).select("part", "path", classify.classify(F.col("path"), F.col("is_entry_point"), symbols, none).category.alias("category"))
+
+
+@query(f"""
+    SELECT part, path, CASE WHEN name IN ('__main__.py', 'manage.py', 'wsgi.py', 'asgi.py') THEN 'high' WHEN name IN ('main.py', 'app.py', 'server.py', 'cli.py') THEN 'medium' END AS confidence,
+           CASE WHEN name IN ('main.py', 'app.py', 'server.py', 'cli.py', 'manage.py', 'wsgi.py', 'asgi.py', '__main__.py') THEN 'Filename matches common entry-point pattern (' || name || ')' ELSE '' END AS reasons
+    FROM (SELECT *, list_extract(string_split(path, '/'), -1) AS name FROM ({VARIED_SQL}))""")
+def entry_filename(spark, sf):
+    none = F.array().cast("array<string>")
+    reasons = classify.entry_reasons(F.col("path"), F.lit(False), none, none, none)
+    return _varied(spark, sf).select("part", "path", classify.entry_confidence(F.col("path"), reasons).alias("confidence"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def _odd(spark, sf):
+    kind = F.col("part") % 6
+    odd = F.when(kind == 0, F.concat(F.lit("/"), "path")).when(kind == 1, F.concat(F.lit("../"), "path")).when(kind == 2, F.concat(F.lit("C:/"), "path")).when(kind == 3, F.replace("path", F.lit("/"), F.lit("\\"))).when(kind == 4, F.replace("path", F.lit("/m"), F.lit("/../m"))).otherwise(F.col("path"))
+    return syn.nodes(spark, sf).select("part", odd.alias("path"))
+
+
+ODD = f"SELECT part, CASE part % 6 WHEN 0 THEN '/' || path WHEN 1 THEN '../' || path WHEN 2 THEN 'C:/' || path WHEN 3 THEN replace(path, '/', chr(92)) WHEN 4 THEN replace(path, '/m', '/../m') ELSE path END AS path FROM ({syn.NODES})"
+
+
+@query(f"SELECT part, path, path <> '' AND left(path, 1) NOT IN ('/', chr(92)) AND substr(path, 2, 1) <> ':' AND NOT list_contains(string_split(replace(path, chr(92), '/'), '/'), '..') AS safe FROM ({ODD})")
+def safe_path_filter(spark, sf):
+    return _odd(spark, sf).select("part", "path", paths.is_safe_relative(F.col("path")).alias("safe"))
+
+
+@query(f"SELECT part, array_to_string(list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda x: x NOT IN ('', '.'))[2:], '/') AS path FROM ({ODD})")
+def strip_component(spark, sf):
+    return _odd(spark, sf).select("part", paths.strip_first_component(F.col("path")).alias("path"))
+
+
+@query(f"SELECT path, 'https://github.com/o/r/blob/abc/' || path AS link, array_to_string(string_split(path, '/')[:-2], '/') AS directory, list_extract(string_split(path, '/'), -1) AS basename FROM ({syn.NODES})")
+def path_display(spark, sf):
+    p = F.col("path")
+    return syn.nodes(spark, sf).select("path", paths.source_link(F.lit("https://github.com/o/r"), F.lit("abc"), p).alias("link"), paths.directory(p).alias("directory"), paths.basename(p).alias("basename"))
+
+
+# -- imports -------------------------------------------------------------------------------------
+
+DOTTED = "replace(replace(replace(target_path, 'src/', ''), '.py', ''), '/', '.')"
+
+
+def _imports(spark, sf):
+    """Every edge as an import statement: absolute, from a module, from a package, relative, or external."""
+    e = syn.edges(spark, sf, 8)
+    kind = F.col("imported_module").cast("long") / 8 % 5
+    kind = kind.cast("int")
+    dotted = paths.module_name(F.col("target_path"))
+    package, leaf = F.regexp_replace(dotted, r"\.[^.]*$", ""), F.regexp_extract(dotted, r"[^.]*$", 0)
+    module = F.when(kind == 0, dotted).when(kind == 1, dotted).when(kind == 2, package).when(kind == 3, dotted).otherwise(F.concat(F.lit("ext_"), leaf))
+    names = F.when(kind == 1, F.array(F.lit("thing"))).when(kind == 2, F.array(leaf, F.lit("nothing"))).otherwise(F.array(leaf))
+    level = F.when(kind == 3, 3).otherwise(0)
+    n = F.row_number().over(Window.partitionBy("source_path").orderBy("imported_module", "line_number", "target_path"))
+    i = F.struct(module.alias("module"), names.alias("names"), level.alias("level"), "line_number", kind.isin(1, 2, 3).alias("is_from"), F.lit("").alias("raw"))
+    parsed = e.withColumns({"n": n, "i": i}).groupBy("analysis_id", F.col("source_path").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "i"))), lambda x: x.i).cast(f"array<{IMPORT}>").alias("imports"))
+    return modules.import_rows(parsed), modules.module_map(syn.nodes(spark, sf))
+
+
+def _resolved(spark, sf):
+    return modules.resolve_imports(*_imports(spark, sf))
+
+
+KINDS = f"SELECT *, CAST(CAST(imported_module AS BIGINT) // 8 % 5 AS INTEGER) AS kind, {DOTTED} AS dotted FROM ({THIN})"
+
+
+@query(f"SELECT source_path, dotted AS imported_module, target_path, line_number, 'high' AS confidence FROM ({KINDS}) WHERE kind IN (0, 1)")
+def resolve_absolute(spark, sf):
+    imports, known = _imports(spark, sf)
+    direct = imports.filter("level = 0 AND (NOT is_from OR names[0] = 'thing')")
+    return modules.resolve_imports(direct, known).filter("is_internal").select("source_path", "imported_module", "target_path", "line_number", "confidence")
+
+
+@query(f"SELECT source_path, dotted AS imported_module, target_path, line_number FROM ({KINDS}) WHERE kind = 3")
+def resolve_relative(spark, sf):
+    imports, known = _imports(spark, sf)
+    return modules.resolve_imports(imports.filter("level > 0"), known).select("source_path", "imported_module", "target_path", "line_number")
+
+
+@query(f"SELECT source_path, dotted AS imported_module, list_extract(string_split(dotted, '.'), -1) AS imported_names, target_path, line_number FROM ({KINDS}) WHERE kind = 2")
+def resolve_fallback(spark, sf):
+    imports, known = _imports(spark, sf)
+    below = modules.resolve_imports(imports.filter("is_from AND size(names) = 2"), known)
+    return below.select("source_path", "imported_module", F.array_join("imported_names", ",").alias("imported_names"), "target_path", "line_number")
+
+
+@query(f"SELECT source_path AS path, string_agg(DISTINCT 'ext_' || list_extract(string_split(dotted, '.'), -1), ',' ORDER BY 'ext_' || list_extract(string_split(dotted, '.'), -1)) AS external_imports FROM ({KINDS}) WHERE kind = 4 GROUP BY 1")
+def external_imports(spark, sf):
+    return modules.external_imports(_resolved(spark, sf)).select("path", F.array_join("external_imports", ",").alias("external_imports"))
+
+
+@query(f"SELECT unresolved_reason, count(*) AS rows FROM (SELECT CASE WHEN kind = 4 THEN 'external_or_unresolved' ELSE 'none' END AS unresolved_reason FROM ({KINDS})) GROUP BY 1")
+def resolution_reasons(spark, sf):
+    return _resolved(spark, sf).groupBy(F.coalesce("unresolved_reason", F.lit("none")).alias("unresolved_reason")).agg(F.count("*").alias("rows"))
+
+
+@query(f"SELECT source_path, target_path, dotted AS imported_module, line_number FROM (SELECT DISTINCT source_path, target_path, dotted, line_number FROM ({KINDS}) WHERE kind < 4)")
+def resolved_edges(spark, sf):
+    return graph.dependency_edges(_resolved(spark, sf)).select("source_path", "target_path", "imported_module", "line_number")
+
+
+# -- text ----------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages")
+def url_parse(spark, sf):
+    return syn.table(spark, sf, "pages").select("page_id", *(c.alias(n) for n, c in urls.web_parts(F.col("url")).items()))
+
+
+REPOSITORY_URL = "'https://github.com/' || CASE page_id % 4 WHEN 0 THEN 'own-er' WHEN 1 THEN '-bad' WHEN 2 THEN 'a--b' ELSE 'o' END || '/repo' || page_id || CASE page_id % 3 WHEN 0 THEN '.git' WHEN 1 THEN '/' ELSE '/issues' END"
+
+
+@query(f"""
+    SELECT page_id, CASE WHEN page_id % 3 = 2 OR page_id % 4 IN (1, 2) THEN NULL WHEN page_id % 4 = 0 THEN 'own-er' ELSE 'o' END AS owner, CASE WHEN page_id % 3 = 2 OR page_id % 4 IN (1, 2) THEN NULL ELSE 'repo' || page_id END AS name,
+           CASE WHEN page_id % 3 = 2 THEN 'Provide a repository root URL, not an issue, pull request, or file URL.' WHEN page_id % 4 IN (1, 2) THEN 'Invalid GitHub owner name.' END AS error FROM pages""")
+def repository_url(spark, sf):
+    return syn.table(spark, sf, "pages").select("page_id", urls.parse_repository_url(F.expr(REPOSITORY_URL)).alias("u")).select("page_id", "u.*")
+
+
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END AS INTEGER) AS line_count FROM documents")
+def line_count(spark, sf):
+    return syn.table(spark, sf, "documents").select("doc_id", text.line_count(F.col("text")).alias("line_count"))
+
+
+@query("""
+    SELECT doc_id, CAST(s AS INTEGER) AS line_start, CAST(least(s + 19, n) AS INTEGER) AS line_end, md5(array_to_string(lines[s:least(s + 19, n)], chr(10))) AS content_md5
+    FROM (SELECT doc_id, lines, len(lines) AS n, unnest(range(1, len(lines) + 1, 20)) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""")
+def line_windows(spark, sf):
+    rows = syn.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    cut = rows.select("doc_id", "lines", F.explode(chunks.windows(F.lit(1), F.size("lines"), 20)).alias("w"))
+    return cut.select("doc_id", "w.*", F.md5(text.slice_lines(F.col("lines"), F.col("w.line_start"), F.col("w.line_end"))).alias("content_md5"))
+
+
+@query("""SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '(?i)api[_-]?key\\s*=\\s*[''"][A-Za-z0-9_\\-]{20,}') OR regexp_matches(text, '(?i)secret\\s*=\\s*[''"][^''"]{12,}') AS secret,
+          regexp_matches(text, '(?i)token\\s*=\\s*[''"][0-9a-f]{40}[''"]') AS token FROM documents""")
+def secret_scan(spark, sf):
+    return syn.table(spark, sf, "documents").select("doc_id", text.looks_like_secret(F.col("text")).alias("secret"), F.col("text").rlike(text.TOKEN_PATTERN).alias("token"))
+
+
+@query(f"""
+    WITH i AS (SELECT source_path, 'import ' || imported_module AS raw, row_number() OVER (PARTITION BY source_path ORDER BY imported_module, line_number, target_path) AS n FROM ({THIN}))
+    SELECT path, CASE WHEN s IS NULL THEN 'Module ' || path ELSE 'Imports:' || chr(10) || s END AS content
+    FROM ({syn.NODES}) LEFT JOIN (SELECT source_path AS path, string_agg(raw, chr(10) ORDER BY n) AS s FROM i WHERE n <= 40 GROUP BY 1) USING (path)""")
+def chunk_overview_text(spark, sf):
+    n = F.row_number().over(Window.partitionBy("source_path").orderBy("imported_module", "line_number", "target_path"))
+    own = syn.edges(spark, sf, 8).withColumn("n", n).groupBy(F.col("source_path").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "imported_module"))), lambda x: F.struct(F.concat(F.lit("import "), x.imported_module).alias("raw"))).alias("imports"))
+    rows = syn.nodes(spark, sf).join(own, "path", "left")
+    imports = F.coalesce("imports", F.array().cast("array<struct<raw:string>>"))
+    return rows.select("path", chunks.overview(F.col("path"), F.lit(None).cast("string"), imports, F.array().cast("array<struct<kind:string,name:string>>")).alias("content"))
+
+
+TERMS = "regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_\\./-]*)', 1)"
+
+
+@query(f"""
+    SELECT conv_id, turn, array_to_string(list_filter(t, lambda x: contains(x, '/') OR x LIKE '%.py'), ' ') AS path_terms, array_to_string(list_filter(t, lambda x: contains(x, '_') OR regexp_matches(x, '^[A-Z]')), ' ') AS symbol_terms,
+           array_to_string(list_transform(list_filter(t, lambda x: length(x) > 3), lambda x: lower(x)), ' ') AS concept_terms FROM (SELECT *, {TERMS} AS t FROM conversations)""")
+def query_terms(spark, sf):
+    rows = syn.table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", *(F.array_join(c, " ").alias(n) for n, c in text.query_terms(F.col("text")).items()))
+
+
+# -- retrieval -----------------------------------------------------------------------------------
+
+#: Questions are user turns; a question's repository is the document source its conversation falls in.
+ASKED = "SELECT conv_id * 100 + turn AS query_id, 'src' || (conv_id % 20) AS analysis_id, text AS question FROM conversations WHERE role = 'user'"
+PARTS = "SELECT source AS analysis_id, doc_id AS chunk_id, 'docs/d' || doc_id || '.txt' AS path, text AS search_text FROM documents"
+
+
+def _questions(spark, sf):
+    rows = syn.table(spark, sf, "conversations").filter("role = 'user'")
+    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("analysis_id"), F.col("text").alias("question"))
+
+
+def _parts(spark, sf):
+    path = F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return syn.table(spark, sf, "documents").select(F.col("source").alias("analysis_id"), F.col("doc_id").alias("chunk_id"), path.alias("path"), F.lit(None).cast("string").alias("symbol_name"), F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"), F.col("text").alias("content"), F.col("text").alias("search_text"))
+
+
+SCORED = f"""
+    SELECT query_id, p.analysis_id, chunk_id, path,
+           0.15::DOUBLE * len(list_filter(list_filter(t, lambda x: length(x) > 3), lambda x: contains(low, lower(x)))) + 0.2::DOUBLE * len(list_filter(list_filter(t, lambda x: contains(x, '_') OR regexp_matches(x, '^[A-Z]')), lambda x: contains(low, lower(x))))
+           + 0.6::DOUBLE * len(list_filter(list_filter(t, lambda x: contains(x, '/') OR x LIKE '%.py'), lambda x: contains(path, x))) AS score
+    FROM (SELECT *, regexp_extract_all(question, '([A-Za-z_][A-Za-z0-9_\\./-]*)', 1) AS t FROM ({ASKED})) q JOIN (SELECT *, lower(search_text) AS low FROM ({PARTS})) p USING (analysis_id)"""
+
+
+def _rounded(df, *columns):
+    return df.select(*(F.round(c, 6).alias(c) if c == "score" else c for c in columns))
+
+
+@query(f"SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path) AS rank FROM ({SCORED}) WHERE score > 0) WHERE rank <= 12")
+def lexical_topk(spark, sf):
+    scored = retrieval.scored_chunks(_parts(spark, sf), _questions(spark, sf)).withColumn("score", F.round("score", 6))
+    return scored.select("query_id", "chunk_id", "score", retrieval.by_score()).filter("rank <= 12")
+
+
+COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+def _vectors(spark, sf):
+    e = syn.table(spark, sf, "embeddings").select(F.lit("v").alias("analysis_id"), F.col("vec_id").alias("chunk_id"), "label", "embedding")
+    return e, e.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "analysis_id", "embedding")
+
+
+@query(f"SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0) WHERE rank <= 40")
+def vector_topk(spark, sf):
+    return _rounded(retrieval.vector_scores(*_vectors(spark, sf)), "query_id", "chunk_id", "score", "rank")
+
+
+@query(f"SELECT query_id, label, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0) WHERE rank <= 3")
+def vector_topk_per_label(spark, sf):
+    return _rounded(retrieval.vector_scores(*_vectors(spark, sf), k=3, partition=["label"]), "query_id", "label", "chunk_id", "score", "rank")
+
+
+#: In every source, document n imports the next document of the source.
+CHAIN = f"SELECT analysis_id, path AS source_path, lead(path) OVER (PARTITION BY analysis_id ORDER BY chunk_id) AS target_path FROM ({PARTS})"
+
+
+def _chain(spark, sf):
+    nxt = F.lead("path").over(Window.partitionBy("analysis_id").orderBy("chunk_id"))
+    return _parts(spark, sf).select("analysis_id", F.col("path").alias("source_path"), nxt.alias("target_path")).filter("target_path IS NOT NULL")
+
+
+@query(f"""
+    WITH s AS (SELECT query_id, analysis_id, chunk_id, path, round(score, 6) AS score FROM ({SCORED}) WHERE score > 0),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s) WHERE rank <= 12),
+    seed AS (SELECT DISTINCT query_id, analysis_id, path FROM top WHERE rank <= 5), c AS (SELECT * FROM ({CHAIN}) WHERE target_path IS NOT NULL),
+    near AS (SELECT DISTINCT * FROM (SELECT query_id, seed.analysis_id, target_path AS path FROM seed JOIN c ON c.analysis_id = seed.analysis_id AND source_path = path UNION ALL SELECT query_id, seed.analysis_id, source_path FROM seed JOIN c ON c.analysis_id = seed.analysis_id AND target_path = path)
+             EXCEPT SELECT query_id, analysis_id, path FROM seed),
+    extra AS (SELECT n.query_id, p.chunk_id, n.path, row_number() OVER (PARTITION BY n.query_id ORDER BY n.path) AS nth FROM near n JOIN ({PARTS}) p USING (analysis_id, path) ANTI JOIN top ON top.query_id = n.query_id AND top.chunk_id = p.chunk_id),
+    al AS (SELECT query_id, chunk_id, path, score, '' AS reasons FROM top UNION ALL
+           SELECT query_id, chunk_id, path, 0.35, 'graph_neighbor' FROM extra JOIN (SELECT query_id, count(*) AS size FROM top GROUP BY 1) USING (query_id) WHERE nth <= greatest(1, 16 - size))
+    SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, reasons, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM al) WHERE rank <= 12""")
+def hybrid_topk(spark, sf):
+    parts = _parts(spark, sf)
+    files = parts.select("analysis_id", "path", F.lit(False).alias("is_test"))
+    found = retrieval.hybrid_retrieve(parts, files, _chain(spark, sf), _questions(spark, sf))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"), "rank")
+
+
+
+@query("""
+    SELECT * FROM (SELECT source, doc_id, CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY length(text), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM documents) WHERE running <= 24000""")
+def context_budget(spark, sf):
+    rows = syn.table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("size"))
+    return retrieval.within_budget(rows, ["source"], ["size", "doc_id"], "size", 24_000).select("source", "doc_id", "running")
+
+
+#: Retrieved: 20-line windows of documents; cited: a range per label row.
+RANGES = "SELECT doc_id, s AS line_start, least(s + 19, n) AS line_end FROM (SELECT doc_id, n, unnest(range(1, n + 1, 20)) AS s FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)) WHERE doc_id % 3 <> 0"
+
+
+def _cited(spark, sf):
+    start = (F.col("doc_id") * 7 % 30 + 1).cast("int")
+    cites = syn.table(spark, sf, "labels").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("nth"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), start.alias("line_start"), (start + 10).alias("line_end"), F.lit("").alias("reason"), F.lit(False).alias("is_path"))
+    docs = syn.table(spark, sf, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.explode(chunks.windows(F.lit(1), F.size(F.split("text", "\n")), 20)).alias("w"))
+    return cites, docs.select(F.lit(0).alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "w.*", F.col("w.line_start").alias("rank"))
+
+
+CITED = "SELECT doc_id, CAST(doc_id * 7 % 30 + 1 AS INTEGER) AS line_start, CAST(doc_id * 7 % 30 + 11 AS INTEGER) AS line_end FROM labels"
+
+
+@query(f"SELECT DISTINCT c.doc_id AS nth, c.line_start, c.line_end FROM ({CITED}) c JOIN ({RANGES}) r ON r.doc_id = c.doc_id AND NOT (c.line_end < r.line_start OR c.line_start > r.line_end)")
+def citation_overlap(spark, sf):
+    return retrieval.valid_citations(*_cited(spark, sf), strict=True).select("nth", "line_start", "line_end")
+
+
+@query(f"SELECT c.doc_id AS nth, c.line_start, c.line_end, 'Referenced in evidence' AS reason FROM ({CITED}) c WHERE doc_id IN (SELECT doc_id FROM ({RANGES}))")
+def citation_accept(spark, sf):
+    return retrieval.valid_citations(*_cited(spark, sf)).select("nth", "line_start", "line_end", "reason")
+
+
+@query(f"""
+    SELECT conv_id, turn, CASE WHEN poor THEN '{answers.NO_ANSWER}' ELSE trim(answer) END AS answer, CASE WHEN poor THEN 'low' ELSE confidence END AS confidence, CASE WHEN poor THEN 1 ELSE 0 END AS limitations
+    FROM (SELECT *, trim(answer) = '' OR (turn % 2 = 0 AND confidence = 'high') AS poor FROM (
+        SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE text END AS answer, CASE conv_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM conversations))""")
+def answer_normalize(spark, sf):
+    rows = syn.table(spark, sf, "conversations")
+    third = F.col("conv_id") % 3
+    n = answers.normalised(F.when(F.col("conv_id") % 5 == 0, "  ").otherwise(F.col("text")), F.col("turn") % 2, F.when(third == 0, "high").when(third == 1, "medium").otherwise("low"), F.array().cast("array<string>"))
+    return rows.select("conv_id", "turn", n.alias("n")).select("conv_id", "turn", "n.answer", "n.confidence", F.size("n.limitations").alias("limitations"))
+
+
+@query(f"""
+    SELECT brand, array_to_string((['Where does the application start?', 'How are the main components organized?', 'Which files should I read first?']
+           || list_filter([CASE WHEN list_contains(c, 'API / Routes') THEN 'Where are API routes defined?' END, CASE WHEN list_contains(c, 'Models / Data') THEN 'Where is data access or model logic implemented?' END, CASE WHEN list_contains(c, 'Configuration') THEN 'Where is configuration loaded?' END], lambda x: x IS NOT NULL))[1:4], '|') AS questions
+    FROM (SELECT string_split(path, '/')[2] AS brand, list(category) AS c FROM ({syn.NODES}) WHERE part % 9 = 0 GROUP BY 1)""")
+def starter_questions(spark, sf):
+    own = syn.nodes(spark, sf).filter("part % 9 = 0").groupBy(F.element_at(F.split("path", "/"), 2).alias("brand")).agg(F.collect_set("category").alias("c"))
+    return own.select("brand", F.array_join(summary.starter_questions(F.col("c")), "|").alias("questions"))
+
+
+def ast_parse_demo(spark, sf):
+    """Rows only: the whole analysis of two small repositories held in the code."""
+    from quarrymap.plans.analysis import analyze
+    from quarrymap.plans.demo import raw_files
+
+    return analyze(raw_files(spark)).files.drop("symbols")
+
+
+def tar_source(spark, sf):
+    """Rows only: the same repositories read from archives made in memory."""
+    from quarrymap.plans.demo import archives
+    from quarrymap.sources.repositories import archive_members, checked_members
+
+    return checked_members(archive_members(archives(spark)))
+
+
+QUERIES |= {f.__name__: f for f in (ast_parse_demo, tar_source)}
