@@ -42,7 +42,8 @@ from quarrymap.llm.common import materialize
 WORDS, SMALL, BUCKETS = 5, 64, 1024
 LINK, UNION = 100, 80
 ODD = np.uint64(0x9E3779B97F4A7C15)
-FLUSH = 3_000_000
+FLUSH = 1_500_000
+TILE = 2048
 # ASCII white space.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -411,6 +412,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def mixed_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (signature, id, n, sketch) of blocks with several components, with component c and block size k."""
+    labelled = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    whole = labelled.groupBy("signature").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    return materialize(labelled.join(materialize(whole.select("signature", "k"), "mixed"), "signature"), "rest")
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to `size` bytes."""
+    out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while out.shape[1] * 8 > size:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def close_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bucket: np.ndarray, sketches: list[bytes], within: bool) -> np.ndarray:
+    """Pairs of different components (and buckets, unless `within`) whose sizes and sketches allow a link."""
+    length = np.array([len(x) for x in sketches])
+    groups = {size: np.flatnonzero(length == size) for size in np.unique(length).tolist()}
+    found = []
+    for small, rows in groups.items():
+        for size, columns in groups.items():
+            if size not in (small, 2 * small):
+                continue
+            x, y = folded([sketches[i] for i in rows], small), folded([sketches[i] for i in columns], small)
+            step = max(1, (1 << 21) // max(1, len(columns) * x.shape[1]))
+            for k in range(0, len(rows), step):
+                i, j = rows[k : k + step, None], columns[None]
+                distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None]).sum(2, dtype=np.int64)
+                fits = (9 * distance <= n[i] + n[j]) & (component[i] != component[j]) & ((ids[i] < ids[j]) | (size != small))
+                fits &= (10 * n[i] >= 8 * n[j]) & (10 * n[j] >= 8 * n[i]) & (within | (bucket[i] != bucket[j]))
+                u, v = np.nonzero(fits)
+                found.append(np.stack([ids[rows[k + u]], ids[columns[v]]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def cross_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs of a block's members of different components that may link.
+
+    A block of k members is k / TILE buckets; each pair of buckets is a tile of at most 2 * TILE members,
+    whose sketches are compared as matrices, so a tile's memory is bounded and only close pairs are rows.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for b in it:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    yield from tile(rows)
+                    key, rows = row[:3], []
+                rows.append(row)
+        yield from tile(rows)
+
+    def tile(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            _, p, q, bucket, ids, n, c, sketches = zip(*rows)
+            pairs = close_pairs(*(np.array(x, np.int64) for x in (ids, n, c, bucket)), list(sketches), p[0] == q[0])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+    buckets = F.ceil(F.col("k") / TILE).cast("int")
+    rows = rest.withColumn("bucket", F.pmod(F.xxhash64("id"), buckets).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), buckets - 1)))
+    rows = rows.select("signature", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "bucket", "id", "n", "c", "sketch")
+    parts = max(1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "signature", "p", "q").sortWithinPartitions("signature", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
 def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tfp, n, fa, fb, component) of every row; tfp is the hash of the row's text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -418,21 +488,18 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stats = materialize(set_stats(rows), "stats")
     docs = rows.filter(F.col("id").isNotNull())
     # Rows that share an id but not their text are kept apart by the set's fingerprint.
-    classes = stats.filter("n > 0 AND id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "need0", "need1", "sketch")).alias("r"))
+    classes = stats.filter("n > 0 AND id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "tfp", "need0", "need1", "sketch")).alias("r"))
     classes = materialize(classes.select("fa", "fb", "n", "r.*"), "classes")
-    kept = materialize(rare_blocks(shared_blocks(packed_blocks(docs)), classes), "blocks")
-    groups = kept.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("signature", "a")
+    # Only representatives are sketched: copies would make a text's own blocks look common.
+    chosen = docs.join(classes.select("id", "tfp"), ["id", "tfp"], "left_semi")
+    kept = materialize(rare_blocks(shared_blocks(packed_blocks(chosen)), classes), "blocks")
+    groups = materialize(kept.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("signature", "a"), "groups")
     grouped = materialize(kept.join(groups, "signature").select("signature", "a", F.col("id").alias("b")), "grouped")
     star = grouped.filter("a <> b").select("a", "b").distinct()
-    tested = materialize(near_pairs(star, classes), "star")
-    edges = materialize(linked_pairs(tested, docs), "links")
+    edges = materialize(linked_pairs(materialize(near_pairs(star, classes), "star"), docs), "links")
     found = components(edges)
-    labelled = grouped.withColumnRenamed("b", "id").join(found, "id", "left").select("signature", "id", F.coalesce("component", "id").alias("c"))
-    mixed_ = labelled.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("signature")
-    rest = materialize(labelled.join(mixed_, "signature"), "rest")
-    other = rest.select("signature", F.col("id").alias("b"), F.col("c").alias("d"))
-    more = rest.withColumnRenamed("id", "a").join(other, "signature").filter("c <> d AND a < b").select("a", "b").distinct()
-    more = materialize(near_pairs(more.join(star, ["a", "b"], "left_anti"), classes), "more")
+    members = grouped.select("signature", F.col("b").alias("id")).join(classes.select("id", "n", "sketch"), "id")
+    more = materialize(cross_pairs(mixed_blocks(members, found)), "more")
     if not more.isEmpty():
         found = components(edges.unionByName(linked_pairs(more, docs)))
     member = stats.join(classes.select("fa", "fb", "n", F.col("id").alias("rep")), ["fa", "fb", "n"], "left")

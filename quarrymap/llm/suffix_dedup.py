@@ -38,7 +38,7 @@ from quarrymap.llm.common import materialize
 
 LENGTH, SEED = 200, 48
 HOT, PIECE = 1000, 16
-BUFFER, BLOCK = 1 << 21, 1 << 20
+BUFFER, BLOCK = 1 << 21, 1 << 17
 MASK = np.uint64((1 << 24) - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,7 +146,7 @@ def suffix_order(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, n
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(reach > k, padded[k : k + n], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     a, b = order[:-1], order[1:]
     differ = key[a] ^ key[b]
     high = np.frexp(differ.astype(np.float64))[1] - 1  # may round up at a symbol's edge only upwards by one bit
@@ -166,7 +166,7 @@ def suffix_order(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, n
         at = order[open_]
         lead = rank[at]
         sub = (lead.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + h, n - 1)].astype(np.uint64)
-        turn = np.argsort(sub, kind="stable")
+        turn = np.argsort(sub)
         at, sub, lead = at[turn], sub[turn], lead[turn]
         order[open_] = at
         begins = np.ones(len(at), bool)
@@ -206,12 +206,12 @@ def expand(order: np.ndarray, rank: np.ndarray, common: np.ndarray, data: np.nda
         if not len(at):
             break
         part = interval * 256 + symbol[at]
-        turn = np.argsort(part, kind="stable")
+        turn = np.argsort(part)
         part, to = part[turn], longer[at[turn]]
         begins = np.ones(len(part), bool)
         begins[1:] = part[1:] != part[:-1]
         first = np.flatnonzero(begins)
-        new_left, new_right = to[first], to[np.append(first[1:], len(part)) - 1] + 1
+        new_left, new_right = np.minimum.reduceat(to, first), np.maximum.reduceat(to, first) + 1
         inside = new_right < n
         new_left, new_right = new_left[inside], new_right[inside]
         unset = border[new_right] < 0
@@ -346,10 +346,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     runs = materialize(find_runs(docs), "runs")
     shared = runs.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1").select("seed")
-    hits = materialize(runs.join(shared, "seed"), "hits")
+    # Written first, so that the join has exchanges of its own, which adaptive execution can split.
+    hits = materialize(runs.join(materialize(shared, "shared"), "seed"), "hits")
     stand = hits.groupBy("seed", "fp").agg(F.count("*").alias("times"), F.min(F.struct("id", "tfp", "lo", "n")).alias("at"))
     stand = materialize(stand.select("seed", "fp", "times", "at.*"), "contexts")
-    hot = stand.groupBy("seed").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("seed")
+    hot = materialize(stand.groupBy("seed").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("seed"), "hot")
     columns = ["id", "tfp", "seed", "fp", "lo", "n", "times", "hot"]
     wanted = stand.join(hot, "seed", "left_anti").withColumn("hot", F.lit(False)).select(*columns)
     wanted = wanted.unionByName(hits.join(hot, "seed", "left_semi").withColumns({"times": F.lit(1).cast("long"), "hot": F.lit(True)}).select(*columns))

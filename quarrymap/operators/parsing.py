@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymap.functions.text import line_count
 from quarrymap.schemas import IMPORT, PARSED, SYMBOL
@@ -138,7 +139,7 @@ PARSED_COLUMNS = ["analysis_id", "path", "parse_status", "parse_warning", "docst
 assert all(f"{c} " in PARSED for c in PARSED_COLUMNS)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def console_scripts(text: pd.Series) -> pd.Series:
     """Distinct script targets of pyproject texts, sorted; none where the text is missing or broken."""
 

@@ -165,9 +165,9 @@ def induced_subgraph(spark, sf):
            UNION ALL SELECT rank, 1, target_path FROM r JOIN p ON source_path = path WHERE target_path IN (SELECT path FROM f)
            UNION ALL SELECT rank, 2, source_path FROM r JOIN p ON target_path = path WHERE source_path IN (SELECT path FROM f)),
     c AS (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY rank, side, node) = 1 AS INTEGER) AS new FROM ev),
-    k AS (SELECT *, sum(new) OVER w AS n, row_number() OVER w AS at FROM c WINDOW w AS (ORDER BY rank, side, node ROWS UNBOUNDED PRECEDING)),
-    stop AS (SELECT min(CASE WHEN side > 0 AND n >= 50 THEN at WHEN side = 0 AND n - new >= 50 THEN at - 1 END) AS stop FROM k)
-    SELECT DISTINCT node AS path, (SELECT count(DISTINCT node) FROM k, stop WHERE at <= stop) < (SELECT count(*) FROM r) AS truncated FROM k, stop WHERE at <= stop""")
+    k AS (SELECT *, sum(new) OVER w AS n, row_number() OVER w AS pos FROM c WINDOW w AS (ORDER BY rank, side, node ROWS UNBOUNDED PRECEDING)),
+    stop AS (SELECT min(CASE WHEN side > 0 AND n >= 50 THEN pos WHEN side = 0 AND n - new >= 50 THEN pos - 1 END) AS stop FROM k)
+    SELECT DISTINCT node AS path, (SELECT count(DISTINCT node) FROM k, stop WHERE pos <= stop) < (SELECT count(*) FROM r) AS truncated FROM k, stop WHERE pos <= stop""")
 def bounded_subgraph(spark, sf):
     return graph.subgraph_nodes(syn.files(spark, sf), syn.edges(spark, sf, 8)).select("path", "truncated")
 

@@ -1,0 +1,145 @@
+"""Operators 4 and 5, the registered queries and the pipeline."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quarrymap.llm import html_extract, topk
+from quarrymap.llm import queries as registered
+from quarrymap.llm.html_extract import blocks, extract_main_text, main_text, templates
+from tests.conftest import SF
+from tests.llm.cases import documents, empty
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
+<header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><!-- c -->
+<article class="post"><h1>Title &amp; more</h1><p><b>First
+  line.<br><p>Second &lt;b&gt; &#233; &amp;amp; x</p><aside>side</aside><div class="ad">Buy</div><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></article>
+<section class="comments"><article class="comment"><p>me too</p></article></section><form><p>Mail</p><button>Go</button></form><footer>&copy; x</footer></body></html>"""
+
+
+def test_article_blocks():
+    assert main_text(blocks(PAGE), frozenset()).split("\n") == ["Title & more", "First line.", "Second <b> é &amp; x", "one", "two", "c1", "c2"]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("", ""),
+        ("just text", "just text"),
+        ("<p>a<p>b", "a\nb"),
+        ("<div>a <i>b</i>c\n d</div>", "a bc d"),
+        ("<article><p>x", "x"),
+        ("<script>never closed <p>x</p>", ""),
+        ('<p title="a>b">x</p>', "x"),
+        ('<p title="open>x</p><p>y</p>', "x\ny"),
+        ("<main><p>x</p></main><p>y</p>", "x"),
+        ("<nav>menu</nav><div class=content><p>x</p></div><div>y</div>", "x"),
+        ("</p></div>a</b>", "a"),
+        ("<article><p>a &nbsp; b &bogus; &#x1F600;</p></article>", "a b &bogus; 😀"),
+        ("<article><p>" + "long " * 50000 + "</p></article>", ("long " * 50000).strip()),
+    ],
+)
+def test_odd_markup(page, text):
+    assert main_text(blocks(page), frozenset()) == text
+
+
+def test_template_slots_without_article_mark(spark):
+    page = lambda k: f"<html><body><div class='t1'>Welcome to the site</div><div class='t2'><a href='#'>link{k}</a></div><div class='t3'><p>Body number {k} of its own.</p></div></body></html>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(6)] + [(9, None, None), (10, "no url", ""), (3, "http://h.example/3", page(3))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
+    got = sorted((r.page_id, r.text, r.n_chars) for r in extract_main_text(frame).collect())
+    want = sorted([(k, f"Body number {k} of its own.", 26) for k in [*range(6), 3]] + [(9, "", 0), (10, "", 0)])
+    assert got == want
+    found = templates(frame.filter("page_id < 6").select(F.lit("h").alias("host"), "html")).collect()
+    assert len({r["class"] for r in found if r.path.endswith(("t", "body"))} | {0}) >= 1 and sum(r.boilerplate for r in found) == 2
+    assert extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_templates_joined_beyond_the_broadcast_limit(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted(map(tuple, extract_main_text(pages).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, extract_main_text(pages).collect())) == want
+
+
+def test_pages_hold_whole_documents(spark):
+    squeeze = lambda t: re.sub(r"\s+", " ", t or "").strip()
+    texts = {squeeze(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = registered.op4_html_extraction(spark, SF).collect()
+    assert sum(squeeze(r.text.partition("\n")[2]) in texts for r in got) >= 0.95 * len(got)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def brute_top(ids, vectors, queries, k):
+    out = []
+    for q in queries:
+        i = ids.index(q)
+        scored = sorted((-float(np.dot(vectors[i], v)), j) for j, v in zip(ids, vectors) if j != q)
+        out += [(q, n + 1, j, int(-s)) for n, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((6, 8))
+    vectors = [(centres[i % 6] + 0.1 * rng.standard_normal(8)).tolist() for i in range(400)] + [centres[0].tolist()] * 200
+    bad = [(700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (750, None)]
+    rows = list(enumerate(vectors)) + bad + [(5, vectors[5]), (None, vectors[1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()))
+    whole = [np.floor(256 * np.array(v)) for v in vectors]
+    assert got == brute_top(list(range(600)), whole, range(0, 600, 50), 5)
+    assert topk.top_k(frame.filter("vec_id IN (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
+    assert topk.top_k(frame.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_dual_search_prunes():
+    rng = np.random.default_rng(2)
+    points = np.floor(256 * np.concatenate([c + 0.02 * rng.standard_normal((300, 8)) for c in rng.standard_normal((8, 8))]))
+    queries = points[::50]
+    best = topk.Best(len(queries), 5)
+    pruned = topk.dual_search(topk.cover_tree(queries), queries, np.arange(0, len(points), 50), points, np.arange(len(points)), best)
+    assert pruned > 0
+    want = brute_top(list(range(len(points))), points, range(0, len(points), 50), 5)
+    assert [(q * 50, n + 1, int(i), int(s)) for q in range(len(queries)) for n, (s, i) in enumerate(zip(best.score[q], best.id[q]))] == want
+
+
+def test_chunks_of_queries(spark, monkeypatch):
+    frame = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    assert sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 50 == 0).collect())) == want
+
+
+def test_every_operator_is_registered(spark):
+    numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in registered.QUERIES}
+    assert numbers == set(range(1, 11))
+    assert registered.op9_token_rows(spark, SF).count() >= 200 and registered.op10_packing(spark, SF).count() >= 200
+
+
+def test_pipeline_stages(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "suffix-array dedup", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert 0 < out.count() <= kept.count()
+        kept = out
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert {p.doc_id for p in pieces} == ids
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents(spark), SF).count() > 0
+        assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_top_k_twin(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    want = con.execute(registered.ORACLES["op5_top_k"]).fetchall()
+    assert sorted(map(tuple, registered.op5_top_k(spark, SF).collect())) == sorted(want)
