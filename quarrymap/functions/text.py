@@ -49,4 +49,4 @@ def string_list(json: Column) -> Column:
     items = F.from_json(value, "array<string>")
     scalar = F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
     raw = F.when(value.isNull() | (value == "null"), F.array().cast("array<string>")).when(value.startswith("["), F.coalesce(items, F.array().cast("array<string>"))).otherwise(F.array(scalar))
-    return F.filter(F.transform(raw, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
