@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarrymap.llm.common import materialize
 
 SAMPLE, PIVOTS = 2048, 64
-CHUNK, RUN, LEAF = 16_384, 8_192, 48
+CHUNK, RUN, LEAF, QUERY_LEAF = 16_384, 8_192, 48, 12
 SCALE = 256
 
 
@@ -59,20 +59,20 @@ class Node:
 
     __slots__ = ("centre", "norm", "radius", "rows", "children")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: np.ndarray, radius: float):
+    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: np.ndarray, radius: float, leaf: int):
         self.centre, self.norm, self.radius, self.rows = centre, float(np.sqrt(centre @ centre)), radius, rows
         self.children: list[Node] = []
-        if len(rows) > LEAF and radius > 0:
+        if len(rows) > leaf and radius > 0:
             own = points[rows]
             centres, owner, distance = farthest_first(own, 24, radius / 2)
             for k, c in enumerate(centres.tolist()):
                 mine = owner == k
-                self.children.append(Node(points, rows[mine], own[c], float(distance[mine].max())))
+                self.children.append(Node(points, rows[mine], own[c], float(distance[mine].max()), leaf))
 
 
-def cover_tree(points: np.ndarray) -> Node:
+def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
     distance = np.sqrt(((points - points[0]) ** 2).sum(1))
-    return Node(points, np.arange(len(points)), points[0], float(distance.max()))
+    return Node(points, np.arange(len(points)), points[0], float(distance.max()), leaf)
 
 
 class Best:
@@ -166,7 +166,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
             nonlocal tree
             if tree is None and held[0]:
                 ids, q = joined(0)
-                tree = (cover_tree(q), q, ids, Best(len(ids), k))
+                tree = (cover_tree(q, QUERY_LEAF), q, ids, Best(len(ids), k))
             if tree is not None and held[1]:
                 ids, points = joined(1)
                 dual_search(*tree[:3], points, ids, tree[3])
