@@ -7,8 +7,9 @@ Windows overlap by half and cover every word of every text; a document's score i
 
 Training (driver, numpy, Adam) sees labels of documents only, so it is multiple-instance learning: after
 a first pass over all windows, a toxic document is represented by its worst window, a clean one by its
-worst window and one other. It reads a bounded sample: per class, the `SAMPLE` labelled rows of
-smallest id hash, of those texts of at most `SAMPLE_CHARS` characters.
+worst window and one other. One component of a word's embedding starts as the word's log odds between
+toxic and clean documents, which few labelled rows already tell. Training reads a bounded sample: per
+class, the `SAMPLE` labelled rows of smallest id hash, of those texts of at most `SAMPLE_CHARS` characters.
 
 Defined cases: null and empty texts, and every text when a class has no labelled row, score the
 share of toxic rows in the sample (0 with none), at most 0.49; repeated rows get equal rows; of several
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from quarrymap.llm.common import crc_fold, texts_of
 
 WINDOW, STRIDE = 32, 16
-VOCABULARY, MIN_DOCS = 4000, 4
+VOCABULARY, MIN_DOCS, RARE = 4000, 4, 20
 BINS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 2048, 12, 8, 8, 6
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 CACHE = 300_000
-EPOCHS, BATCH, RATE = 7, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 7, 200, 64, 0.01
 
 
 def clean(word: str) -> str:
@@ -188,13 +189,18 @@ def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
     """Train on documents (word lists, none empty) and their labels."""
-    seen = Counter(w for d in docs for w in {clean(x) or x for x in d})
-    frequent = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:VOCABULARY]
+    found = [{clean(x) or x for x in d} for d in docs]
+    toxic, seen = (Counter(w for d, y in zip(found, labels) if y or k for w in d) for k in (0, 1))
+    frequent = sorted((w for w, n in seen.items() if n >= max(MIN_DOCS, len(docs) // 200)), key=lambda w: (-seen[w], w))[:VOCABULARY]
     net = Network({w: i + 1 for i, w in enumerate(frequent)})
+    # A word's first component starts as its log odds between toxic and clean documents, shrunk if it is rare.
+    n_toxic = int(labels.sum())
+    odds = np.array([0.0, *(np.log((toxic[w] + 1) * (len(docs) - n_toxic + 2) / ((seen[w] - toxic[w] + 1) * (n_toxic + 2))) * seen[w] / (seen[w] + RARE) for w in frequent)])
+    net.w["E"][:, 0] = odds / 2
     words, at, mask, doc = layout(docs)
     rng, y = np.random.default_rng(11), labels[doc].astype(np.float32)
-    m1, m2, step = {}, {}, 0
-    for epoch in range(EPOCHS):
+    m1, m2, step, epoch = {}, {}, 0, 0
+    while epoch < EPOCHS or step < STEPS:  # small samples get more passes
         if epoch:
             p = score_windows(net, words, at, mask)
             worst = np.lexsort((-p, doc))
@@ -203,6 +209,7 @@ def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
             chosen = np.union1d(first, other)
         else:
             chosen = np.concatenate([np.flatnonzero(y == 1), rng.choice(np.flatnonzero(y == 0), min(4 * len(docs), int((y == 0).sum())), replace=False)])
+        epoch += 1
         balance = np.where(y[chosen] == 1, 1.0, max(1e-3, y[chosen].sum() / max(1, (1 - y[chosen]).sum()))).astype(np.float32)
         order = rng.permutation(len(chosen))
         for k in range(0, len(order), BATCH):
