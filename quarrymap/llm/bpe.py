@@ -17,14 +17,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarrymap.llm.common import texts_of
+from quarrymap.llm.common import held, texts_of
 
 CACHE = 700_000
 # White space of the tokenizer's \s, and the byte-level pre-token pattern.
@@ -224,10 +223,9 @@ class ByteBpe:
         return b"".join(map(get, memoryview(ids).cast("I") if ids else [])).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def load_byte_bpe(path: str) -> ByteBpe:
-    """One vocabulary per Python worker and path."""
-    return ByteBpe(path)
+    """The Python worker's encoder of this vocabulary."""
+    return held(("bpe", path), lambda: ByteBpe(path))
 
 
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

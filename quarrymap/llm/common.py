@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,21 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0))
 
 
+_held: list = []
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make(), kept in this Python worker until another key is asked for.
+
+    Workers outlive operators; with one slot the caches of a pipeline's operators don't pile up.
+    """
+    if not _held or _held[0] != key:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def crc_of(value: int) -> int:
     return zlib.crc32(str(value).encode())
 

@@ -15,6 +15,7 @@ rows; the input's other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import texts_of
+from quarrymap.llm.common import held, texts_of
 
 BINS = 1 << 16
 SAMPLE = 6000
@@ -157,21 +158,15 @@ def choose(loglik: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return best
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept columns, lang_pred, score, proportions) of every row; nothing is shuffled."""
     languages, table = model
     keep = keep or []
-    shared = df.sparkSession.sparkContext.broadcast((languages, table))  # languages * BINS floats
+    shared, token = df.sparkSession.sparkContext.broadcast((languages, table)), uuid.uuid4().hex  # languages * BINS floats
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table = shared.value
-        if id(shared.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(shared.value)] = Scorer(table)
-        scorer = _scorers[id(shared.value)]
+        scorer = held(("langid", token), lambda: Scorer(table))
         for whole in it:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)

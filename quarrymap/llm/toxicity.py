@@ -18,6 +18,7 @@ labels of one id the most toxic counts; the input's other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import crc_fold, texts_of
+from quarrymap.llm.common import crc_fold, held, texts_of
 
 WINDOW, STRIDE = 32, 16
 VOCABULARY, MIN_DOCS, RARE = 4000, 4, 20
@@ -286,24 +287,19 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_documents(df: DataFrame, model: tuple[Network | None, float], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept columns, score, predicted) of every row; nothing is shuffled."""
     keep = keep or []
-    shared = df.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
+    shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # weights of fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, empty = shared.value
-        if net is not None and id(net) not in _scorers:
-            _scorers.clear()
-            _scorers[id(net)] = Scorer(net)
+        scorer = None if net is None else held(("toxicity", token), lambda: Scorer(net))
         for whole in it:
             for k in range(0, whole.num_rows, 200):
                 b = whole.slice(k, 200)
                 docs = [t.split() for t in texts_of(b.column(1))]
-                score = np.full(b.num_rows, empty) if net is None else _scorers[id(net)].documents(docs, empty)
+                score = np.full(b.num_rows, empty) if scorer is None else scorer.documents(docs, empty)
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[id_col, *keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col, *keep])

@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from quarrymap.llm.common import held
+
 CACHE = 900_000
 LONGEST = 64
 LINE = 1000
@@ -108,7 +109,6 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
 def load_words(path: str) -> WordIds:
-    """One encoder per Python worker and path."""
-    return WordIds(path)
+    """The Python worker's encoder of this vocabulary."""
+    return held(("words", path), lambda: WordIds(path))
