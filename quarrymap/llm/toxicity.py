@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from quarrymap.llm.common import crc_fold, held, texts_of
 
 WINDOW, STRIDE = 32, 16
-VOCABULARY, MIN_DOCS, RARE = 4000, 4, 20
+VOCABULARY, MIN_DOCS, RARE = 4000, 4, 5
 BINS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 2048, 12, 8, 8, 6
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 CACHE = 300_000
-EPOCHS, STEPS, BATCH, RATE = 7, 200, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 7, 300, 64, 0.01
 
 
 def clean(word: str) -> str:
