@@ -34,7 +34,7 @@ WINDOW, STRIDE = 32, 16
 VOCABULARY, MIN_DOCS, RARE = 4000, 4, 5
 BINS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 2048, 12, 8, 8, 6
 SAMPLE, SAMPLE_CHARS = 1500, 6000
-CACHE = 300_000
+CACHE = 200_000
 EPOCHS, STEPS, BATCH, RATE = 7, 300, 64, 0.01
 
 
