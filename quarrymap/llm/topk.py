@@ -3,7 +3,7 @@
 Rows are dealt evenly over shards by id; every shard also gets all queries, in chunks of at most
 `CHUNK`, so a task holds one chunk of queries and streams its data. Both sides come ordered by nearest
 pivot (pivots are spread over a bounded sample; every row is indexed). A shard builds cover trees -
-each node's children cover it with half its radius - over the queries and over each run of `RUN` rows,
+each node's children cover it with half its radius, unless 24 of them can't and it is small - over the queries and over each run of `RUN` rows,
 and walks pairs of nodes, best bound first. With centres c, covering radii r,
 
     max <q, p>  <=  <cq, cp> + |cq| rp + |cp| rq + rq rp,
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from quarrymap.llm.common import materialize
 
 SAMPLE, PIVOTS = 2048, 64
-CHUNK, RUN, LEAF, QUERY_LEAF = 16_384, 8_192, 48, 12
+CHUNK, RUN, LEAF, QUERY_LEAF = 16_384, 8_192, 64, 24
+WIDE, SHRINK = 16, 0.7
 SCALE = 256
 
 
@@ -55,9 +56,9 @@ def farthest_first(points: np.ndarray, count: int, radius: float = 0.0) -> tuple
 
 
 class Node:
-    """A ball of rows: centre, covering radius, and children or (in a leaf) row numbers."""
+    """A ball of rows: centre, covering radius, row numbers, and children with their balls as arrays."""
 
-    __slots__ = ("centre", "norm", "radius", "rows", "children")
+    __slots__ = ("centre", "norm", "radius", "rows", "children", "centres", "norms", "radii")
 
     def __init__(self, points: np.ndarray, rows: np.ndarray, centre: np.ndarray, radius: float, leaf: int):
         self.centre, self.norm, self.radius, self.rows = centre, float(np.sqrt(centre @ centre)), radius, rows
@@ -65,9 +66,12 @@ class Node:
         if len(rows) > leaf and radius > 0:
             own = points[rows]
             centres, owner, distance = farthest_first(own, 24, radius / 2)
+            if len(rows) <= WIDE * leaf and float(distance.max()) > SHRINK * radius:
+                return  # children as wide as their parent prune nothing
             for k, c in enumerate(centres.tolist()):
                 mine = owner == k
                 self.children.append(Node(points, rows[mine], own[c], float(distance[mine].max()), leaf))
+            self.centres, self.norms, self.radii = (np.array([getattr(x, a) for x in self.children]) for a in ("centre", "norm", "radius"))
 
 
 def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
@@ -99,24 +103,29 @@ class Best:
 def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, best: Best) -> int:
     """Offer every pair that may matter; returns the number of node pairs pruned."""
 
-    def bound(q: Node, p: Node) -> float:
-        b = float(q.centre @ p.centre) + q.norm * p.radius + p.norm * q.radius + q.radius * p.radius
-        return b + 1e-6 * (1 + abs(b))
+    def bounds(node: Node, other: Node) -> np.ndarray:
+        """Of each child of `node` with `other`."""
+        b = node.centres @ other.centre + other.norm * node.radii + other.radius * (node.norms + node.radii)
+        return b + 1e-6 * (1 + np.abs(b))
 
     root, pruned, n = cover_tree(points), 0, 1
-    heap = [(-bound(query_root, root), 0, query_root, root)]
+    heap = [(-np.inf, 0, query_root, root)]
     while heap:
         negative, _, q, p = heapq.heappop(heap)
-        if -negative < best.score[q.rows, -1].min():
+        worst = best.score[q.rows, -1].min()
+        if -negative < worst:
             pruned += 1
             continue
         if not q.children and not p.children:
             best.offer(q.rows, query_ids[q.rows], queries[q.rows] @ points[p.rows].T, ids[p.rows])
             continue
         split_q = bool(q.children) and (not p.children or q.radius >= p.radius)
-        for child in q.children if split_q else p.children:
-            pair = (child, p) if split_q else (q, child)
-            heapq.heappush(heap, (-bound(*pair), n, *pair))
+        found = bounds(q, p) if split_q else bounds(p, q)
+        some = np.flatnonzero(found >= worst).tolist()
+        pruned += len(found) - len(some)
+        for k in some:
+            pair = (q.children[k], p) if split_q else (q, p.children[k])
+            heapq.heappush(heap, (-found[k], n, *pair))
             n += 1
     return pruned
 
