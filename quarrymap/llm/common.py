@@ -29,11 +29,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, options: dict[str, Any] | None = None) -> DataFrame:
     """Cut lineage: write `df` to a fresh Parquet folder under the shared checkpoint folder and read it back."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

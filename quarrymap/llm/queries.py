@@ -67,7 +67,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per piece of the packed id matrices (documents end with <|endoftext|>, which also pads)."""
+    """Writes the packed id matrices and returns a row per piece read back from them (documents end with <|endoftext|>, which also pads)."""
     from quarrymap.llm.token_rows import packed_rows
 
     return packed_rows(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=49407, pad_id=49407, pieces=True)

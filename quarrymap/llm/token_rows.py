@@ -22,13 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from quarrymap.llm.common import texts_of
+from quarrymap.llm.common import materialize, texts_of
 from quarrymap.llm.words import load_words
 
 LENGTH = 2048
 BLOCK = 4_000_000
+ROWS = 100  # matrix rows a batch, so that writers hold little
+ROW_GROUP = 16 << 20
 
 
 class FreeSpace:
@@ -84,10 +87,10 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
 def packed_rows(
     df: DataFrame, tokenizer: str, end_id: int, pad_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", pieces: bool = False
 ) -> DataFrame:
-    """Matrix rows, or with `pieces` one row per piece that says where it lies and its digests."""
+    """Matrix rows, or with `pieces` the rows of `piece_rows` over matrix rows written under the checkpoint folder."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = load_words(tokenizer), np.uint32(end_id).tobytes()
+        words, end, pad = load_words(tokenizer), np.uint32(end_id).tobytes(), np.uint32(pad_id).tobytes()
         first = TaskContext.get().partitionId() << 33
         keys: list = []
         starts: list[int] = []
@@ -98,32 +101,12 @@ def packed_rows(
             nonlocal first, keys, starts, parts, held
             sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
             rows = best_fit_decreasing(sizes, length)
-            out = (as_pieces if pieces else as_matrix)(rows, sizes)
+            for k in range(0, len(rows), ROWS):
+                yield as_matrix(first + k, rows[k : k + ROWS], sizes)
             first += len(rows)
             keys, starts, parts, held = [], [], [], 0
-            for k in range(0, out.num_rows, 500 if not pieces else 20_000):
-                yield out.slice(k, 500 if not pieces else 20_000)
-
-        def as_pieces(rows: list[list[int]], sizes: np.ndarray) -> pa.RecordBatch:
-            items = [i for r in rows for i in r]
-            counts = np.array([len(r) for r in rows])
-            row = np.repeat(np.arange(len(rows)), counts)
-            size = sizes[items]
-            before = np.cumsum(size) - size
-            opened = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            columns = [
-                pa.array([keys[i] for i in items], key_type),
-                pa.array([starts[i] for i in items], pa.int64()),
-                pa.array(size, pa.int64()),
-                pa.array([zlib.crc32(parts[i]) for i in items], pa.int64()),
-                pa.array(first + row, pa.int64()),
-                pa.array(np.arange(len(items)) - opened[row], pa.int64()),
-                pa.array(before - before[opened][row], pa.int64()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=names)
 
-        def as_matrix(rows: list[list[int]], sizes: np.ndarray) -> pa.RecordBatch:
-            pad = np.uint32(pad_id).tobytes()
+        def as_matrix(first: int, rows: list[list[int]], sizes: np.ndarray) -> pa.RecordBatch:
             ids, cums, positions = [], [], []
             for r in rows:
                 cum = np.concatenate([[0], np.cumsum(sizes[r])])
@@ -132,8 +115,13 @@ def packed_rows(
                 place = np.zeros(length, "<u4")
                 place[: cum[-1]] = np.arange(cum[-1]) - np.repeat(cum[:-1], np.diff(cum))
                 positions.append(place.tobytes())
-            columns = [pa.array(np.arange(first, first + len(rows)), pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, cums, positions))]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [
+                pa.array(np.arange(first, first + len(rows)), pa.int64()),
+                *(pa.array(x, pa.binary()) for x in (ids, cums, positions)),
+                pa.array([[keys[i] for i in r] for r in rows], pa.list_(key_type)),
+                pa.array([[starts[i] for i in r] for r in rows], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["row_id", "input_ids", "cu_seqlens", "position_ids", "keys", "starts"])
 
         for b in it:
             key_type = b.schema.field(0).type
@@ -150,15 +138,35 @@ def packed_rows(
             yield from flush()
 
     kind = df.schema[id_col].dataType.simpleString()
-    if pieces:
-        names = [id_col, "start", "length", "ids_crc32", "row_id", "segment", "offset"]
-        schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, row_id long, segment long, offset long"
-    else:
-        names = ["row_id", "input_ids", "cu_seqlens", "position_ids"]
-        schema = "row_id long, input_ids binary, cu_seqlens binary, position_ids binary"
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"row_id long, input_ids binary, cu_seqlens binary, position_ids binary, keys array<{kind}>, starts array<long>"
+    matrix = df.select(id_col, text_col).mapInArrow(run, schema)
+    return piece_rows(materialize(matrix, "token-rows", {"parquet.block.size": ROW_GROUP}), id_col) if pieces else matrix
+
+
+def piece_rows(matrix: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per segment of the matrix rows: which part of a document it holds, where it lies, and the digest of its ids."""
+
+    def cum(k: Column) -> Column:
+        """The k-th little-endian number of cu_seqlens."""
+        at = [F.substring("cum", 8 * k + n, F.lit(2)) for n in (7, 5, 3, 1)]
+        return F.conv(F.concat(*at), 16, 10).cast("int")
+
+    def segment(k: Column) -> Column:
+        start, size = cum(k), cum(k + 1) - cum(k)
+        return F.struct(
+            F.get("keys", k).alias(id_col),
+            F.get("starts", k).alias("start"),
+            size.cast("long").alias("length"),
+            F.crc32(F.substring("input_ids", 4 * start + 1, 4 * size)).alias("ids_crc32"),
+            F.col("row_id"),
+            k.cast("long").alias("segment"),
+            start.cast("long").alias("offset"),
+        )
+
+    segments = F.transform(F.sequence(F.lit(0), F.size("keys") - 1), segment)
+    return matrix.withColumn("cum", F.hex("cu_seqlens")).select(F.inline(segments))
 
 
 def write_packed(df: DataFrame, path: str, tokenizer: str, end_id: int, pad_id: int, **options) -> None:
-    """Write the matrix rows as Parquet (`input_ids`, `cu_seqlens`, `position_ids`) to a shared path."""
+    """Write the matrix rows as Parquet (`input_ids`, `cu_seqlens`, `position_ids`, `keys`, `starts`) to a shared path."""
     packed_rows(df, tokenizer, end_id, pad_id, **options).write.parquet(path)

@@ -10,10 +10,13 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from quarrymap.llm import common
+from quarrymap.llm import queries as registered
 from quarrymap.llm.bpe import ByteBpe, decode_documents, encode_documents, round_trip_digests
 from quarrymap.llm.packing import best_cuts, candidates, pack_documents, tail_cuts
 from quarrymap.llm.token_rows import best_fit_decreasing, packed_rows, write_packed
 from quarrymap.llm.words import WordIds
+from tests.conftest import SF
 from tests.llm.cases import documents, empty, rows
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -163,3 +166,29 @@ def test_token_rows(spark, tmp_path):
             assert pos[p.offset : p.offset + p.length].tolist() == list(range(p.length))
         assert (ids[cum[-1] :] == 49407).all() and (pos[cum[-1] :] == 0).all()
     assert packed_rows(empty(spark), WORD, 1, 0).count() == 0
+
+
+def test_token_rows_query_writes_whole_matrices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: f"file://{tmp_path}")
+    pieces = registered.op9_token_rows(spark, SF).collect()
+    folders = list(tmp_path.glob("token-rows-*"))
+    assert len(folders) == 1
+    matrix = {r.row_id: r for r in spark.read.parquet(str(folders[0])).collect()}
+    lib = Tokenizer.from_file(WORD)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    whole = {r.doc_id: np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 49407], "<u4") for r in docs}
+    cells = defaultdict(int)
+    for r in matrix.values():
+        ids, cum, pos = (np.frombuffer(r[c], "<u4") for c in ("input_ids", "cu_seqlens", "position_ids"))
+        assert len(ids) == len(pos) == 2048 and cum[0] == 0 and len(cum) == len(r["keys"]) + 1
+        for key, start, a, z in zip(r["keys"], r["starts"], cum[:-1].tolist(), cum[1:].tolist()):
+            assert (ids[a:z] == whole[key][start : start + z - a]).all() and (pos[a:z] == np.arange(z - a)).all()
+            cells[key] += z - a
+        assert (ids[cum[-1] :] == 49407).all() and (pos[cum[-1] :] == 0).all()
+    assert cells == {k: len(x) for k, x in whole.items()}
+    assert len(pieces) == sum(len(r["keys"]) for r in matrix.values())
+    for p in pieces:
+        r = matrix[p.row_id]
+        cum, ids = np.frombuffer(r.cu_seqlens, "<u4"), np.frombuffer(r.input_ids, "<u4")
+        assert (r["keys"][p.segment], r["starts"][p.segment], int(cum[p.segment])) == (p.doc_id, p.start, p.offset)
+        assert p.ids_crc32 == zlib.crc32(ids[p.offset : p.offset + p.length].tobytes())
