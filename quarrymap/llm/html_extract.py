@@ -5,7 +5,8 @@ vector of a token holds its count on every page of its host. Equal vectors are f
 pages: each page adds mix(page, count) to a 64-bit sum per (host, token), and tokens of equal sums over
 equally many pages are one equivalence class. Classes of at least two pages are valid; a class is nested
 in the widest valid class that holds the parent path of its tokens, and all tokens so nested form the
-host's template. Its slots whose text never varies, or is mostly links, are boilerplate. Extraction
+host's template. Its slots whose text never varies, or is mostly links, are boilerplate if at least MIN_PAGES pages of different contents hold them (copies of
+a page are one page; up to MIN_PAGES content hashes a slot are carried, enough for the test). Extraction
 drops those and, by name, what is never an article (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments), and keeps the remaining slots. A page that marks its article
 (`article`, `main`, role main) keeps all unnamed slots inside the mark and nothing outside it.
@@ -170,6 +171,12 @@ def mix(page: str, count: int) -> int:
     return xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"), count) >> 8  # sums of 2**7 partial sums and more wrap alike
 
 
+def content_of(found: list[Block]) -> int:
+    """Hash of a page's own texts: copies of one article differ in menus, link lists and adverts at most."""
+    own = [b.text for b in found if not b.named and b.links < LINK_SHARE * len(b.text)]
+    return xxhash.xxh64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) >> 1
+
+
 def slot_rows(df: DataFrame, html_col: str) -> DataFrame:
     """Partial sums per (host, path) and batch of pages."""
 
@@ -183,33 +190,36 @@ def slot_rows(df: DataFrame, html_col: str) -> DataFrame:
                 for x in found:
                     texts.setdefault(x.path, []).append(x)
                 key = xxhash.xxh64_hexdigest(page.encode("utf-8", "surrogatepass"))
+                content = content_of(found)
                 for path, n in counts.items():
                     own = texts[path]
                     h = xxhash.xxh64_intdigest("\n".join(x.text for x in own).encode("utf-8", "surrogatepass")) >> 1
-                    row = held.setdefault((host, path), [0, 0, h, h, 0, 0])
+                    row = held.setdefault((host, path), [0, 0, h, h, 0, 0, set()])
                     row[0] = (row[0] + mix(key, n)) & ((1 << 56) - 1)
                     row[1] += 1
                     row[2], row[3] = min(row[2], h), max(row[3], h)
                     row[4] += sum(len(x.text) for x in own)
                     row[5] += sum(x.links for x in own)
+                    if len(row[6]) < MIN_PAGES:
+                        row[6].add(content)
             if held:
-                columns = list(zip(*held.values()))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["host", "path", "vector", "pages", "low", "high", "chars", "links"])
+                *columns, contents = zip(*held.values())
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array(list(map(list, contents)), pa.list_(pa.int64()))], names=["host", "path", "vector", "pages", "low", "high", "chars", "links", "contents"])
 
-    return df.select("host", html_col).mapInArrow(run, "host string, path string, vector long, pages long, low long, high long, chars long, links long")
+    return df.select("host", html_col).mapInArrow(run, "host string, path string, vector long, pages long, low long, high long, chars long, links long, contents array<long>")
 
 
 def templates(df: DataFrame, html_col: str = "html") -> DataFrame:
     """(host, path, class, parent_class, pages, boilerplate): the nested valid classes of every host."""
     rows = slot_rows(df, html_col).groupBy("host", "path").agg(
-        F.sum(F.col("vector") % (1 << 40)).alias("vector"), F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+        F.sum(F.col("vector") % (1 << 40)).alias("vector"), F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.size(F.array_distinct(F.flatten(F.collect_list("contents")))).alias("contents")
     )
     rows = rows.filter(F.col("pages") >= 2).withColumn("class", F.xxhash64("vector", "pages"))
     up = rows.select("host", F.col("path").alias("up"), F.col("class").alias("parent_class"), F.col("pages").alias("up_pages"))
     parent = F.regexp_replace("path", r"/[^/]*$", "")
     nested = rows.withColumn("up", parent).join(up, ["host", "up"], "left")
-    fixed = (F.col("low") == F.col("high")) & (F.col("pages") >= MIN_PAGES)
-    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & (F.col("pages") >= MIN_PAGES)
+    fixed = (F.col("low") == F.col("high")) & (F.col("contents") >= MIN_PAGES)
+    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & (F.col("contents") >= MIN_PAGES)
     return nested.select("host", "path", "class", F.when(F.col("up_pages") >= F.col("pages"), F.col("parent_class")).alias("parent_class"), "pages", (fixed | linked).alias("boilerplate"))
 
 

@@ -58,6 +58,15 @@ def test_template_slots_without_article_mark(spark):
     assert extract_main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("host", ["http://copies.example/", None])
+def test_copies_of_a_page_are_no_template(spark, host):
+    page = "<body><nav>menu {k}</nav><div class='ad'>ad {k}</div><div class='content'><p>The one article.</p><p>Its end.</p></div></body>"
+    for same in (True, False):  # exact copies; copies under other menus and adverts
+        rows = [(k, host and f"{host}{k}", page.replace("{k}", "x" if same else str(k))) for k in range(7)]
+        got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert [r.text for r in got] == ["The one article.\nIts end."] * 7
+
+
 def test_templates_joined_beyond_the_broadcast_limit(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = sorted(map(tuple, extract_main_text(pages).collect()))
