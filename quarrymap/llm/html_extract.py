@@ -1,15 +1,18 @@
 """HTML extraction (operator 4): equivalence-class template deduction over the pages of a host.
 
-Tokens are the pages' block slots: an element path such as `body/div.wrap/article/p`. The occurrence
-vector of a token holds its count on every page of its host. Equal vectors are found without gathering
-pages: each page adds mix(page, count) to a 64-bit sum per (host, token), and tokens of equal sums over
-equally many pages are one equivalence class. Classes of at least two pages are valid; a class is nested
-in the widest valid class that holds the parent path of its tokens, and all tokens so nested form the
-host's template. Its slots whose text never varies, or is mostly links, are boilerplate if at least MIN_PAGES pages of different contents hold them (copies of
-a page are one page; up to MIN_PAGES content hashes a slot are carried, enough for the test). Extraction
-drops those and, by name, what is never an article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments), and keeps the remaining slots. A page that marks its article
-(`article`, `main`, role main) keeps all unnamed slots inside the mark and nothing outside it.
+Tokens are the pages' slots, an element path such as `body/div.wrap/article/p` and every path above it,
+and the texts that stand in a slot. The occurrence vector of a token says on which pages of its host it
+stands. Equal vectors are found without gathering pages: each page adds its hash to a 64-bit sum per
+(host, token), and tokens of equal sums over equally many pages are one equivalence class. Classes on at
+least MIN_PAGES pages of different contents are valid (copies of a page are one page; up to MIN_PAGES
+content hashes a token are carried, enough for the test). A class is nested in the nearest slot above that
+stands on more pages. Text in the class of its slot or of a slot above is on every page that has that slot:
+it is the host's template. All other text of a slot is data.
+
+Extraction drops the template's texts on all pages, marked or not, and by name what is never an article
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). A page that
+marks its article (`article`, `main`, role main) keeps what is left inside the mark and nothing outside it;
+on other pages, slots of valid classes whose text is mostly links go too.
 
 Sums are partial before they are shuffled, so a host with a third of all pages is no hot group; the
 templates are broadcast only if they are small, and joined otherwise (a skewed join Spark can split).
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,6 +40,7 @@ from quarrymap.llm.common import materialize, texts_of
 BROADCAST_BYTES = 8 << 20
 DEPTH = 12
 MIN_PAGES, LINK_SHARE = 4, 0.6
+HELD = 100_000  # tokens a batch of partial sums
 
 # Element and class names of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,19 +159,27 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def main_text(found: list[Block], boilerplate: frozenset[str] | set[str]) -> str:
-    """The article's blocks, joined; boilerplate slots count only on pages without a marked article."""
+def text_token(path: str, text: str) -> str:
+    """A text in a slot as a token; a slot itself is its path, which holds no line break."""
+    return f"{path}\n{xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+
+
+def main_text(found: list[Block], template: frozenset[str] | set[str]) -> str:
+    """The article's blocks but the template's texts, joined; slots of links count only on pages without a marked article."""
     left = [b for b in found if not b.named]
-    if any(b.main for b in left):
+    marked = any(b.main for b in left)
+    if template:
+        left = [b for b in left if text_token(b.path, b.text) not in template]
+    if marked:
         return "\n".join(b.text for b in left if b.main)
-    left = [b for b in left if b.path not in boilerplate]
+    left = [b for b in left if b.path not in template]
     if any(b.likely for b in left):
         left = [b for b in left if b.likely]
     return "\n".join(b.text for b in left)
 
 
-def mix(page: str, count: int) -> int:
-    return xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"), count) >> 8  # sums of 2**7 partial sums and more wrap alike
+def mix(page: int) -> int:
+    return page >> 8  # sums of 2**7 partial sums and more wrap alike
 
 
 def content_of(found: list[Block]) -> int:
@@ -177,58 +188,80 @@ def content_of(found: list[Block]) -> int:
     return xxhash.xxh64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) >> 1
 
 
-def slot_rows(df: DataFrame, html_col: str) -> DataFrame:
-    """Partial sums per (host, path) and batch of pages."""
+def prefixes(path: str) -> list[str]:
+    """The path and those above it."""
+    parts = path.split("/")
+    return ["/".join(parts[:n]) for n in range(len(parts), 0, -1)]
+
+
+def token_rows(df: DataFrame, html_col: str) -> DataFrame:
+    """Partial sums per (host, token) and up to HELD tokens: slots at any depth, and texts in slots."""
+    names = ["host", "token", "vector", "pages", "chars", "links", "contents"]
+
+    def rows(held: dict[tuple[str, str], list]) -> pa.RecordBatch:
+        *columns, contents = zip(*held.values())
+        arrays = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array(list(map(list, contents)), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            held: dict[tuple[str, str], list[int]] = {}
+            held: dict[tuple[str, str], list] = {}
             for host, page in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
                 found = blocks(page)
-                counts = Counter(x.path for x in found)
-                texts: dict[str, list[Block]] = {}
+                key, content = mix(xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))), content_of(found)
+                slots: dict[str, list[int]] = {}
                 for x in found:
-                    texts.setdefault(x.path, []).append(x)
-                key = xxhash.xxh64_hexdigest(page.encode("utf-8", "surrogatepass"))
-                content = content_of(found)
-                for path, n in counts.items():
-                    own = texts[path]
-                    h = xxhash.xxh64_intdigest("\n".join(x.text for x in own).encode("utf-8", "surrogatepass")) >> 1
-                    row = held.setdefault((host, path), [0, 0, h, h, 0, 0, set()])
-                    row[0] = (row[0] + mix(key, n)) & ((1 << 56) - 1)
+                    size = slots.setdefault(x.path, [0, 0])
+                    size[0] += len(x.text)
+                    size[1] += x.links
+                tokens = {p: (0, 0) for path in slots for p in prefixes(path)} | slots | {text_token(x.path, x.text): (0, 0) for x in found}
+                for token, (chars, links) in tokens.items():
+                    row = held.setdefault((host, token), [0, 0, 0, 0, set()])
+                    row[0] = (row[0] + key) & ((1 << 56) - 1)
                     row[1] += 1
-                    row[2], row[3] = min(row[2], h), max(row[3], h)
-                    row[4] += sum(len(x.text) for x in own)
-                    row[5] += sum(x.links for x in own)
-                    if len(row[6]) < MIN_PAGES:
-                        row[6].add(content)
+                    row[2] += chars
+                    row[3] += links
+                    if len(row[4]) < MIN_PAGES:
+                        row[4].add(content)
+                if len(held) >= HELD:
+                    yield rows(held)
+                    held = {}
             if held:
-                *columns, contents = zip(*held.values())
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array(list(map(list, contents)), pa.list_(pa.int64()))], names=["host", "path", "vector", "pages", "low", "high", "chars", "links", "contents"])
+                yield rows(held)
 
-    return df.select("host", html_col).mapInArrow(run, "host string, path string, vector long, pages long, low long, high long, chars long, links long, contents array<long>")
+    return df.select("host", html_col).mapInArrow(run, "host string, token string, vector long, pages long, chars long, links long, contents array<long>")
 
 
 def templates(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """(host, path, class, parent_class, pages, boilerplate): the nested valid classes of every host."""
-    rows = slot_rows(df, html_col).groupBy("host", "path").agg(
-        F.sum(F.col("vector") % (1 << 40)).alias("vector"), F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.size(F.array_distinct(F.flatten(F.collect_list("contents")))).alias("contents")
+    """(host, path, token, class, parent_class, pages, boilerplate): tokens of the valid classes of every host, nested.
+
+    A text is boilerplate if its class is that of its slot or of a slot above; `parent_class` is the class of
+    the nearest slot that stands on more pages.
+    """
+    found = token_rows(df, html_col).groupBy("host", "token").agg(
+        F.sum(F.col("vector") % (1 << 40)).alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.flatten(F.collect_list("contents")).alias("contents")
+    )
+    # Partial sums are cut at different pages for tokens of one class, so the sum is reduced again.
+    valid = materialize(found.filter(F.size(F.array_distinct("contents")) >= MIN_PAGES).withColumn("class", F.xxhash64(F.col("vector") % (1 << 40), "pages")).drop("contents", "vector"), "template-tokens")
+    valid = valid.withColumn("path", F.substring_index("token", "\n", 1)).withColumn("is_text", F.col("token").contains("\n"))
+    up = valid.filter(~F.col("is_text")).select("host", F.col("token").alias("up"), F.col("class").alias("up_class"), F.col("pages").alias("up_pages"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    nested = valid.withColumn("up", F.explode(above)).join(up, ["host", "up"])
+    wider = F.col("up_pages") > F.col("pages")
+    out = nested.groupBy("host", "path", "token", "class", "pages", "is_text", "chars", "links").agg(
+        F.bool_or(F.col("up_class") == F.col("class")).alias("same"), F.max_by(F.when(wider, F.col("up_class")), F.when(wider, F.length("up"))).alias("parent_class")
     )
-    rows = rows.filter(F.col("pages") >= 2).withColumn("class", F.xxhash64("vector", "pages"))
-    up = rows.select("host", F.col("path").alias("up"), F.col("class").alias("parent_class"), F.col("pages").alias("up_pages"))
-    parent = F.regexp_replace("path", r"/[^/]*$", "")
-    nested = rows.withColumn("up", parent).join(up, ["host", "up"], "left")
-    fixed = (F.col("low") == F.col("high")) & (F.col("contents") >= MIN_PAGES)
-    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & (F.col("contents") >= MIN_PAGES)
-    return nested.select("host", "path", "class", F.when(F.col("up_pages") >= F.col("pages"), F.col("parent_class")).alias("parent_class"), "pages", (fixed | linked).alias("boilerplate"))
+    linked = (F.col("chars") > 0) & (F.col("links") >= LINK_SHARE * F.col("chars"))
+    return out.select("host", "path", "token", "class", "parent_class", "pages", F.when(F.col("is_text"), F.col("same")).otherwise(linked).alias("boilerplate"))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     pages = df.select(F.col(id_col), F.col(url_col), F.col(html_col), F.coalesce(F.lower(F.regexp_extract(url_col, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit("")).alias("__host"))
     found = materialize(templates(pages.withColumnRenamed("__host", "host"), html_col), "templates")
-    slots = found.filter("boilerplate").groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__slots"))
-    size = found.filter("boilerplate").agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0
+    slots = found.filter("boilerplate").groupBy(F.col("host").alias("__host")).agg(F.collect_set("token").alias("__slots"))
+    size = found.filter("boilerplate").agg(F.sum(F.length("host") + F.length("token"))).first()[0] or 0
     pages = pages.join(F.broadcast(slots) if size <= BROADCAST_BYTES else slots, "__host", "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

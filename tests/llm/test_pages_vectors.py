@@ -67,6 +67,22 @@ def test_copies_of_a_page_are_no_template(spark, host):
         assert [r.text for r in got] == ["The one article.\nIts end."] * 7
 
 
+def test_classes_decide_inside_marked_pages(spark):
+    own = "<p>Story {k} of the day.</p><p>More about {k}.</p>"
+    fixed, once = "<p>Read our other stories.</p>", "<div class='box'>Only some pages have a box.</div>"
+    page = lambda k: f"<body><article><h1>Head {k}</h1>{own.replace('{k}', str(k))}{fixed}{once if k < 5 else ''}{'<p>Said on some.</p>' if k < 5 else ''}</article></body>"
+    frame = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(9)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(frame).collect()}
+    # The fixed paragraph is in the class of the page, the box in that of its own slot; a text on some pages of a wider slot is data.
+    assert got == {k: f"Head {k}\nStory {k} of the day.\nMore about {k}." + ("\nSaid on some." if k < 5 else "") for k in range(9)}
+    found = templates(frame.select(F.lit("h").alias("host"), "html")).collect()
+    slot = {r.path: r for r in found if r.token == r.path}
+    texts = [r for r in found if r.token != r.path]
+    assert {(r.path, r.boilerplate, r["class"] == slot[r.path]["class"]) for r in texts} == {("body/article/p", True, True), ("body/article/div.box", True, True), ("body/article/p", False, False)}
+    assert slot["body/article/div.box"].parent_class == slot["body/article"]["class"] == slot["body"]["class"] and slot["body"].parent_class is None
+    assert {r["class"] for r in found if r.token in ("body/article", "body/article/div.box")} == {slot["body"]["class"], slot["body/article/div.box"]["class"]}
+
+
 def test_templates_joined_beyond_the_broadcast_limit(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = sorted(map(tuple, extract_main_text(pages).collect()))
