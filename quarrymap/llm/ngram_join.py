@@ -23,7 +23,7 @@ joins that adaptive execution can split.
 
 Defined cases: null, empty and word-less texts have the empty set and link with nothing; a row with a
 null id gets its set size and a null component; rows that repeat an id are separate texts of the same
-component only if linked; equal sets always share a component; an empty table gives no rows; the input's
+component only if linked (both components may have that id as their least); equal sets always share a component; an empty table gives no rows; the input's
 other columns are ignored. The chance that a text of 64 or more shingles has too few blocks for step 2
 is below 1e-9.
 """
@@ -359,8 +359,8 @@ def near_pairs(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     return sized.filter(near("na", "sa", "nb", "sb")).select("a", "b")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, h): sorted shingle hashes of the texts of some ids."""
+def whole_sets(docs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, h): sorted shingle hashes of the texts of some classes; `texts` has each class's row (id, doc, tfp)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -370,10 +370,11 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts).tolist()
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array([h[e - n : e].tobytes() for e, n in zip(ends, counts.tolist())], pa.binary())], names=["id", "h"])
 
-    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, h binary").groupBy("id").agg(F.min("h").alias("h"))
+    rows = docs.join(texts.join(ids, "id", "left_semi"), ["doc", "tfp"])
+    return rows.select("id", "text").mapInArrow(run, "id long, h binary").groupBy("id").agg(F.min("h").alias("h"))
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def linked_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs verified on whole sets."""
 
     @F.pandas_udf("boolean")
@@ -389,7 +390,7 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(whole_sets(docs, ids), "sets")
+    sets = materialize(whole_sets(docs, ids, texts), "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "h": "ha"}), "a").join(sets.withColumnsRenamed({"id": "b", "h": "hb"}), "b")
     return both.filter(linked("ha", "hb")).select("a", "b")
 
@@ -482,30 +483,37 @@ def cross_pairs(rest: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tfp, n, fa, fb, component) of every row; tfp is the hash of the row's text."""
+    """(id, tfp, n, fa, fb, component, root) of every row; tfp is the hash of the row's text, root keys its component.
+
+    Up to `root`, a class goes by its least row's id, or by a hash of that row if several classes have that id.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tfp"))
     stats = materialize(set_stats(rows), "stats")
-    docs = rows.filter(F.col("id").isNotNull())
+    docs = rows.filter(F.col("id").isNotNull()).withColumnRenamed("id", "doc")
     # Rows that share an id but not their text are kept apart by the set's fingerprint.
     classes = stats.filter("n > 0 AND id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "tfp", "need0", "need1", "sketch")).alias("r"))
-    classes = materialize(classes.select("fa", "fb", "n", "r.*"), "classes")
+    classes = classes.select("fa", "fb", "n", "r.*").withColumnRenamed("id", "doc")
+    alone = F.count("*").over(Window.partitionBy("doc")) == 1
+    classes = materialize(classes.withColumn("id", F.when(alone, F.col("doc")).otherwise(F.xxhash64("doc", "fa", "fb", "n"))), "classes")
+    texts = classes.select("id", "doc", "tfp")
     # Only representatives are sketched: copies would make a text's own blocks look common.
-    chosen = docs.join(classes.select("id", "tfp"), ["id", "tfp"], "left_semi")
+    chosen = docs.join(texts, ["doc", "tfp"])
     kept = materialize(rare_blocks(shared_blocks(packed_blocks(chosen)), classes), "blocks")
     groups = materialize(kept.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("signature", "a"), "groups")
     grouped = materialize(kept.join(groups, "signature").select("signature", "a", F.col("id").alias("b")), "grouped")
     star = grouped.filter("a <> b").select("a", "b").distinct()
-    edges = materialize(linked_pairs(materialize(near_pairs(star, classes), "star"), docs), "links")
+    edges = materialize(linked_pairs(materialize(near_pairs(star, classes), "star"), docs, texts), "links")
     found = components(edges)
     members = grouped.select("signature", F.col("b").alias("id")).join(classes.select("id", "n", "sketch"), "id")
     more = materialize(cross_pairs(mixed_blocks(members, found)), "more")
     if not more.isEmpty():
-        found = components(edges.unionByName(linked_pairs(more, docs)))
-    member = stats.join(classes.select("fa", "fb", "n", F.col("id").alias("rep")), ["fa", "fb", "n"], "left")
-    member = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return member.select("id", "tfp", "n", "fa", "fb", component.alias("component"))
+        found = components(edges.unionByName(linked_pairs(more, docs, texts)))
+    least = found.join(texts, "id").groupBy("component").agg(F.min("doc").alias("first"))
+    found = found.join(least, "component").select(F.col("id").alias("rep"), F.col("component").alias("root"), "first")
+    member = stats.join(classes.select("fa", "fb", "n", "doc", F.col("id").alias("rep")), ["fa", "fb", "n"], "left").join(found, "rep", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("first", "doc", "id"))
+    return member.select("id", "tfp", "n", "fa", "fb", component.alias("component"), F.coalesce("root", "rep").alias("root"))
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -519,7 +527,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows with a null id or no word stay.
     """
     found = classify(df, id_col, text_col).filter("id = component AND n > 0")
-    first = found.groupBy("id", "fa", "fb", "n").agg(F.min("tfp").alias("__tfp")).select(F.col("id").alias("__id"), "__tfp", F.lit(True).alias("__first")).distinct()
+    first = found.groupBy("root").agg(F.min(F.struct("id", "tfp")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.tfp").alias("__tfp"), F.lit(True).alias("__first")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.withColumns({"__id": F.col(id_col).cast("long"), "__tfp": F.xxhash64(text)})
     free = F.col("__id").isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")

@@ -77,6 +77,17 @@ def test_ngram_join_odd_rows(spark):
     assert ids[6] == ids[3] == 1 and 7 not in ids and 12 not in ids and ids[None] == 2 and ids[0] == ids[1] == 1
 
 
+def test_ngram_join_of_one_id_with_two_texts(spark):
+    rng = random.Random(8)
+    a, b, c = ([f"w{rng.randrange(400)}" for _ in range(90)] for _ in range(3))
+    near = lambda words, n: " ".join([*words[:-n], *(f"x{n}{i}" for i in range(n))])
+    data = [(10, " ".join(a)), (10, " ".join(b)), (1, near(a, 2)), (11, near(b, 2)), (12, near(b, 3)), (20, " ".join(c)), (20, near(c, 2)), (30, "one two three four five six"), (10, " ".join(b))]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.near_duplicate_classes(frame).collect())) == sorted(brute_components(data))
+    kept = sorted(map(tuple, ngram_join.keep_one(frame).collect()))
+    assert [k for k, _ in kept] == [1, 10, 20, 30] and (10, " ".join(b)) in kept
+
+
 def test_blocks_bound_the_difference():
     rng = np.random.default_rng(2)
     for n in (70, 200, 900):
