@@ -35,8 +35,9 @@ def file_page(files: DataFrame, page: int = 1, size: int = 50, sort: str = "impo
     if page < 1 or not 1 <= size <= 500:
         raise ValueError("page counts from 1, and a page has 1 to 500 files")
     numbered = Window.partitionBy("analysis_id").orderBy(*sort_columns(sort, order))
-    rows = files.withColumns({"position": F.row_number().over(numbered), "total": F.count("*").over(Window.partitionBy("analysis_id"))})
-    return rows.filter((F.col("position") > (page - 1) * size) & (F.col("position") <= page * size))
+    # Only the rows up to the page's end are ranked in one task; the count is an aggregation of its own.
+    rows = files.withColumn("position", F.row_number().over(numbered)).filter((F.col("position") <= page * size) & (F.col("position") > (page - 1) * size))
+    return rows.join(files.groupBy("analysis_id").agg(F.count("*").alias("total")), "analysis_id")
 
 
 def count_files(files: DataFrame) -> DataFrame:

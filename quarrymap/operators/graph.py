@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the sentence that goes with every impact view.
 DISCLAIMER = "These files may be structurally affected because they depend on the selected module. This is not a guarantee of runtime impact."
 
 
@@ -28,7 +29,8 @@ def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
 def dependents(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """(analysis_id, selected, dependent, depth) at depth 1 and 2, of selected (analysis_id, path).
 
-    Depth 2 leaves out the selected file and its direct dependents. Two shuffled joins on the target.
+    Depth 2 leaves out the selected file and its direct dependents. Two shuffled joins on the target; pairs
+    are made distinct once, with their least depth, and partly before the last shuffle.
     """
     back = edges.select("analysis_id", F.col("target_path").alias("at"), F.col("source_path").alias("dependent")).distinct()
     start = selected.select("analysis_id", F.col("path").alias("selected")).distinct()
@@ -100,7 +102,8 @@ def subgraph_nodes(files: DataFrame, edges: DataFrame, limit: int = 50, include_
     A candidate brings its neighbours (targets, then sources, in path order; only the test filter holds
     for them). The fill is a sequence of events with a running count of distinct files: it stops with the
     neighbour that reaches the limit. A candidate that reaches it still brings one neighbour, so a view
-    may hold limit + 1 files; `strict` keeps to the limit.
+    may hold limit + 1 files; `strict` keeps to the limit. Every candidate is a file of the view, so the
+    first `limit` candidates fill it, and only they and their neighbours are put in order.
     """
     shown = files if include_tests else files.filter(~F.col("is_test"))
     wanted = shown
@@ -111,7 +114,8 @@ def subgraph_nodes(files: DataFrame, edges: DataFrame, limit: int = 50, include_
     if search and search.strip():
         wanted = wanted.filter(F.lower("path").contains(search.lower().strip()))
     order = Window.partitionBy("analysis_id").orderBy(F.desc("is_entry_point"), F.desc("importance_score"), "path")
-    ranked = wanted.select("analysis_id", "path", F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy("analysis_id")).alias("candidates"))
+    ranked = wanted.select("analysis_id", "path", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= limit)
+    candidates = wanted.groupBy("analysis_id").agg(F.count("*").alias("candidates"))
     pairs = edges.select("analysis_id", "source_path", "target_path").distinct()
     out = pairs.select("analysis_id", F.col("source_path").alias("path"), F.col("target_path").alias("node"), F.lit(1).alias("side"))
     into = pairs.select("analysis_id", F.col("target_path").alias("path"), F.col("source_path").alias("node"), F.lit(2).alias("side"))
@@ -126,9 +130,9 @@ def subgraph_nodes(files: DataFrame, edges: DataFrame, limit: int = 50, include_
     kept = events.filter(F.col("stop").isNull() | (F.col("at") <= F.col("stop")))
     if strict:
         kept = kept.filter(F.col("count") <= limit)
-    nodes = kept.groupBy("analysis_id", F.col("node").alias("path")).agg(F.max("candidates").alias("candidates"))
+    nodes = kept.select("analysis_id", F.col("node").alias("path")).distinct().join(candidates, "analysis_id")
     size = F.count("*").over(Window.partitionBy("analysis_id"))
-    return nodes.select("analysis_id", "path", (size < F.max("candidates").over(Window.partitionBy("analysis_id"))).alias("truncated"))
+    return nodes.select("analysis_id", "path", (size < F.col("candidates")).alias("truncated"))
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymap.functions import paths, text, urls
 from quarrymap.operators import answers, catalog, chunks, classify, graph, modules, retrieval, store, summary
+from quarrymap.plans import literal_queries, status_queries  # noqa: F401  they register queries
 from quarrymap.plans import synthetic as syn
+from quarrymap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from quarrymap.schemas import IMPORT
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-EDGES, THIN = syn.edges_sql(), syn.edges_sql(8)
+EDGES = syn.EDGES
 FILES = syn.files_sql()
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 # -- graph ---------------------------------------------------------------------------------------
 
 
@@ -82,72 +69,67 @@ def top_files_per_category(spark, sf):
     return syn.files(spark, sf).withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 5").select("category", "path", "importance_score", "rank")
 
 
-SELECTED = "part % 100 = 7"
 DEPENDENTS = f"""
-    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), s AS (SELECT path AS selected FROM ({syn.NODES}) WHERE {SELECTED}),
+    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), s AS (SELECT path AS selected FROM ({syn.NODES})),
     d1 AS (SELECT selected, source_path AS dependent FROM s JOIN e ON e.target_path = selected),
     d2 AS (SELECT DISTINCT selected, e.source_path AS dependent FROM d1 JOIN e ON e.target_path = dependent WHERE e.source_path <> selected
            AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.selected = d1.selected AND x.dependent = e.source_path)),
     d AS (SELECT selected, dependent, 1 AS depth FROM d1 UNION ALL SELECT selected, dependent, 2 FROM d2)"""
 
 
-def _selected(spark, sf):
-    return syn.nodes(spark, sf).filter(SELECTED)
-
-
 @query(f"{DEPENDENTS} SELECT selected, dependent FROM d WHERE depth = 1")
 def impact_direct(spark, sf):
-    return graph.dependents(syn.edges(spark, sf), _selected(spark, sf)).filter("depth = 1").select("selected", "dependent")
+    return graph.dependents(syn.edges(spark, sf), syn.nodes(spark, sf)).filter("depth = 1").select("selected", "dependent")
 
 
 @query(f"{DEPENDENTS} SELECT selected, dependent FROM d WHERE depth = 2")
 def impact_second_level(spark, sf):
-    return graph.dependents(syn.edges(spark, sf), _selected(spark, sf)).filter("depth = 2").select("selected", "dependent")
+    return graph.dependents(syn.edges(spark, sf), syn.nodes(spark, sf)).filter("depth = 2").select("selected", "dependent")
 
 
 @query(f"""{DEPENDENTS}
     SELECT selected AS selected_path, coalesce(string_agg(dependent, ',' ORDER BY dependent) FILTER (is_test), '') AS related_tests, coalesce(string_agg(dependent, ',' ORDER BY dependent) FILTER (is_entry_point), '') AS affected_entry_points
     FROM s LEFT JOIN d USING (selected) LEFT JOIN ({syn.NODES}) n ON n.path = dependent GROUP BY 1""")
 def impact_tests_entries(spark, sf):
-    found = graph.change_impact(syn.nodes(spark, sf), syn.edges(spark, sf), _selected(spark, sf))
+    found = graph.change_impact(syn.nodes(spark, sf), syn.edges(spark, sf), syn.nodes(spark, sf))
     return found.select("selected_path", F.array_join("related_tests", ",").alias("related_tests"), F.array_join("affected_entry_points", ",").alias("affected_entry_points"))
 
 
 @query(f"""
-    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({THIN})), d1 AS (SELECT target_path AS selected, source_path AS dependent FROM e),
+    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), d1 AS (SELECT target_path AS selected, source_path AS dependent FROM e),
     d2 AS (SELECT DISTINCT d1.selected, e.source_path AS dependent FROM d1 JOIN e ON e.target_path = d1.dependent WHERE e.source_path <> d1.selected),
     d AS (SELECT selected, dependent, min(depth) AS depth FROM (SELECT selected, dependent, 1 AS depth FROM d1 UNION ALL SELECT selected, dependent, 2 FROM d2) GROUP BY 1, 2)
     SELECT selected, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth = 2) AS second_level FROM d GROUP BY 1""")
 def impact_all_counts(spark, sf):
-    found = graph.dependents(syn.edges(spark, sf, 8), syn.nodes(spark, sf))
+    found = graph.dependents(syn.edges(spark, sf), syn.nodes(spark, sf))
     return found.groupBy("selected").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("second_level"))
 
 
 @query(f"""
-    WITH RECURSIVE e AS (SELECT DISTINCT source_path, target_path FROM ({THIN})),
-    r AS (SELECT path AS selected, path AS dependent, 0 AS depth FROM ({syn.NODES}) WHERE {SELECTED}
+    WITH RECURSIVE e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})),
+    r AS (SELECT path AS selected, path AS dependent, 0 AS depth FROM ({syn.NODES})
           UNION SELECT r.selected, e.source_path, r.depth + 1 FROM r JOIN e ON e.target_path = r.dependent WHERE r.depth < 3)
     SELECT selected, dependent, min(depth) AS depth FROM r WHERE dependent <> selected GROUP BY 1, 2""")
 def impact_depth_n(spark, sf):
-    return graph.reachable(syn.edges(spark, sf, 8), _selected(spark, sf), 3).select("selected", "dependent", "depth")
+    return graph.reachable(syn.edges(spark, sf), syn.nodes(spark, sf), 3).select("selected", "dependent", "depth")
 
 
 @query(f"""
-    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), s AS (SELECT path AS selected FROM ({syn.NODES}) WHERE {SELECTED}),
+    WITH e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})), s AS (SELECT path AS selected FROM ({syn.NODES})),
     d AS (SELECT selected, source_path AS dep, row_number() OVER (PARTITION BY selected ORDER BY source_path) AS dep_rank FROM s JOIN e ON e.target_path = selected),
     n AS (SELECT d.*, e.source_path AS nxt, row_number() OVER (PARTITION BY selected, dep ORDER BY e.source_path) AS step FROM d JOIN e ON e.target_path = dep WHERE dep_rank <= 8),
     p AS (SELECT selected, dep_rank, 0 AS step, selected || ' ' || dep AS nodes FROM d WHERE dep_rank <= 8 UNION ALL SELECT selected, dep_rank, step, selected || ' ' || dep || ' ' || nxt FROM n WHERE step <= 2 AND nxt <> selected),
     c AS (SELECT selected, dep_rank, sum(count(*)) OVER (PARTITION BY selected ORDER BY dep_rank) - count(*) AS before FROM p GROUP BY 1, 2)
     SELECT p.selected, CAST(p.dep_rank AS INTEGER) AS dep_rank, CAST(p.step AS INTEGER) AS step, nodes FROM p JOIN c USING (selected, dep_rank) WHERE before < 12""")
 def representative_paths(spark, sf):
-    return graph.representative_paths(syn.edges(spark, sf), _selected(spark, sf)).select("selected", "dep_rank", "step", F.array_join("nodes", " ").alias("nodes"))
+    return graph.representative_paths(syn.edges(spark, sf), syn.nodes(spark, sf)).select("selected", "dep_rank", "step", F.array_join("nodes", " ").alias("nodes"))
 
 
 @query(f"""
-    WITH s AS (SELECT path FROM ({syn.NODES}) WHERE {SELECTED}), e AS ({EDGES})
+    WITH s AS (SELECT path FROM ({syn.NODES}) WHERE is_entry_point), e AS ({EDGES})
     SELECT DISTINCT path FROM (SELECT target_path AS path FROM e WHERE source_path IN (FROM s) UNION ALL SELECT source_path FROM e WHERE target_path IN (FROM s)) WHERE path NOT IN (FROM s)""")
 def neighbors_undirected(spark, sf):
-    return graph.neighbours(syn.edges(spark, sf), _selected(spark, sf)).select("path")
+    return graph.neighbours(syn.edges(spark, sf), syn.nodes(spark, sf).filter("is_entry_point")).select("path")
 
 
 @query(f"""
@@ -158,27 +140,42 @@ def induced_subgraph(spark, sf):
     return graph.induced_edges(syn.edges(spark, sf), top).select("source_path", "target_path", "imported_module", "line_number")
 
 
-@query(f"""
-    WITH f AS (SELECT * FROM ({FILES}) WHERE NOT is_test), r AS (SELECT path, row_number() OVER (ORDER BY is_entry_point DESC, importance_score DESC, path) AS rank FROM f),
-    p AS (SELECT DISTINCT source_path, target_path FROM ({THIN})),
+def _view(shown: str = "NOT is_test", wanted: str = "TRUE", limit: int = 50) -> str:
+    """SQL of a bounded view: `shown` files may be brought, `wanted` ones of them bring."""
+    return f"""
+    WITH f AS (SELECT * FROM ({FILES}) WHERE {shown}), r AS (SELECT path, row_number() OVER (ORDER BY is_entry_point DESC, importance_score DESC, path) AS rank FROM f WHERE {wanted}),
+    p AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})),
     ev AS (SELECT rank, 0 AS side, path AS node FROM r
            UNION ALL SELECT rank, 1, target_path FROM r JOIN p ON source_path = path WHERE target_path IN (SELECT path FROM f)
            UNION ALL SELECT rank, 2, source_path FROM r JOIN p ON target_path = path WHERE source_path IN (SELECT path FROM f)),
     c AS (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY rank, side, node) = 1 AS INTEGER) AS new FROM ev),
     k AS (SELECT *, sum(new) OVER w AS n, row_number() OVER w AS pos FROM c WINDOW w AS (ORDER BY rank, side, node ROWS UNBOUNDED PRECEDING)),
-    stop AS (SELECT min(CASE WHEN side > 0 AND n >= 50 THEN pos WHEN side = 0 AND n - new >= 50 THEN pos - 1 END) AS stop FROM k)
-    SELECT DISTINCT node AS path, (SELECT count(DISTINCT node) FROM k, stop WHERE pos <= stop) < (SELECT count(*) FROM r) AS truncated FROM k, stop WHERE pos <= stop""")
+    stop AS (SELECT min(CASE WHEN side > 0 AND n >= {limit} THEN pos WHEN side = 0 AND n - new >= {limit} THEN pos - 1 END) AS stop FROM k)
+    SELECT DISTINCT node AS path, (SELECT count(DISTINCT node) FROM k, stop WHERE stop IS NULL OR pos <= stop) < (SELECT count(*) FROM r) AS truncated FROM k, stop WHERE stop IS NULL OR pos <= stop"""
+
+
+@query(_view())
 def bounded_subgraph(spark, sf):
-    return graph.subgraph_nodes(syn.files(spark, sf), syn.edges(spark, sf, 8)).select("path", "truncated")
+    return graph.subgraph_nodes(syn.files(spark, sf), syn.edges(spark, sf)).select("path", "truncated")
+
+
+@query(_view("TRUE", "is_entry_point", 40))
+def subgraph_of_entry_points(spark, sf):
+    return graph.subgraph_nodes(syn.files(spark, sf), syn.edges(spark, sf), 40, include_tests=True, entry_points_only=True).select("path", "truncated")
+
+
+@query(_view("NOT is_test", "category = 'Services' AND lower(path) LIKE '%brand#1%'".replace("#", ""), 200))
+def subgraph_of_category(spark, sf):
+    return graph.subgraph_nodes(syn.files(spark, sf), syn.edges(spark, sf), 200, category="Services", search=" BRAND1 ").select("path", "truncated")
 
 
 @query(f"""
     WITH e AS ({EDGES})
     SELECT n.path, coalesce((SELECT string_agg(target_path, ',' ORDER BY target_path) FROM e WHERE source_path = n.path), '') AS dependencies,
            coalesce((SELECT string_agg(source_path, ',' ORDER BY source_path) FROM e WHERE target_path = n.path), '') AS importers
-    FROM ({syn.NODES}) n WHERE {SELECTED}""")
+    FROM ({syn.NODES}) n""")
 def file_detail_neighbors(spark, sf):
-    found = catalog.file_neighbours(syn.edges(spark, sf), _selected(spark, sf))
+    found = catalog.file_neighbours(syn.edges(spark, sf), syn.nodes(spark, sf))
     return found.select("path", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("importers", ",").alias("importers"))
 
 
@@ -334,7 +331,7 @@ DOTTED = "replace(replace(replace(target_path, 'src/', ''), '.py', ''), '/', '.'
 
 def _imports(spark, sf):
     """Every edge as an import statement: absolute, from a module, from a package, relative, or external."""
-    e = syn.edges(spark, sf, 8)
+    e = syn.edges(spark, sf)
     kind = F.col("imported_module").cast("long") / 8 % 5
     kind = kind.cast("int")
     dotted = paths.module_name(F.col("target_path"))
@@ -352,7 +349,7 @@ def _resolved(spark, sf):
     return modules.resolve_imports(*_imports(spark, sf))
 
 
-KINDS = f"SELECT *, CAST(CAST(imported_module AS BIGINT) // 8 % 5 AS INTEGER) AS kind, {DOTTED} AS dotted FROM ({THIN})"
+KINDS = f"SELECT *, CAST(CAST(imported_module AS BIGINT) // 8 % 5 AS INTEGER) AS kind, {DOTTED} AS dotted FROM ({EDGES})"
 
 
 @query(f"SELECT source_path, dotted AS imported_module, target_path, line_number, 'high' AS confidence FROM ({KINDS}) WHERE kind IN (0, 1)")
@@ -429,12 +426,12 @@ def secret_scan(spark, sf):
 
 
 @query(f"""
-    WITH i AS (SELECT source_path, 'import ' || imported_module AS raw, row_number() OVER (PARTITION BY source_path ORDER BY imported_module, line_number, target_path) AS n FROM ({THIN}))
+    WITH i AS (SELECT source_path, 'import ' || imported_module AS raw, row_number() OVER (PARTITION BY source_path ORDER BY imported_module, line_number, target_path) AS n FROM ({EDGES}))
     SELECT path, CASE WHEN s IS NULL THEN 'Module ' || path ELSE 'Imports:' || chr(10) || s END AS content
     FROM ({syn.NODES}) LEFT JOIN (SELECT source_path AS path, string_agg(raw, chr(10) ORDER BY n) AS s FROM i WHERE n <= 40 GROUP BY 1) USING (path)""")
 def chunk_overview_text(spark, sf):
     n = F.row_number().over(Window.partitionBy("source_path").orderBy("imported_module", "line_number", "target_path"))
-    own = syn.edges(spark, sf, 8).withColumn("n", n).groupBy(F.col("source_path").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "imported_module"))), lambda x: F.struct(F.concat(F.lit("import "), x.imported_module).alias("raw"))).alias("imports"))
+    own = syn.edges(spark, sf).withColumn("n", n).groupBy(F.col("source_path").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "imported_module"))), lambda x: F.struct(F.concat(F.lit("import "), x.imported_module).alias("raw"))).alias("imports"))
     rows = syn.nodes(spark, sf).join(own, "path", "left")
     imports = F.coalesce("imports", F.array().cast("array<struct<raw:string>>"))
     return rows.select("path", chunks.overview(F.col("path"), F.lit(None).cast("string"), imports, F.array().cast("array<struct<kind:string,name:string>>")).alias("content"))
@@ -490,15 +487,15 @@ COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding
 
 def _vectors(spark, sf):
     e = syn.table(spark, sf, "embeddings").select(F.lit("v").alias("analysis_id"), F.col("vec_id").alias("chunk_id"), "label", "embedding")
-    return e, e.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "analysis_id", "embedding")
+    return e, e.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "analysis_id", "embedding")
 
 
-@query(f"SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0) WHERE rank <= 40")
+@query(f"SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0) WHERE rank <= 40")
 def vector_topk(spark, sf):
     return _rounded(retrieval.vector_scores(*_vectors(spark, sf)), "query_id", "chunk_id", "score", "rank")
 
 
-@query(f"SELECT query_id, label, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0) WHERE rank <= 3")
+@query(f"SELECT query_id, label, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0) WHERE rank <= 3")
 def vector_topk_per_label(spark, sf):
     return _rounded(retrieval.vector_scores(*_vectors(spark, sf), k=3, partition=["label"]), "query_id", "label", "chunk_id", "score", "rank")
 
@@ -538,13 +535,13 @@ def context_budget(spark, sf):
 
 
 #: Retrieved: 20-line windows of documents; cited: a range per label row.
-RANGES = "SELECT doc_id, s AS line_start, least(s + 19, n) AS line_end FROM (SELECT doc_id, n, unnest(range(1, n + 1, 20)) AS s FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)) WHERE doc_id % 3 <> 0"
+RANGES = "SELECT doc_id, s AS line_start, least(s + 19, n) AS line_end FROM (SELECT doc_id, n, unnest(range(1, n + 1, 20)) AS s FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents))"
 
 
 def _cited(spark, sf):
     start = (F.col("doc_id") * 7 % 30 + 1).cast("int")
     cites = syn.table(spark, sf, "labels").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("nth"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), start.alias("line_start"), (start + 10).alias("line_end"), F.lit("").alias("reason"), F.lit(False).alias("is_path"))
-    docs = syn.table(spark, sf, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.explode(chunks.windows(F.lit(1), F.size(F.split("text", "\n")), 20)).alias("w"))
+    docs = syn.table(spark, sf, "documents").select("doc_id", F.explode(chunks.windows(F.lit(1), F.size(F.split("text", "\n")), 20)).alias("w"))
     return cites, docs.select(F.lit(0).alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "w.*", F.col("w.line_start").alias("rank"))
 
 
@@ -575,26 +572,7 @@ def answer_normalize(spark, sf):
 @query(f"""
     SELECT brand, array_to_string((['Where does the application start?', 'How are the main components organized?', 'Which files should I read first?']
            || list_filter([CASE WHEN list_contains(c, 'API / Routes') THEN 'Where are API routes defined?' END, CASE WHEN list_contains(c, 'Models / Data') THEN 'Where is data access or model logic implemented?' END, CASE WHEN list_contains(c, 'Configuration') THEN 'Where is configuration loaded?' END], lambda x: x IS NOT NULL))[1:4], '|') AS questions
-    FROM (SELECT string_split(path, '/')[2] AS brand, list(category) AS c FROM ({syn.NODES}) WHERE part % 9 = 0 GROUP BY 1)""")
+    FROM (SELECT string_split(path, '/')[2] AS brand, list(category) AS c FROM ({syn.NODES}) GROUP BY 1)""")
 def starter_questions(spark, sf):
-    own = syn.nodes(spark, sf).filter("part % 9 = 0").groupBy(F.element_at(F.split("path", "/"), 2).alias("brand")).agg(F.collect_set("category").alias("c"))
+    own = syn.nodes(spark, sf).groupBy(F.element_at(F.split("path", "/"), 2).alias("brand")).agg(F.collect_set("category").alias("c"))
     return own.select("brand", F.array_join(summary.starter_questions(F.col("c")), "|").alias("questions"))
-
-
-def ast_parse_demo(spark, sf):
-    """Rows only: the whole analysis of two small repositories held in the code."""
-    from quarrymap.plans.analysis import analyze
-    from quarrymap.plans.demo import raw_files
-
-    return analyze(raw_files(spark)).files.drop("symbols")
-
-
-def tar_source(spark, sf):
-    """Rows only: the same repositories read from archives made in memory."""
-    from quarrymap.plans.demo import archives
-    from quarrymap.sources.repositories import archive_members, checked_members
-
-    return checked_members(archive_members(archives(spark)))
-
-
-QUERIES |= {f.__name__: f for f in (ast_parse_demo, tar_source)}

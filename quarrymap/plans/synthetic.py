@@ -51,12 +51,10 @@ NODES = f"""
     FROM part"""
 
 
-def raw_edges(spark: SparkSession, sf_dir: str, thin: int = 1) -> DataFrame:
-    """Successions of parts within an order, with repeats and self-loops; `thin` keeps every nth order."""
+def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successions of parts within an order, with repeats and self-loops."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    if thin > 1:
-        lines = lines.filter(F.col("l_orderkey") % thin == 0)
     steps = lines.withColumn("next", F.lead("l_partkey").over(order)).filter("next IS NOT NULL")
     ends = table(spark, sf_dir, "part").select(F.col("p_partkey"), part_path().alias("path"))
     source = ends.select(F.col("p_partkey").alias("l_partkey"), F.col("path").alias("source_path"))
@@ -68,28 +66,26 @@ def raw_edges(spark: SparkSession, sf_dir: str, thin: int = 1) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, thin: int = 1) -> DataFrame:
-    return graph.dependency_edges(raw_edges(spark, sf_dir, thin))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dependency_edges(raw_edges(spark, sf_dir))
 
 
-def edges_sql(thin: int = 1) -> str:
-    keep = f"WHERE l_orderkey % {thin} = 0" if thin > 1 else ""
-    return f"""
+EDGES = f"""
     SELECT DISTINCT a.path AS source_path, b.path AS target_path, CAST(s.l_orderkey AS VARCHAR) AS imported_module, s.l_linenumber AS line_number
-    FROM (SELECT l_orderkey, l_linenumber, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem {keep}) s
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem) s
     JOIN ({NODES}) a ON a.part = s.l_partkey JOIN ({NODES}) b ON b.part = s.nxt
     WHERE s.l_partkey <> s.nxt"""
 
 
-def files(spark: SparkSession, sf_dir: str, thin: int = 8) -> DataFrame:
-    """Nodes with degrees over the thinned edges and importance (the full graph's scores saturate)."""
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with degrees over all edges and importance (many scores reach the cap; ties go by path)."""
     rows = nodes(spark, sf_dir)
-    rows = rows.join(graph.degrees(rows, edges(spark, sf_dir, thin)), ["analysis_id", "path"])
+    rows = rows.join(graph.degrees(rows, edges(spark, sf_dir)), ["analysis_id", "path"])
     args = F.col("incoming_count"), F.col("outgoing_count"), F.col("is_entry_point")
     return rows.withColumns({"importance_score": classify.importance(*args, F.col("symbol_count"), F.col("category")), "importance_reason": classify.importance_sentence(*args, F.col("category"))})
 
 
-def files_sql(thin: int = 8) -> str:
+def files_sql() -> str:
     from quarrymap.schemas import CATEGORY_BONUS
 
     bonus = " ".join(f"WHEN '{c}' THEN {b}" for c, b in CATEGORY_BONUS.items())
@@ -100,5 +96,5 @@ def files_sql(thin: int = 8) -> str:
            || ' with ' || coalesce(o.d, 0) || ' outgoing dependency edge' || CASE WHEN coalesce(o.d, 0) <> 1 THEN 's' ELSE '' END
            || CASE WHEN is_entry_point THEN ' and detected as an application entry point' ELSE '' END || ' (category: ' || category || ').' AS importance_reason
     FROM ({NODES}) n
-    LEFT JOIN (SELECT target_path AS path, count(DISTINCT source_path) AS d FROM ({edges_sql(thin)}) GROUP BY 1) i USING (path)
-    LEFT JOIN (SELECT source_path AS path, count(DISTINCT target_path) AS d FROM ({edges_sql(thin)}) GROUP BY 1) o USING (path)"""
+    LEFT JOIN (SELECT target_path AS path, count(DISTINCT source_path) AS d FROM ({EDGES}) GROUP BY 1) i USING (path)
+    LEFT JOIN (SELECT source_path AS path, count(DISTINCT target_path) AS d FROM ({EDGES}) GROUP BY 1) o USING (path)"""
