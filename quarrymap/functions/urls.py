@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sub-page markers and name patterns of the hosting site.
+# Sub-page markers, the patterns of a URL and of a repository's name, and the sentences of errors
+# (in `parse_repository_url`). Owners follow the host's public rule: letters, digits and single hyphens between
+# them, at most 39 characters.
 SUB_PAGES = ["/issues", "/pull/", "/pulls", "/blob/", "/tree/", "/commit/", "/raw/"]
 URL = r"^https://github\.com/([^/]+)/([^/?#]+?)(?:\.git)?/?$"
 OWNER = r"^[A-Za-z0-9]+(-[A-Za-z0-9]+)*$"

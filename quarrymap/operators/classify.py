@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quarrymap.functions.paths import basename, is_test_path, parts
 from quarrymap.schemas import CATEGORY_BONUS
 
-# Entry file names, notable symbols, labels of framework hints and what makes confidence high.
+# Entry file names, notable symbols, labels of framework hints, what makes confidence high, and the
+# sentences of reasons here and in `entry_reasons` and `classify`.
 ENTRY_NAMES = ["main.py", "app.py", "server.py", "cli.py", "manage.py", "wsgi.py", "asgi.py", "__main__.py"]
 SURE_NAMES = ["__main__.py", "manage.py", "wsgi.py", "asgi.py"]
 NOTABLE = ["main", "cli", "app", "create_app", "get_application"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +87,19 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, selected: DataFrame, depth: int) -> DataFrame:
-    """(analysis_id, selected, dependent, depth): least depth of every dependent up to `depth`."""
+    """(analysis_id, selected, dependent, depth): least depth of every dependent up to `depth`.
+
+    A level is the distinct dependents of the level before, whose exchange Spark reuses; least depths are
+    taken once over all levels.
+    """
     back = edges.select("analysis_id", F.col("target_path").alias("at"), F.col("source_path").alias("dependent")).distinct()
-    seen = selected.select("analysis_id", F.col("path").alias("selected"), F.col("path").alias("dependent"), F.lit(0).alias("depth")).distinct()
-    edge = seen
+    level = selected.select("analysis_id", F.col("path").alias("selected"), F.col("path").alias("dependent")).distinct()
+    levels = []
     for d in range(1, depth + 1):
-        edge = edge.select("analysis_id", "selected", F.col("dependent").alias("at")).join(back, ["analysis_id", "at"]).select("analysis_id", "selected", "dependent").distinct()
-        edge = edge.join(seen.select("analysis_id", "selected", "dependent"), ["analysis_id", "selected", "dependent"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(edge)
-    return seen.filter("depth > 0")
+        level = level.withColumnRenamed("dependent", "at").join(back, ["analysis_id", "at"]).select("analysis_id", "selected", "dependent").distinct()
+        levels.append(level.withColumn("depth", F.lit(d)))
+    found = reduce(DataFrame.unionByName, levels).filter("dependent <> selected")
+    return found.groupBy("analysis_id", "selected", "dependent").agg(F.min("depth").alias("depth"))
 
 
 def subgraph_nodes(files: DataFrame, edges: DataFrame, limit: int = 50, include_tests: bool = False, entry_points_only: bool = False, category: str | None = None, search: str | None = None, strict: bool = False) -> DataFrame:

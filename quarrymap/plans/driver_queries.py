@@ -109,9 +109,9 @@ def impact_all_counts(spark, sf):
     WITH RECURSIVE e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})),
     r AS (SELECT path AS selected, path AS dependent, 0 AS depth FROM ({syn.NODES})
           UNION SELECT r.selected, e.source_path, r.depth + 1 FROM r JOIN e ON e.target_path = r.dependent WHERE r.depth < 3)
-    SELECT selected, dependent, min(depth) AS depth FROM r WHERE dependent <> selected GROUP BY 1, 2""")
+    SELECT selected, depth, count(*) AS dependents FROM (SELECT selected, dependent, min(depth) AS depth FROM r WHERE dependent <> selected GROUP BY 1, 2) GROUP BY 1, 2""")
 def impact_depth_n(spark, sf):
-    return graph.reachable(syn.edges(spark, sf), syn.nodes(spark, sf), 3).select("selected", "dependent", "depth")
+    return graph.reachable(syn.edges(spark, sf), syn.nodes(spark, sf), 3).groupBy("selected", "depth").agg(F.count("*").alias("dependents"))
 
 
 @query(f"""
