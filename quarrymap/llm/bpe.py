@@ -9,7 +9,9 @@ Pre-tokens repeat, so each Python worker keeps the ids of up to `CACHE` text seg
 Results don't depend on the cache.
 
 Defined cases: null text counts as empty; empty text has no ids; special-token strings in a text
-become their special ids, as the public library does by default; texts of any length are encoded whole.
+become their special ids, as the public library does by default; texts of any length are encoded whole;
+repeated rows get equal rows; an empty table gives no rows; the input's other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarrymap.llm.common import held, texts_of
+from quarrymap.llm.common import held, texts_of, tidy
 
 CACHE = 700_000
 # White space of the tokenizer's \s, and the byte-level pre-token pattern.
@@ -239,7 +241,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(tidy(run, ("bpe", tokenizer)), f"{id_col} {kind}, ids array<int>")
 
 
 def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -252,7 +254,7 @@ def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, text string")
+    return df.select(id_col, ids_col).mapInArrow(tidy(run, ("bpe", tokenizer)), f"{id_col} {kind}, text string")
 
 
 def round_trip_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,4 +275,4 @@ def round_trip_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run, ("bpe", tokenizer)), f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import json
+import ctypes
+import functools
 import os
-import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ASCII white space, as the word contracts of op1 and op6 define it.
-ASCII_WORD = r"[^\x20\x09-\x0D]+"
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder that the cluster names; a folder of our own only where none is set and all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quarrymap-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,6 +33,14 @@ def materialize(df: DataFrame, tag: str, options: dict[str, Any] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for added columns, with as many underscores before them as set them apart from the columns of `df`."""
+    mark = "__"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo `folds`; null ids fall in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0))
@@ -45,6 +49,14 @@ def crc_fold(id_col: str, folds: int) -> Column:
 _held: list = []
 
 
+def trim() -> None:
+    """Give freed Arrow and C memory of this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """make(), kept in this Python worker until another key is asked for.
 
@@ -52,31 +64,42 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     if not _held or _held[0] != key:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        trim()
         _held[:] = [key, make()]
     return _held[1]
 
 
-def crc_of(value: int) -> int:
-    return zlib.crc32(str(value).encode())
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches], key: Hashable = None) -> Callable[[Batches], Batches]:
+    """`run` for mapInArrow: begins with nothing kept that isn't `key`'s, and gives freed memory back at its end."""
+
+    @functools.wraps(run)
+    def tidied(it: Batches) -> Batches:
+        if _held and _held[0] != key:
+            _held.clear()
+            trim()
+        try:
+            yield from run(it)
+        finally:
+            trim()
+
+    return tidied
+
+
+def slices(sizes: list[int], limit: int) -> Iterator[slice]:
+    """Consecutive rows of about `limit` bytes (or words) in all, whatever the sizes."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= limit:
+            yield slice(start, k + 1)
+            start, total = k + 1, 0
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Column as Python strings; nulls become empty."""
     return [x or "" for x in column.to_pylist()]
-
-
-def batches(it: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
-    """Join Arrow batches into tables of about `max_bytes`, never splitting the rows of a batch."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in it:
-        if b.num_rows == 0:
-            continue
-        held.append(b)
-        size += b.nbytes
-        if size >= max_bytes:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)

@@ -10,7 +10,9 @@ Training reads whole texts of a bounded sample: the `SAMPLE` labelled rows of sm
 
 Defined cases: a text that is null, empty or without letters is `und` with score 0; so is every text
 when no labelled row exists; ties go to the alphabetically first language; repeated rows get equal
-rows; the input's other columns are ignored.
+rows; texts of any length are used whole, about `PASS` characters of documents (or one longer text) at a
+time; more than `LANGUAGES` languages are an error; an empty table gives no rows; the input's other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import held, texts_of
+from quarrymap.llm.common import held, slices, texts_of, tidy
 
 BINS = 1 << 16
+LANGUAGES = 500  # so that the broadcast table has 131 MB at most
 SAMPLE = 6000
-CACHE = 600_000
+CACHE, PASS = 600_000, 1 << 20
 ROUNDS = 8
 GRAM = 3
 
@@ -75,9 +78,11 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             cells = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], names=["lang", "cell", "n"])
 
-    counted = rows.filter(F.col("h") <= edge).select("text", "lang").mapInArrow(count, "lang string, cell int, n long")
+    counted = rows.filter(F.col("h") <= edge).select("text", "lang").mapInArrow(tidy(count), "lang string, cell int, n long")
     total = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()  # at most languages * BINS rows
     languages = sorted({r["lang"] for r in total})
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} languages: their table would be broadcast beyond {LANGUAGES} x {BINS} floats")
     table = np.full((len(languages), BINS), 0.1)
     for r in total:
         table[languages.index(r["lang"]), r["cell"]] += r["n"]
@@ -168,9 +173,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
         languages, table = shared.value
         scorer = held(("langid", token), lambda: Scorer(table))
         for whole in it:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                cut = [t.lower().split() for t in texts_of(b.column(1))]
+            texts = texts_of(whole.column(1))
+            for s in slices([len(t) + 1 for t in texts], PASS):
+                b = whole.slice(s.start, s.stop - s.start)
+                cut = [t.lower().split() for t in texts[s]]
                 counts = np.array([len(c) for c in cut], np.int64)
                 share = np.zeros((b.num_rows, len(languages)), np.float32)
                 if languages and counts.sum():
@@ -188,4 +194,4 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
                 )
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col, *keep])
-    return df.select(id_col, text_col, *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, proportions array<double>")
+    return df.select(id_col, text_col, *keep).mapInArrow(tidy(run, ("langid", token)), f"{kinds}, lang_pred string, score double, proportions array<double>")

@@ -37,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import materialize
+from quarrymap.llm.common import fresh, held, materialize, slices, tidy
 
-WORDS, SMALL, BUCKETS = 5, 64, 1024
+WORDS, SMALL, BUCKET_BITS, BUCKET_TEXTS = 5, 64, 10, 2000
 LINK, UNION = 100, 80
 ODD = np.uint64(0x9E3779B97F4A7C15)
+PASS = 1 << 19  # bytes of text a pass
 FLUSH = 1_500_000
 TILE = 2048
 # ASCII white space.
@@ -57,17 +58,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = []
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ODD ** i and its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+    kept = held("ngram", list)
+    if not kept or len(kept[0]) < n:
+        n = max(n, 2 * PASS)
         up, down = np.full(n, ODD, np.uint64), np.full(n, pow(int(ODD), -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+        kept[:] = [np.cumprod(up), np.cumprod(down)]
+    return kept[0], kept[1]
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -181,24 +180,13 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def runs(sizes: list[int], limit: int) -> Iterator[slice]:
-    start = total = 0
-    for k, n in enumerate(sizes):
-        total += n
-        if total >= limit:
-            yield slice(start, k + 1)
-            start, total = k + 1, 0
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
 def set_stats(docs: DataFrame) -> DataFrame:
     """(id, tfp, n, fa, fb, need0, need1, sketch) of every row of `docs` (id, text, tfp)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = encoded(b.column(1))
-            for s in runs([len(t) for t in texts], 1 << 20):
+            for s in slices([len(t) for t in texts], PASS):
                 h, counts = shingle_sets(texts[s])
                 need = block_sketch(h, counts)[3]
                 ends = np.cumsum(counts)
@@ -207,7 +195,7 @@ def set_stats(docs: DataFrame) -> DataFrame:
                 sketches = [parity_sketch(h[e - n : e], n) for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], b.column(2)[s], *(pa.array(x, pa.int64()) for x in (counts, fa, fb, need[:, 0], need[:, 1])), pa.array(sketches, pa.binary())], names=["id", "tfp", "n", "fa", "fb", "need0", "need1", "sketch"])
 
-    return docs.select("id", "text", "tfp").mapInArrow(run, "id long, tfp long, n long, fa long, fb long, need0 long, need1 long, sketch binary")
+    return docs.select("id", "text", "tfp").mapInArrow(tidy(run, "ngram"), "id long, tfp long, n long, fa long, fb long, need0 long, need1 long, sketch binary")
 
 
 def by_bucket(bucket: np.ndarray, names: list[str], columns: list[np.ndarray], **more: int) -> Iterator[pa.RecordBatch]:
@@ -223,7 +211,16 @@ def by_bucket(bucket: np.ndarray, names: list[str], columns: list[np.ndarray], *
         )
 
 
-def packed_blocks(docs: DataFrame) -> DataFrame:
+def bucket_bits(texts: int) -> int:
+    """Buckets are 2 ** bits: at least 2 ** BUCKET_BITS, and as many as keep one under the blocks of about BUCKET_TEXTS texts."""
+    return max(BUCKET_BITS, (texts // BUCKET_TEXTS).bit_length())
+
+
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def packed_blocks(docs: DataFrame, bits: int) -> DataFrame:
     """(bucket, signature, id, view): packed blocks of `docs` (id, text), bucketed by signature."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +229,11 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             signature, ids, view = (np.concatenate(x) for x in zip(*held))
-            yield from by_bucket((signature >> np.uint64(54)).astype(np.int64), ["signature", "id", "view"], [signature, ids, view])
+            yield from by_bucket(bucket_of(signature, bits), ["signature", "id", "view"], [signature, ids, view])
 
         for b in it:
             texts, ids = encoded(b.column(1)), b.column(0).to_numpy()
-            for s in runs([len(t) for t in texts], 1 << 20):
+            for s in slices([len(t) for t in texts], PASS):
                 signature, text, view, _ = block_sketch(*shingle_sets(texts[s]))
                 held.append((signature, ids[s][text], view))
                 size += len(signature)
@@ -246,7 +243,7 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.select("id", "text").mapInArrow(run, "bucket int, signature binary, id binary, view binary")
+    return docs.select("id", "text").mapInArrow(tidy(run, "ngram"), "bucket int, signature binary, id binary, view binary")
 
 
 def unpacked(rows: list[tuple], kinds: list[type]) -> list[np.ndarray]:
@@ -272,7 +269,7 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
-def shared_blocks(blocks: DataFrame) -> DataFrame:
+def shared_blocks(blocks: DataFrame, bits: int) -> DataFrame:
     """Blocks of at least two texts, bucketed by id, with the number of texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,19 +294,19 @@ def shared_blocks(blocks: DataFrame) -> DataFrame:
         signature, ids, view, times = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(ids, kind="stable")
         signature, ids, view, times = (x[order] for x in (signature, ids, view, times))
-        yield from by_bucket((mixed(ids.view(np.uint64)) >> np.uint64(54)).astype(np.int64), ["signature", "id", "view", "times"], [signature, ids, view, times], kind=1)
+        yield from by_bucket(bucket_of(mixed(ids.view(np.uint64)), bits), ["signature", "id", "view", "times"], [signature, ids, view, times], kind=1)
 
-    return dealt(blocks).mapInArrow(run, "bucket int, kind int, signature binary, id binary, view binary, times binary")
+    return dealt(blocks).mapInArrow(tidy(run, "ngram"), "bucket int, kind int, signature binary, id binary, view binary, times binary")
 
 
-def rare_blocks(shared: DataFrame, stats: DataFrame) -> DataFrame:
+def rare_blocks(shared: DataFrame, stats: DataFrame, bits: int) -> DataFrame:
     """(signature, id): the kept blocks of class representatives that may have a partner."""
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, *need = (b.column(k).to_numpy().astype(np.int64) for k in range(3))
             if len(ids):
-                yield from by_bucket((mixed(ids.view(np.uint64)) >> np.uint64(54)).astype(np.int64), ["signature", "id", "view", "times"], [need[0], ids, need[1], need[1]], kind=0)
+                yield from by_bucket(bucket_of(mixed(ids.view(np.uint64)), bits), ["signature", "id", "view", "times"], [need[0], ids, need[1], need[1]], kind=0)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(it):
@@ -337,8 +334,8 @@ def rare_blocks(shared: DataFrame, stats: DataFrame) -> DataFrame:
                 f = found[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(signature[f].view(np.int64), pa.int64()), pa.array(ids[f], pa.int64())], names=["signature", "id"])
 
-    head = stats.select("id", "need0", "need1").mapInArrow(pack, "bucket int, kind int, signature binary, id binary, view binary, times binary")
-    return dealt(shared.unionByName(head)).mapInArrow(run, "signature long, id long")
+    head = stats.select("id", "need0", "need1").mapInArrow(tidy(pack, "ngram"), "bucket int, kind int, signature binary, id binary, view binary, times binary")
+    return dealt(shared.unionByName(head)).mapInArrow(tidy(run, "ngram"), "signature long, id long")
 
 
 # -- pairs ---------------------------------------------------------------------------------------
@@ -347,16 +344,15 @@ def rare_blocks(shared: DataFrame, stats: DataFrame) -> DataFrame:
 def near_pairs(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     """Pairs (a, b) that their sizes and parity sketches allow to link."""
 
-    @F.pandas_udf("boolean")
-    def near(na, sa, nb, sb):
-        import pandas as pd
-
-        return pd.Series([9 * sketch_distance(x, y) <= m + n for m, x, n, y in zip(na, sa, nb, sb)], dtype=bool)
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fits = [9 * sketch_distance(x, y) <= m + n for m, x, n, y in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            yield b.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     left = stats.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = stats.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = pairs.join(left, "a").join(right, "b").filter((F.col("na") * 10 >= F.col("nb") * 8) & (F.col("nb") * 10 >= F.col("na") * 8))
-    return sized.filter(near("na", "sa", "nb", "sb")).select("a", "b")
+    return sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(tidy(near, "ngram"), "a long, b long")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -365,34 +361,32 @@ def whole_sets(docs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = encoded(b.column(1))
-            for s in runs([len(t) for t in texts], 1 << 20):
+            for s in slices([len(t) for t in texts], PASS):
                 h, counts = shingle_sets(texts[s])
                 ends = np.cumsum(counts).tolist()
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array([h[e - n : e].tobytes() for e, n in zip(ends, counts.tolist())], pa.binary())], names=["id", "h"])
 
     rows = docs.join(texts.join(ids, "id", "left_semi"), ["doc", "tfp"])
-    return rows.select("id", "text").mapInArrow(run, "id long, h binary").groupBy("id").agg(F.min("h").alias("h"))
+    return rows.select("id", "text").mapInArrow(tidy(run, "ngram"), "id long, h binary").groupBy("id").agg(F.min("h").alias("h"))
 
 
 def linked_pairs(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs verified on whole sets."""
 
-    @F.pandas_udf("boolean")
-    def linked(x, y):
-        import pandas as pd
-
-        out = []
-        for a, b in zip(x, y):
-            u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = np.concatenate([u, v])
-            both.sort()
-            out.append(links(len(u), len(v), int((both[1:] == both[:-1]).sum())))
-        return pd.Series(out, dtype=bool)
+    def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for x, y in zip(b.column(2), b.column(3)):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([u, v])
+                both.sort()
+                out.append(links(len(u), len(v), int((both[1:] == both[:-1]).sum())))
+            yield b.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(whole_sets(docs, ids, texts), "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "h": "ha"}), "a").join(sets.withColumnsRenamed({"id": "b", "h": "hb"}), "b")
-    return both.filter(linked("ha", "hb")).select("a", "b")
+    return both.select("a", "b", "ha", "hb").mapInArrow(tidy(linked, "ngram"), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -479,7 +473,7 @@ def cross_pairs(rest: DataFrame) -> DataFrame:
     rows = rest.withColumn("bucket", F.pmod(F.xxhash64("id"), buckets).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), buckets - 1)))
     rows = rows.select("signature", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "bucket", "id", "n", "c", "sketch")
     parts = max(1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "signature", "p", "q").sortWithinPartitions("signature", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(parts, "signature", "p", "q").sortWithinPartitions("signature", "p", "q").mapInArrow(tidy(run, "ngram"), "a long, b long").distinct()
 
 
 def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -499,7 +493,8 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = classes.select("id", "doc", "tfp")
     # Only representatives are sketched: copies would make a text's own blocks look common.
     chosen = docs.join(texts, ["doc", "tfp"])
-    kept = materialize(rare_blocks(shared_blocks(packed_blocks(chosen)), classes), "blocks")
+    bits = bucket_bits(classes.count())
+    kept = materialize(rare_blocks(shared_blocks(packed_blocks(chosen, bits), bits), classes, bits), "blocks")
     groups = materialize(kept.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("signature", "a"), "groups")
     grouped = materialize(kept.join(groups, "signature").select("signature", "a", F.col("id").alias("b")), "grouped")
     star = grouped.filter("a <> b").select("a", "b").distinct()
@@ -524,13 +519,14 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `df`, all columns, less all but one row of each component: the least id's, of those the least text hash's.
 
-    Rows with a null id or no word stay.
+    Rows with a null id or no word stay; of rows equal in id and text that are to stay, one does. Added
+    columns have names that `df` doesn't have, so columns of any name pass through.
     """
+    id_, tfp, first_, nth = fresh(df, "id", "tfp", "first", "nth")
     found = classify(df, id_col, text_col).filter("id = component AND n > 0")
-    first = found.groupBy("root").agg(F.min(F.struct("id", "tfp")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.tfp").alias("__tfp"), F.lit(True).alias("__first")).distinct()
+    first = found.groupBy("root").agg(F.min(F.struct("id", "tfp")).alias("r")).select(F.col("r.id").alias(id_), F.col("r.tfp").alias(tfp), F.lit(True).alias(first_)).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.withColumns({"__id": F.col(id_col).cast("long"), "__tfp": F.xxhash64(text)})
-    free = F.col("__id").isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
-    joined = keyed.withColumn("__free", free).join(first, ["__id", "__tfp"], "left").filter(F.col("__free") | F.col("__first"))
-    nth = F.row_number().over(Window.partitionBy("__id", "__tfp").orderBy(F.lit(1)))
-    return joined.withColumn("__nth", nth).filter(F.col("__free") | (F.col("__nth") == 1)).select(*df.columns)
+    free = F.col(id_col).isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = df.filter(~free).withColumns({id_: F.col(id_col).cast("long"), tfp: F.xxhash64(text)})
+    chosen = keyed.join(first, [id_, tfp]).withColumn(nth, F.row_number().over(Window.partitionBy(id_, tfp).orderBy(F.lit(1)))).filter(F.col(nth) == 1)
+    return df.filter(free).unionByName(chosen.select(*df.columns))

@@ -11,7 +11,8 @@ is cut into powers of two, which need no padding. Blocks are `BLOCK` ids long (m
 any partition), tasks are input splits, and nothing is shuffled.
 
 Defined cases: null and empty texts are the end id alone; documents of any length are cut without
-loss; repeated rows are packed as often as they occur; an empty table gives no rows.
+loss; repeated rows are packed as often as they occur; an empty table gives no rows; the input's other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarrymap.llm.common import texts_of
+from quarrymap.llm.common import texts_of, tidy
 from quarrymap.llm.words import load_words
 
 LENGTH = 2048
@@ -150,4 +151,4 @@ def pack_documents(
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidy(run, ("words", tokenizer)), schema)

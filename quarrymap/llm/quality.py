@@ -8,8 +8,9 @@ posterior is one Column expression: a sum of learned log odds through a logistic
 
 Words are `[^\\x20\\x09-\\x0D]+`. Windows of eight words are compared by 64-bit hashes.
 
-Defined cases: null text counts as empty (no words, base_failed, not kept); repeated rows each get
-their own equal row; the input's other columns are ignored; an empty table gives no rows.
+Defined cases: null text counts as empty (no words, base_failed, not kept); texts of any length are counted
+whole; repeated rows each get their own equal row; the input's other columns are ignored, or in `keep_good`
+pass through whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

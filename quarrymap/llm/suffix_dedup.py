@@ -7,7 +7,9 @@
 2. Runs of minimisers that occur once are dropped. Equal runs are merged into one context with a count,
    so a group of thousands of copies is one short string. Runs of a minimiser with more than `HOT`
    different contexts (a passage in very many texts) are cut into pieces of `PIECE` windows, keyed by
-   the 185 bytes that a piece's windows share, so no passage shorter than that gathers a group.
+   the 185 bytes that a piece's windows share, so no passage shorter than that gathers a group. Pieces of
+   a key that still has more than `HOT` contexts are cut into their windows, which are counted by their
+   whole 200 bytes: equal ones merge, so nothing is left to gather.
 3. Contexts of equal key go to one block. A block's suffixes are sorted, and breadth-first backward
    extension on its Burrows-Wheeler transform derives the common prefixes of neighbours by increasing
    value: an interval of suffixes that begin with w, extended by c, is the interval of cw, and its right
@@ -15,8 +17,8 @@
    the suffixes that share LENGTH bytes. Such a group repeats if its contexts' counts reach two.
 4. Repeated windows are joined back to all places of their contexts, per document.
 
-Joins that may meet a hot key are plain shuffled joins, which adaptive execution splits. Blocks hold
-about `BLOCK` bytes.
+Joins that may meet a hot key are plain shuffled joins, which adaptive execution splits. A block holds
+whole keys up to `BLOCK` bytes and the key that crosses it, at most `HOT` contexts of under 400 bytes.
 
 Defined cases: null text is empty; texts shorter than LENGTH bytes lose nothing; rows equal in id and
 text are repeats of each other; the input's other columns pass through `remove_repeats` untouched; an
@@ -27,33 +29,31 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import materialize
+from quarrymap.llm.common import Batches, fresh, held, materialize, slices, tidy
 
 LENGTH, SEED = 200, 48
 HOT, PIECE = 1000, 16
-BUFFER, BLOCK = 1 << 21, 1 << 17
+BUFFER, BLOCK, PASS = 1 << 19, 1 << 17, 4 << 20
 MASK = np.uint64((1 << 24) - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-@lru_cache(maxsize=1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD ** i and its inverse, modulo 2 ** 64."""
-    up, down = np.full(n, ODD, np.uint64), np.full(n, pow(int(ODD), -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for every byte; ODD ** i and its inverse, modulo 2 ** 64, for at least n powers."""
+    kept = held("suffix", lambda: [np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)])
+    if len(kept) == 1 or len(kept[1]) < n:
+        n = max(n, 2 * BUFFER)
+        up, down = np.full(n, ODD, np.uint64), np.full(n, pow(int(ODD), -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        kept[1:] = [np.cumprod(up), np.cumprod(down)]
+    return kept[0], kept[1], kept[2]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the SEED bytes from every position (SEED = 32 + 16)."""
-    h, kept = byte_values()[data], {}
+    h, kept = tables(1)[0][data], {}
     for step in (1, 2, 4, 8, 16):
         h = mixed(h[:-step] * ODD + h[step:]) if step >= 4 else h[:-step] * ODD + h[step:]
         kept[2 * step] = h
@@ -75,8 +75,8 @@ class Fingerprints:
     """64-bit fingerprints of any byte ranges of one buffer."""
 
     def __init__(self, data: np.ndarray):
-        self.up, down = powers(max(BUFFER * 2, 1 << (len(data)).bit_length()))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * down[: len(data)])])
+        value, self.up, down = tables(len(data) + 1)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value[data] * down[: len(data)])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         x = (self.sums[end] - self.sums[start]) * self.up[start]
@@ -117,18 +117,6 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text[first], first - begin[text[first]], end - first, hashes[own[first]].view(np.int64), fp.view(np.int64)
 
 
-def grouped(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `limit` bytes."""
-    start = total = 0
-    for k, n in enumerate(sizes):
-        total += n
-        if total >= limit:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 # -- a block's suffixes --------------------------------------------------------------------------
 
 
@@ -250,15 +238,15 @@ def find_runs(docs: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [(t or "").encode() for t in b.column(2).to_pylist()]
-            for a, z in grouped([len(t) for t in texts], BUFFER):
-                text, lo, n, seed, fp = runs_of(texts[a:z])
+            for part in slices([len(t) for t in texts], BUFFER):
+                text, lo, n, seed, fp = runs_of(texts[part])
                 for k in range(0, len(text), 50_000):
                     s = slice(k, k + 50_000)
-                    place = pa.array(text[s] + a, pa.int64())
+                    place = pa.array(text[s] + part.start, pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(1).take(place), pa.array(seed[s], pa.int64()), pa.array(fp[s], pa.int64()), pa.array(lo[s], pa.int32()), pa.array(n[s], pa.int32())], names=["id", "tfp", "seed", "fp", "lo", "n"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "tfp", "text").mapInArrow(run, f"id {kind}, tfp long, seed long, fp long, lo int, n int")
+    return docs.select("id", "tfp", "text").mapInArrow(tidy(run, "suffix"), f"id {kind}, tfp long, seed long, fp long, lo int, n int")
 
 
 def cut_contexts(docs_with_runs: DataFrame) -> DataFrame:
@@ -306,7 +294,7 @@ def cut_contexts(docs_with_runs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(1).take(place), *columns], names=["id", "tfp", "hot", "key", "fp", "lo", "times", "bytes"])
 
     kind = docs_with_runs.schema["id"].dataType.simpleString()
-    return docs_with_runs.select("id", "tfp", "text", "runs").mapInArrow(run, f"id {kind}, tfp long, hot boolean, key long, fp long, lo int, times long, bytes binary")
+    return docs_with_runs.select("id", "tfp", "text", "runs").mapInArrow(tidy(run, "suffix"), f"id {kind}, tfp long, hot boolean, key long, fp long, lo int, times long, bytes binary")
 
 
 def search_blocks(contexts: DataFrame) -> DataFrame:
@@ -336,7 +324,30 @@ def search_blocks(contexts: DataFrame) -> DataFrame:
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = contexts.select("key", "fp", "bytes", "times").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "key long, fp long, a int, z int")
+    return dealt.mapInArrow(tidy(run, "suffix"), "key long, fp long, a int, z int")
+
+
+def counted_windows(pieces: DataFrame) -> DataFrame:
+    """(key, fp, a, z): repeated windows of pieces (key, fp, bytes, times), each counted by its whole bytes."""
+
+    def run(it: Batches) -> Batches:
+        for b in it:
+            for s in slices(pc.binary_length(b.column(2)).to_pylist(), BUFFER):
+                part = b.slice(s.start, s.stop - s.start)
+                raw = part.column(2).to_pylist()
+                sizes = np.array([len(x) for x in raw], np.int64)
+                n = sizes - LENGTH + 1
+                row = np.repeat(np.arange(len(raw)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = at + (np.cumsum(sizes) - sizes)[row]
+                window = Fingerprints(np.frombuffer(b"".join(raw), np.uint8)).of(start, start + LENGTH).view(np.int64)
+                place = pa.array(row)
+                columns = [part.column(0).take(place), part.column(1).take(place), pa.array(at, pa.int32()), pa.array(window, pa.int64()), part.column(3).take(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "a", "window", "times"])
+
+    rows = pieces.select("key", "fp", "bytes", "times").mapInArrow(tidy(run, "suffix"), "key long, fp long, a int, window long, times long")
+    twice = rows.groupBy("window").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("window")
+    return rows.join(twice, "window").select("key", "fp", "a", (F.col("a") + 1).alias("z"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -358,8 +369,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_text = by_text.withColumnsRenamed({"id": "id_", "tfp": "tfp_"})
     same = docs["id"].eqNullSafe(by_text["id_"]) & (docs["tfp"] == by_text["tfp_"])
     cut = materialize(cut_contexts(docs.join(by_text, same)), "cut")
-    merged = cut.filter("hot").groupBy("key", "fp").agg(F.max("bytes").alias("bytes"), F.count("*").alias("times"))
-    found = materialize(search_blocks(cut.filter("NOT hot").select("key", "fp", "bytes", "times").unionByName(merged.select("key", "fp", "bytes", "times"))), "windows")
+    merged = materialize(cut.filter("hot").groupBy("key", "fp").agg(F.max("bytes").alias("bytes"), F.count("*").alias("times")), "pieces")
+    full = materialize(merged.groupBy("key").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("key"), "full")
+    blocks = cut.filter("NOT hot").select("key", "fp", "bytes", "times").unionByName(merged.join(full, "key", "left_anti").select("key", "fp", "bytes", "times"))
+    found = materialize(search_blocks(blocks).unionByName(counted_windows(merged.join(full, "key", "left_semi"))), "windows")
     places = hits.select("id", "tfp", F.col("seed").alias("key"), "fp", "lo").unionByName(cut.filter("hot").select("id", "tfp", "key", "fp", "lo"))
     spans = places.join(found, ["key", "fp"]).select("id", "tfp", F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("z") - 1 + LENGTH).alias("z")).alias("span"))
     return spans.groupBy("id", "tfp").agg(F.collect_set("span").alias("spans"))
@@ -381,12 +394,13 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
 
 
-def with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`df` and __spans, the repeated byte ranges of its texts (null where there are none)."""
-    keyed = df.withColumn("__tfp", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    docs = keyed.select(F.col(id_col).alias("id"), F.col("__tfp").alias("tfp"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(docs.filter(F.octet_length("text") >= LENGTH)).select(F.col("id").alias("__id"), F.col("tfp").alias("__tfp2"), F.col("spans").alias("__spans"))
-    return keyed.join(spans, keyed[id_col].eqNullSafe(spans["__id"]) & (keyed["__tfp"] == spans["__tfp2"]), "left").drop("__id", "__tfp", "__tfp2")
+def with_spans(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """`df` and a column (its name is returned) of the repeated byte ranges of its texts (null where there are none)."""
+    tfp, id_, tfp2, found = fresh(df, "tfp", "id", "tfp2", "spans")
+    keyed = df.withColumn(tfp, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    docs = keyed.select(F.col(id_col).alias("id"), F.col(tfp).alias("tfp"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spans = repeated_spans(docs.filter(F.octet_length("text") >= LENGTH)).select(F.col("id").alias(id_), F.col("tfp").alias(tfp2), F.col("spans").alias(found))
+    return keyed.join(spans, keyed[id_col].eqNullSafe(spans[id_]) & (keyed[tfp] == spans[tfp2]), "left").drop(id_, tfp, tfp2), found
 
 
 def span_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,30 +416,30 @@ def span_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    marked = with_spans(df.select(id_col, text_col), id_col, text_col).select(id_col, text_col, "__spans")
-    return marked.mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, spans = with_spans(df.select(id_col, text_col), id_col, text_col)
+    return marked.select(id_col, text_col, spans).mapInArrow(tidy(run, "suffix"), f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`df` with repeated strings cut from its texts; a character that loses some of its bytes goes.
 
-    `length_col`, if present, becomes the text's new length. Null texts stay null.
+    `length_col`, if present, becomes the cut text's new length. Null texts stay null; columns of any name
+    pass through.
     """
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        out = []
-        for text, found in zip(texts, spans):
-            if text is None or found is None or len(found) == 0:
-                out.append(text)
-            else:
-                out.append(kept_bytes(text.encode(), merged_spans(list(found))).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    marked = with_spans(df, id_col, text_col)
-    out = marked.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "__spans")))
-    if length_col and length_col in df.columns:
-        out = out.withColumn(length_col, F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(df.schema[length_col].dataType))
-    return out.select(*df.columns)
+    marked, spans = with_spans(df, id_col, text_col)
+    names, at = df.columns, df.columns.index(text_col)
+    counted = names.index(length_col) if length_col in names else None
+
+    def run(it: Batches) -> Batches:
+        for whole in it:
+            for s in slices(pc.binary_length(whole.column(at)).fill_null(0).to_pylist(), PASS):
+                b = whole.slice(s.start, s.stop - s.start)
+                texts, columns = b.column(at).to_pylist(), b.columns[:-1]
+                cut = [(t, False) if t is None or not f else (kept_bytes(t.encode(), merged_spans(f)).decode("utf-8", "ignore"), True) for t, f in zip(texts, b.column(len(columns)).to_pylist())]
+                columns[at] = pa.array([t for t, _ in cut], pa.string())
+                if counted is not None:
+                    old = columns[counted]
+                    columns[counted] = pa.array([len(t) if new else n for (t, new), n in zip(cut, old.to_pylist())], old.type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked.select(*df.columns, spans).mapInArrow(tidy(run, "suffix"), df.schema)

@@ -10,8 +10,9 @@ A row of output is a row of the matrix: `input_ids` (length little-endian uint32
 `pad_id`), `cu_seqlens` (cumulative segment lengths, from 0) and `position_ids` (restarting at 0 with
 each segment, 0 in the padding).
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed as often as they
-occur; an empty table gives no rows.
+Defined cases: null and empty texts are the end id alone; texts of any length are split without loss;
+repeated rows are packed as often as they occur; an empty table gives no rows; the input's other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import materialize, texts_of
+from quarrymap.llm.common import materialize, texts_of, tidy
 from quarrymap.llm.words import load_words
 
 LENGTH = 2048
@@ -139,7 +140,7 @@ def packed_rows(
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"row_id long, input_ids binary, cu_seqlens binary, position_ids binary, keys array<{kind}>, starts array<long>"
-    matrix = df.select(id_col, text_col).mapInArrow(run, schema)
+    matrix = df.select(id_col, text_col).mapInArrow(tidy(run, ("words", tokenizer)), schema)
     return piece_rows(materialize(matrix, "token-rows", {"parquet.block.size": ROW_GROUP}), id_col) if pieces else matrix
 
 

@@ -13,9 +13,9 @@ import re
 
 import numpy as np
 
-from quarrymap.llm.common import held
+from quarrymap.llm.common import held, slices
 
-CACHE = 900_000
+CACHE, PASS = 900_000, 2 << 20
 LONGEST = 64
 LINE = 1000
 MARKS = frozenset(".,;:!?")
@@ -86,7 +86,10 @@ class WordIds:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
+        """Ids of each text as little-endian uint32 bytes; about PASS characters are cut into chunks at a time."""
+        return [ids for s in slices([len(t) + 1 for t in texts], PASS) for ids in self.encode_pass(texts[s])]
+
+    def encode_pass(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache, find = self.cache, self.cache.get
