@@ -5,37 +5,42 @@ the embeddings of its hashed character 2- and 3-grams. A forward and a backward
 read a window of `WINDOW` words; attention pools their states, and a logistic unit scores the window.
 Windows overlap by half and cover every word of every text; a document's score is its worst window's.
 
-Training (driver, numpy, Adam) sees labels of documents only, so it is multiple-instance learning: after
-a first pass over all windows, a toxic document is represented by its worst window, a clean one by its
-worst window and one other. One component of a word's embedding starts as the word's log odds between
-toxic and clean documents, which few labelled rows already tell. Training reads a bounded sample: per
-class, the `SAMPLE` labelled rows of smallest id hash, of those texts of at most `SAMPLE_CHARS` characters.
+Training (driver, numpy, Adam) sees labels of documents only, so it is multiple-instance learning: in
+the first pass a toxic document is represented by up to `FIRST` windows drawn from it, among four times as
+many clean windows as there are documents; in every later pass by the worst of 4 * `LOOKS` windows drawn
+anew, a clean one by the worst of `LOOKS`, and as many other clean windows join as there are documents. One
+component of a word's embedding starts as the word's log odds between toxic and clean documents, which few
+labelled rows already tell. Training reads a bounded sample of whole texts of any length: per class, the
+labelled rows of smallest id hash among the ids of `docs`, up to `SAMPLE` rows and to the row with which they
+come to `SAMPLE_CHARS` characters.
 
 Defined cases: null and empty texts, and every text when a class has no labelled row, score the
-share of toxic rows in the sample (0 with none), at most 0.49; repeated rows get equal rows; of several
-labels of one id the most toxic counts; the input's other columns are ignored.
+share of toxic rows in the sample (0 with none), at most 0.49; texts of any length are scored whole,
+`PASS` characters of documents or 2048 windows of a longer one at a time; repeated rows get equal rows; of
+several labels of one id the most toxic counts; null ids learn nothing; an empty table gives no rows; the
+input's other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import crc_fold, held, texts_of
+from quarrymap.llm.common import Batches, crc_fold, held, slices, texts_of, tidy
 
 WINDOW, STRIDE = 32, 16
 VOCABULARY, MIN_DOCS, RARE = 4000, 4, 5
 BINS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 2048, 12, 8, 8, 6
-SAMPLE, SAMPLE_CHARS = 1500, 6000
-CACHE = 200_000
-EPOCHS, STEPS, BATCH, RATE = 7, 300, 64, 0.01
+SAMPLE, SAMPLE_CHARS = 1000, 8_000_000  # rows and characters of a class
+CACHE, PASS = 200_000, 1 << 19
+EPOCHS, STEPS, BATCH, RATE = 9, 300, 64, 0.01
+FIRST, LOOKS = 16, 24
 
 
 def clean(word: str) -> str:
@@ -68,6 +73,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+class Features:
+    """What the network reads of distinct words: vocabulary numbers and n-gram bins, flat, by word."""
+
+    def __init__(self, words: list[str], vocabulary: dict[str, int]):
+        words = [clean(w) or w for w in words]
+        self.ids = np.array([vocabulary.get(w, 0) for w in words])
+        cells, owners = char_bins(words)
+        order = np.argsort(owners, kind="stable")
+        self.cells, self.counts = cells[order], np.bincount(owners, minlength=len(words))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def of(self, some: np.ndarray) -> "Features":
+        """Those of some words."""
+        part = Features.__new__(Features)
+        part.ids, part.counts = self.ids[some], self.counts[some]
+        part.starts = np.cumsum(part.counts) - part.counts
+        part.cells = self.cells[np.arange(part.counts.sum()) + np.repeat(self.starts[some] - part.starts, part.counts)]
+        return part
+
+
 class Network:
     """Weights, forward pass and gradients. Inputs are word vectors X [T, N, D] with mask [T, N]."""
 
@@ -82,17 +107,11 @@ class Network:
         self.w |= {"A": g(2 * h, a), "v": g(a, 1)[:, 0], "o": g(2 * h, 1)[:, 0], "c": np.zeros(1, np.float32)}
 
     # -- inputs ----------------------------------------------------------------------------------
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        """Vectors of distinct words, and what the backward pass needs."""
-        words = [clean(w) or w for w in words]
-        ids = np.array([self.vocabulary.get(w, 0) for w in words])
-        cells, owners = char_bins(words)
-        counts = np.maximum(np.bincount(owners, minlength=len(words)), 1).astype(np.float32)
-        order = np.argsort(owners, kind="stable")
-        cells, owners = cells[order], owners[order]
-        starts = np.searchsorted(owners, np.arange(len(words)))
-        chars = np.add.reduceat(self.w["C"][cells], starts, axis=0) / counts[:, None]
-        return np.concatenate([self.w["E"][ids], chars], 1), (ids, cells, owners, counts)
+    def inputs(self, words: list[str] | Features) -> tuple[np.ndarray, Features]:
+        """Vectors of distinct words, and their features."""
+        f = words if isinstance(words, Features) else Features(words, self.vocabulary)
+        chars = np.add.reduceat(self.w["C"][f.cells], f.starts, axis=0) / f.counts[:, None].astype(np.float32)
+        return np.concatenate([self.w["E"][f.ids], chars], 1), f
 
     # -- one direction ---------------------------------------------------------------------------
     def run(self, P: np.ndarray, mask: np.ndarray, s: str, back: bool, keep: bool) -> tuple[np.ndarray, list]:
@@ -125,10 +144,10 @@ class Network:
         return self.pool(H, mask)[0]
 
     # -- training --------------------------------------------------------------------------------
-    def gradients(self, words: list[str], at: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, words: list[str] | Features, at: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of windows; at [T, N] numbers the distinct words."""
         w, h = self.w, HIDDEN
-        vectors, (ids, cells, owners, counts) = self.inputs(words)
+        vectors, f = self.inputs(words)
         X = vectors[at]
         runs = {s: self.run(X @ w[f"W{s}"] + w[f"b{s}"], mask, s, s == "b", True) for s in "fb"}
         H = np.concatenate([runs["f"][0], runs["b"][0]], 2)
@@ -164,28 +183,43 @@ class Network:
         dv = np.zeros_like(vectors)
         np.add.at(dv, at[mask], dX[mask])
         g["E"], g["C"] = np.zeros_like(w["E"]), np.zeros_like(w["C"])
-        np.add.at(g["E"], ids, dv[:, :WORD_DIM])
-        np.add.at(g["C"], cells, (dv[:, WORD_DIM:] / counts[:, None])[owners])
+        np.add.at(g["E"], f.ids, dv[:, :WORD_DIM])
+        np.add.at(g["C"], f.cells, np.repeat(dv[:, WORD_DIM:] / f.counts[:, None].astype(dv.dtype), f.counts, axis=0))
         return loss, g
 
 
 def layout(docs: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, window word numbers [T, windows], mask, and the document of each window."""
     at: dict[str, int] = {}
-    flat = np.array([at.setdefault(w, len(at)) for d in docs for w in d], np.int64)
-    place = spans(np.array([len(d) for d in docs]))
-    return list(at), np.where(place[0] >= 0, flat[np.maximum(place[0], 0)], 0), place[0] >= 0, place[1]
+    flat = np.fromiter((at.setdefault(w, len(at)) for d in docs for w in d), np.int32)
+    place, doc = spans(np.array([len(d) for d in docs]))
+    mask = place >= 0
+    number = flat[np.maximum(place, 0, out=place)]
+    number[~mask] = 0
+    return list(at), number, mask, doc
 
 
-def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flat word positions of every window [T, windows] (-1 past the end) and its document."""
-    begin = np.cumsum(counts) - counts
+def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First flat word position of every window, the end of its document, and its document."""
+    end = np.cumsum(counts)
     per = np.maximum(0, -(-(counts - WINDOW) // STRIDE)) + 1
     doc = np.repeat(np.arange(len(counts)), per)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     start = np.minimum(nth * STRIDE, np.maximum(counts[doc] - WINDOW, 0))
-    at = start + np.arange(WINDOW)[:, None]
-    return np.where(at < counts[doc], at + begin[doc], -1), doc
+    return start + (end - counts)[doc], end[doc], doc
+
+
+def places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Flat word positions [T, windows], -1 past the document's end."""
+    at = start.astype(np.int32) + np.arange(WINDOW, dtype=np.int32)[:, None]
+    at[at >= end.astype(np.int32)] = -1
+    return at
+
+
+def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat word positions of every window [T, windows] and its document."""
+    start, end, doc = windows(counts)
+    return places(start, end), doc
 
 
 def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
@@ -199,24 +233,27 @@ def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
     odds = np.array([0.0, *(np.log((toxic[w] + 1) * (len(docs) - n_toxic + 2) / ((seen[w] - toxic[w] + 1) * (n_toxic + 2))) * seen[w] / (seen[w] + RARE) for w in frequent)])
     net.w["E"][:, 0] = odds / 2
     words, at, mask, doc = layout(docs)
+    features = Features(words, net.vocabulary)
     rng, y = np.random.default_rng(11), labels[doc].astype(np.float32)
     m1, m2, step, epoch = {}, {}, 0, 0
     while epoch < EPOCHS or step < STEPS:  # small samples get more passes
         if epoch:
-            p = score_windows(net, words, at, mask)
-            worst = np.lexsort((-p, doc))
+            some = np.sort(drawn(rng, doc, np.where(y == 1, 4 * LOOKS, LOOKS)))
+            p = score_windows(net, features, at, mask, some)
+            worst = some[np.lexsort((-p, doc[some]))]
             first = worst[np.unique(doc[worst], return_index=True)[1]]
             other = rng.choice(np.flatnonzero(y == 0), min(len(docs), int((y == 0).sum())), replace=False)
             chosen = np.union1d(first, other)
         else:
-            chosen = np.concatenate([np.flatnonzero(y == 1), rng.choice(np.flatnonzero(y == 0), min(4 * len(docs), int((y == 0).sum())), replace=False)])
+            other = rng.choice(np.flatnonzero(y == 0), min(4 * len(docs), int((y == 0).sum())), replace=False)
+            chosen = np.union1d(drawn(rng, doc, np.where(y == 1, FIRST, 0)), other)
         epoch += 1
         balance = np.where(y[chosen] == 1, 1.0, max(1e-3, y[chosen].sum() / max(1, (1 - y[chosen]).sum()))).astype(np.float32)
         order = rng.permutation(len(chosen))
         for k in range(0, len(order), BATCH):
             part = chosen[order[k : k + BATCH]]
             ids, inverse = np.unique(at[:, part], return_inverse=True)
-            _, g = net.gradients([words[i] for i in ids], inverse.reshape(WINDOW, -1), mask[:, part], y[part], balance[order[k : k + BATCH]])
+            _, g = net.gradients(features.of(ids), inverse.reshape(WINDOW, -1), mask[:, part], y[part], balance[order[k : k + BATCH]])
             step += 1
             for name, d in g.items():
                 a = m1[name] = 0.9 * m1.get(name, 0) + 0.1 * d
@@ -225,20 +262,35 @@ def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
     return net
 
 
-def score_windows(net: Network, words: list[str], at: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    vectors = np.concatenate([net.inputs(words[k : k + 20_000])[0] for k in range(0, len(words), 20_000)])
+def drawn(rng: np.random.Generator, doc: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Windows drawn from every document, up to `most` (given per window)."""
+    turn = rng.permutation(len(doc))
+    turn = turn[np.argsort(doc[turn], kind="stable")]
+    size = np.bincount(doc)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    return turn[nth < most[turn]]
+
+
+def score_windows(net: Network, features: Features, at: np.ndarray, mask: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Scores of some windows, by number."""
+    n = len(features.ids)
+    vectors = np.concatenate([net.inputs(features.of(np.arange(k, min(n, k + 20_000))))[0] for k in range(0, n, 20_000)])
     P = {s: vectors @ net.w[f"W{s}"] + net.w[f"b{s}"] for s in "fb"}
-    return np.concatenate([net.score(P["f"][at[:, k : k + 4096]], P["b"][at[:, k : k + 4096]], mask[:, k : k + 4096]) for k in range(0, at.shape[1], 4096)])
+    parts = [some[k : k + 2048] for k in range(0, len(some), 2048)]
+    return np.concatenate([net.score(P["f"][at[:, x]], P["b"][at[:, x]], mask[:, x]) for x in parts])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[Network | None, float]:
     """The network (None if a class has no row) and the score of texts without words."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    marks = marks.withColumn("h", F.xxhash64("id"))
-    chosen = [marks.filter(F.col("y") == k).orderBy("h").limit(sample).select("id", "y") for k in (0, 1)]  # 2 * sample ids
-    texts = docs.filter(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(reduce(DataFrame.unionByName, chosen)), "id").collect()
-    rows = sorted({(r["id"], r["y"], r["text"]) for r in rows if r["text"].split()})
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    marks = marks.join(texts.select("id").distinct(), "id", "left_semi").withColumn("h", F.xxhash64("id"))
+    chosen = [marks.filter(F.col("y") == k).orderBy("h", "id").limit(sample) for k in (0, 1)]  # 2 * sample ids
+    rows = texts.join(F.broadcast(reduce(DataFrame.unionByName, chosen)), "id").distinct()
+    order = Window.partitionBy("y").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"nth": F.count("*").over(order), "chars": F.sum(F.length("text")).over(order) - F.length("text")})
+    rows = rows.filter((F.col("nth") <= sample) & (F.col("chars") < SAMPLE_CHARS)).select("id", "y", "text").collect()
+    rows = sorted(tuple(r) for r in rows if r["text"].split())
     y = np.array([int(r[1] == 1) for r in rows])
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < y.sum() < len(y):
@@ -276,10 +328,10 @@ class Scorer:
         if not full:
             return out
         flat = self.find([w for i in full for w in docs[i]])
-        place, doc = spans(np.array([len(docs[i]) for i in full]))
+        start, end, doc = windows(np.array([len(docs[i]) for i in full]))
         p = np.empty(len(doc), np.float32)
         for k in range(0, len(doc), 2048):
-            part = place[:, k : k + 2048]
+            part = places(start[k : k + 2048], end[k : k + 2048])
             mask = part >= 0
             at = flat[np.maximum(part, 0)]
             p[k : k + 2048] = self.net.score(self.rows["f"][at], self.rows["b"][at], mask)
@@ -287,30 +339,42 @@ class Scorer:
         return out
 
 
+def text_scores(column: pa.Array, model: tuple[Network | None, float], token: str) -> np.ndarray:
+    """Score of each text."""
+    net, empty = model
+    texts = texts_of(column)
+    if net is None:
+        return np.full(len(texts), empty)
+    scorer = held(("toxicity", token), lambda: Scorer(net))
+    parts = [scorer.documents([t.split() for t in texts[s]], empty) for s in slices([len(t) + 1 for t in texts], PASS)]
+    return np.concatenate([*parts, np.zeros(0)])
+
+
 def score_documents(df: DataFrame, model: tuple[Network | None, float], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept columns, score, predicted) of every row; nothing is shuffled."""
     keep = keep or []
     shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # weights of fixed size
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, empty = shared.value
-        scorer = None if net is None else held(("toxicity", token), lambda: Scorer(net))
-        for whole in it:
-            for k in range(0, whole.num_rows, 200):
-                b = whole.slice(k, 200)
-                docs = [t.split() for t in texts_of(b.column(1))]
-                score = np.full(b.num_rows, empty) if scorer is None else scorer.documents(docs, empty)
-                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[id_col, *keep, "score", "predicted"])
+    def run(it: Batches) -> Batches:
+        for b in it:
+            score = text_scores(b.column(1), shared.value, token)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[id_col, *keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col, *keep])
-    return df.select(id_col, text_col, *keep).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return df.select(id_col, text_col, *keep).mapInArrow(tidy(run, ("toxicity", token)), f"{kinds}, score double, predicted int")
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:
-    """Rows of `df`, all columns, that are not predicted toxic; labels of fold 0 are not learnt."""
+    """Rows of `df`, all columns, that are not predicted toxic; labels of fold 0 are not learnt.
+
+    Cases are those of the module; rows are scored and filtered in one pass, so no column is added on the way.
+    """
     model = train(df.filter(crc_fold(id_col, fold) != 0), labels, id_col, text_col)
-    row = "__row"
-    while row in df.columns:
-        row += "_"
-    scored = score_documents(df.withColumn(row, F.struct(*(F.col(c) for c in df.columns))), model, [row], id_col, text_col)
-    return scored.filter("predicted = 0").select(f"{row}.*")
+    shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    at = df.columns.index(text_col)
+
+    def run(it: Batches) -> Batches:
+        for b in it:
+            yield b.filter(pa.array(text_scores(b.column(at), shared.value, token) < 0.5))
+
+    return df.mapInArrow(tidy(run, ("toxicity", token)), df.schema)
