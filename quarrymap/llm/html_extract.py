@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import materialize, texts_of
+from quarrymap.llm.common import materialize, texts_of, tidy
 
 BROADCAST_BYTES = 8 << 20
-DEPTH = 12
+DEPTH = 24
 MIN_PAGES, LINK_SHARE = 4, 0.6
 HELD = 100_000  # tokens a batch of partial sums
 
@@ -78,6 +78,7 @@ class Element(NamedTuple):
     named: bool
     main: bool
     likely: bool
+    link: bool  # a link, or within one
 
 
 def opened(tag: str, attributes: str, parent: Element | None) -> Element:
@@ -95,7 +96,14 @@ def opened(tag: str, attributes: str, parent: Element | None) -> Element:
             label += "." + "-".join(sorted(set((LABEL if key.lower() == "class" else NAME).split(value)) - {""}))
     if parent is not None:
         named, main, likely = named or parent.named, main or parent.main, likely or parent.likely
-    return Element(tag, label, named, main, likely)
+    return Element(tag, label, named, main, likely, tag == "a" or parent is not None and parent.link)
+
+
+def slot_path(labels: list[str]) -> str:
+    """Path of an element; of more than DEPTH labels the first ones are one label, their hash, so different slots keep different paths."""
+    if len(labels) > DEPTH:
+        labels = ["~" + xxhash.xxh64_hexdigest("/".join(labels[:-DEPTH])), *labels[-DEPTH:]]
+    return "/".join(labels)
 
 
 def blocks(page: str) -> list[Block]:
@@ -110,8 +118,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else Element("", "", False, False, False)
-                path = "/".join(e.label for e in stack[-DEPTH:] if e.tag not in INLINE)
+                top = stack[-1] if stack else Element("", "", False, False, False, False)
+                path = slot_path([e.label for e in stack if e.tag not in INLINE])
                 out.append(Block(path, text, min(links, len(text)), top.named, top.main, top.likely))
             parts.clear()
             links = 0
@@ -121,7 +129,7 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
-            if any(e.tag == "a" for e in stack[-4:]):
+            if stack and stack[-1].link:
                 links += len(piece)
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
@@ -229,7 +237,7 @@ def token_rows(df: DataFrame, html_col: str) -> DataFrame:
             if held:
                 yield rows(held)
 
-    return df.select("host", html_col).mapInArrow(run, "host string, token string, vector long, pages long, chars long, links long, contents array<long>")
+    return df.select("host", html_col).mapInArrow(tidy(run), "host string, token string, vector long, pages long, chars long, links long, contents array<long>")
 
 
 def templates(df: DataFrame, html_col: str = "html") -> DataFrame:
@@ -270,4 +278,4 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col, html_col, "__slots").mapInArrow(run, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col, "__slots").mapInArrow(tidy(run), f"{id_col} {kind}, {url_col} string, text string, n_chars long")
