@@ -1,35 +1,40 @@
 """Exact top-k search (operator 5): dual-tree search over cover trees, by inner product.
 
-Rows are dealt evenly over shards by id; every shard also gets all queries, in chunks of at most
-`CHUNK`, so a task holds one chunk of queries and streams its data. Both sides come ordered by nearest
-pivot (pivots are spread over a bounded sample; every row is indexed). A shard builds cover trees -
-each node's children cover it with half its radius, unless 24 of them can't and it is small - over the queries and over each run of `RUN` rows,
-and walks pairs of nodes, best bound first. With centres c, covering radii r,
+1. Every row goes to the cell of its nearest pivot (pivots are spread over a bounded sample; every row is
+   indexed). A cell is a ball: its pivot and the largest distance to it. Cells are cut into shards of about
+   `SHARD` rows by id hash, so no cell, however large, is one task, and a data row is sent to one shard only.
+2. Every query first searches one shard of its own cell. The kth score it finds there is a floor.
+3. It is then sent to the shards of those cells whose ball may hold a score of at least its floor.
+4. A shard builds a cover tree over its rows - each node's children cover it with half its radius, unless 24
+   of them can't and it is small - and one over each batch of at most `CHUNK` queries (coherent, as they come
+   ordered by own cell), and walks pairs of nodes, best bound first. With centres c, covering radii r,
 
-    max <q, p>  <=  <cq, cp> + |cq| rp + |cp| rq + rq rp,
+       max <q, p>  <=  <cq, cp> + |cq| rp + |cp| rq + rq rp,
 
-so a pair whose bound is under the worst kth score among its group of queries is pruned. Scores are
-integers, computed exactly in double precision. The shards' top k of each query are merged at the end.
+   so a pair whose bound is under the worst kth score (or floor) among its group of queries is pruned.
+
+Scores are integers, computed exactly in double precision. The shards' top k of each query are merged at
+the end; a task holds one shard and one batch of queries.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; rows of one id count once, with its least vector; a query without
-candidates gives no rows; ties go to the smaller id; the input's other columns are ignored.
+candidates gives no rows; ties go to the smaller id; the input's other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import materialize
+from quarrymap.llm.common import Batches, materialize, tidy
 
-SAMPLE, PIVOTS = 2048, 64
-CHUNK, RUN, LEAF, QUERY_LEAF = 16_384, 8_192, 64, 24
+SAMPLE, PIVOTS = 2048, 512  # sampled vectors; cells at most
+SHARD, CHUNK, LEAF, QUERY_LEAF = 8_192, 4_096, 64, 24
 WIDE, SHRINK = 16, 0.7
 SCALE = 256
 
@@ -80,16 +85,20 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
 
 
 class Best:
-    """The k best (score, id) of every query so far."""
+    """The k best (score, id) of every query so far; scores under a query's floor are of no use."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
+        self.floor = np.full(n, -np.inf) if floor is None else floor
         self.score = np.full((n, k), -np.inf)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
+    def worst(self, queries: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[queries, -1], self.floor[queries])
+
     def offer(self, queries: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores = np.where(query_ids[:, None] == ids, -np.inf, scores)
-        hit = (scores >= self.score[queries, -1:]).any(1) & (scores > -np.inf).any(1)
+        hit = (scores >= self.worst(queries)[:, None]).any(1) & (scores > -np.inf).any(1)
         if not hit.any():
             return
         rows = queries[hit]
@@ -100,7 +109,7 @@ class Best:
         self.id[rows] = np.where(self.score[rows] > -np.inf, np.take_along_axis(i, order, 1), np.iinfo(np.int64).max)
 
 
-def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, best: Best) -> int:
+def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, best: Best, root: Node | None = None) -> int:
     """Offer every pair that may matter; returns the number of node pairs pruned."""
 
     def bounds(node: Node, other: Node) -> np.ndarray:
@@ -108,11 +117,11 @@ def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, po
         b = node.centres @ other.centre + other.norm * node.radii + other.radius * (node.norms + node.radii)
         return b + 1e-6 * (1 + np.abs(b))
 
-    root, pruned, n = cover_tree(points), 0, 1
-    heap = [(-np.inf, 0, query_root, root)]
+    pruned, n = 0, 1
+    heap = [(-np.inf, 0, query_root, root or cover_tree(points))]
     while heap:
         negative, _, q, p = heapq.heappop(heap)
-        worst = best.score[q.rows, -1].min()
+        worst = best.worst(q.rows).min()
         if -negative < worst:
             pruned += 1
             continue
@@ -130,15 +139,71 @@ def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, po
     return pruned
 
 
+def searched(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every shard for the queries that were sent to it.
+
+    data (cell, shard, id, v), asked (cell, shard, own, id, v, floor).
+    """
+
+    def search(it: Batches) -> Batches:
+        key, root, points, ids = None, None, None, None
+        held: list[tuple] = []
+        waiting: list[tuple] = []
+
+        def answers() -> Batches:
+            nonlocal root, points, ids
+            if root is None and held and waiting:
+                ids, points = (np.concatenate(x) for x in zip(*held))
+                root = cover_tree(points)
+                held.clear()
+            if root is not None and waiting:
+                query_ids, queries, floor = (np.concatenate(x) for x in zip(*waiting))
+                best = Best(len(query_ids), k, floor)
+                dual_search(cover_tree(queries, QUERY_LEAF), queries, query_ids, points, ids, best, root)
+                at = best.score > -np.inf
+                columns = np.broadcast_to(query_ids[:, None], at.shape)[at], best.id[at], best.score[at].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            waiting.clear()
+
+        for b in it:
+            keys = np.stack([b.column(n).to_numpy() for n in range(3)], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1, [len(keys)]])
+            row_ids, floors = b.column(3).to_numpy(), b.column(5).to_numpy()
+            vectors = np.frombuffer(b"".join(b.column(4).to_pylist())).reshape(len(row_ids), -1)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if tuple(keys[a, :2].tolist()) != key:
+                    yield from answers()
+                    key, root = tuple(keys[a, :2].tolist()), None
+                    held.clear()
+                if keys[a, 2] == 0:
+                    held.append((row_ids[a:z], vectors[a:z]))
+                    continue
+                for s in range(a, z, CHUNK):
+                    part = slice(s, min(z, s + CHUNK))
+                    waiting.append((row_ids[part], vectors[part], floors[part]))
+                    if sum(len(w[0]) for w in waiting) >= CHUNK:
+                        yield from answers()
+        yield from answers()
+
+    parts = max(1, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = data.select("cell", "shard", F.lit(0).alias("side"), F.lit(0).alias("own"), "id", "v", F.lit(0.0).alias("floor"))
+    both = both.unionByName(asked.select("cell", "shard", F.lit(1).alias("side"), "own", "id", "v", "floor"))
+    dealt = both.repartition(parts, "cell", "shard").sortWithinPartitions("cell", "shard", "side", "own", "id")
+    return dealt.select("cell", "shard", "side", "id", "v", "floor").mapInArrow(tidy(search), "query_id long, vec_id long, score long")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best other rows."""
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), components(F.col(vector_col)).alias("v"), is_query.alias("query"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
     rows = materialize(rows, "vectors")
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
-    dim, n_queries = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.sum(F.col("query").cast("long")), F.lit(0))).first()
-    chunks, shards = max(1, -(-n_queries // CHUNK)), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dim, count = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
 
     def padded(vectors: list[list[float]]) -> np.ndarray:
         out = np.zeros((len(vectors), max(1, dim)))
@@ -147,65 +212,36 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
         return out
 
     pool = padded(sample) if sample else np.zeros((1, max(1, dim)))
-    pivots = pool[farthest_first(pool, PIVOTS)[0]]
+    pivots = pool[farthest_first(pool, min(PIVOTS, max(1, count // SHARD)))[0]]
 
-    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(it: Batches) -> Batches:
         for b in it:
             v = padded(b.column(1).to_pylist())
-            pivot = ((pivots**2).sum(1) - 2 * (v @ pivots.T)).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pivot, pa.int32()), pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "query", "pivot", "v"])
-
-    rows = rows.mapInArrow(near, "id long, query boolean, pivot int, v binary")
-    shard, chunk = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int")
-    data = rows.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"), "pivot", "id", "v")
-    asked = rows.filter("query").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), chunk.alias("chunk"), F.lit(0).alias("side"), "pivot", "id", "v")
-    dealt = data.unionByName(asked).repartition(shards * chunks, "shard", "chunk").sortWithinPartitions("shard", "chunk", "side", "pivot", "id")
-
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
-        tree: tuple | None = None
-
-        def joined(side: int) -> tuple[np.ndarray, np.ndarray]:
-            ids, vectors = zip(*held[side])
-            held[side] = []
-            return np.concatenate(ids), np.concatenate(vectors)
-
-        def run() -> None:
-            nonlocal tree
-            if tree is None and held[0]:
-                ids, q = joined(0)
-                tree = (cover_tree(q, QUERY_LEAF), q, ids, Best(len(ids), k))
-            if tree is not None and held[1]:
-                ids, points = joined(1)
-                dual_search(*tree[:3], points, ids, tree[3])
-            held[1] = []
-
-        def results() -> Iterator[pa.RecordBatch]:
-            if tree is not None:
-                best = tree[3]
-                at = best.score > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(tree[2][:, None], at.shape)[at], pa.int64()), pa.array(best.id[at], pa.int64()), pa.array(best.score[at].astype(np.int64), pa.int64())], names=["query_id", "vec_id", "score"])
-
+            cell = ((pivots**2).sum(1) - 2 * (v @ pivots.T)).argmin(1)
+            distance = np.sqrt(((v - pivots[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cell, pa.int32()), pa.array(distance, pa.float64()), pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "query", "cell", "distance", "v"])
+
+    placed = materialize(rows.mapInArrow(tidy(near), "id long, query boolean, cell int, distance double, v binary"), "cells")
+    balls = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect()}  # a row per pivot
+    radii = np.array([balls[c]["radius"] if c in balls else -1.0 for c in range(len(pivots))])  # -1: no rows
+    shards = F.element_at(F.array(*(F.lit(-(-balls[c]["n"] // SHARD) if c in balls else 1) for c in range(len(pivots)))), F.col("cell") + 1)
+    norms = np.sqrt((pivots**2).sum(1))
+
+    def aim(it: Batches) -> Batches:
+        """A row per query and cell that may hold a score of its floor."""
         for b in it:
-            keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1, [len(keys)]])
-            ids = b.column(4).to_numpy()
-            vectors = np.frombuffer(b"".join(b.column(5).to_pylist())).reshape(len(ids), -1)
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                now, side = tuple(keys[a, :2].tolist()), int(keys[a, 2])
-                if now != key:
-                    run()
-                    yield from results()
-                    key, tree = now, None
-                    held[0], held[1] = [], []
-                for s in range(a, z, RUN):
-                    held[side].append((ids[s : min(z, s + RUN)], vectors[s : min(z, s + RUN)]))
-                    if side == 1 and sum(len(x[0]) for x in held[1]) >= RUN:
-                        run()
-        run()
-        yield from results()
-
-    found = dealt.select("shard", "chunk", "side", "pivot", "id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            v = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(b.num_rows, -1)
+            bound = v @ pivots.T + np.sqrt((v**2).sum(1))[:, None] * radii
+            q, cell = np.nonzero((bound + 1e-6 * (1 + np.abs(bound)) >= b.column(3).to_numpy()[:, None]) & (radii >= 0))
+            for k in range(0, len(q), 20_000):
+                at = pa.array(q[k : k + 20_000])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), b.column(3).take(at), pa.array(cell[k : k + 20_000], pa.int32())], names=["id", "v", "own", "floor", "cell"])
+
+    shard = F.pmod(F.xxhash64("id"), shards).cast("int")
+    data = placed.select("cell", shard.alias("shard"), "id", "v")
+    queries = placed.filter("query").select("id", "v", F.col("cell").alias("own"))
+    first = queries.select(F.col("own").alias("cell"), "own", "id", "v", F.lit(float("-inf")).alias("floor")).withColumn("shard", shard)
+    floors = best_of(searched(data, first, k), k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    aimed = queries.join(floors, "id", "left").select("id", "v", "own", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    aimed = aimed.mapInArrow(tidy(aim), "id long, v binary, own int, floor double, cell int").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    return best_of(searched(data, aimed, k), k).select("query_id", "rank", "vec_id", "score")
