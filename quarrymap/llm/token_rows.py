@@ -85,13 +85,19 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
+def binary_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive bytes of `data` as binary values of these sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def packed_rows(
     df: DataFrame, tokenizer: str, end_id: int, pad_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", pieces: bool = False
 ) -> DataFrame:
     """Matrix rows, or with `pieces` the rows of `piece_rows` over matrix rows written under the checkpoint folder."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, pad = load_words(tokenizer), np.uint32(end_id).tobytes(), np.uint32(pad_id).tobytes()
+        words, end = load_words(tokenizer), np.uint32(end_id).tobytes()
         first = TaskContext.get().partitionId() << 33
         keys: list = []
         starts: list[int] = []
@@ -108,17 +114,24 @@ def packed_rows(
             keys, starts, parts, held = [], [], [], 0
 
         def as_matrix(first: int, rows: list[list[int]], sizes: np.ndarray) -> pa.RecordBatch:
-            ids, cums, positions = [], [], []
-            for r in rows:
-                cum = np.concatenate([[0], np.cumsum(sizes[r])])
-                ids.append(b"".join(parts[i] for i in r) + pad * (length - int(cum[-1])))
-                cums.append(cum.astype("<u4").tobytes())
-                place = np.zeros(length, "<u4")
-                place[: cum[-1]] = np.arange(cum[-1]) - np.repeat(cum[:-1], np.diff(cum))
-                positions.append(place.tobytes())
+            order = [i for r in rows for i in r]
+            stream = np.frombuffer(b"".join([parts[i] for i in order]), "<u4")
+            size = sizes[order]
+            inside = np.arange(len(stream), dtype=np.uint32) - np.repeat((np.cumsum(size) - size).astype(np.uint32), size)
+            per = np.array([len(r) for r in rows])
+            row = np.repeat(np.arange(len(rows)), per)
+            before = np.cumsum(size) - size
+            before -= before[np.repeat(np.cumsum(per) - per, per)]  # ids of the row before each segment
+            at = np.repeat(row * length + before, size) + inside
+            ids, positions = np.full((len(rows), length), pad_id, "<u4"), np.zeros((len(rows), length), "<u4")
+            ids.reshape(-1)[at], positions.reshape(-1)[at] = stream, inside
+            # Each row's cumulative lengths: 0 and the end of every segment.
+            ends = np.insert((before + size).astype("<u4"), np.cumsum(per) - per, 0)
             columns = [
                 pa.array(np.arange(first, first + len(rows)), pa.int64()),
-                *(pa.array(x, pa.binary()) for x in (ids, cums, positions)),
+                binary_rows(ids, np.full(len(rows), 4 * length)),
+                binary_rows(ends, 4 * (per + 1)),
+                binary_rows(positions, np.full(len(rows), 4 * length)),
                 pa.array([[keys[i] for i in r] for r in rows], pa.list_(key_type)),
                 pa.array([[starts[i] for i in r] for r in rows], pa.list_(pa.int64())),
             ]
