@@ -343,26 +343,53 @@ def _retrieved(spark: SparkSession, with_vectors: bool) -> DataFrame:
     return retrieval.hybrid_retrieve(b.chunks, b.files, b.edges, asked, vectors, limit=6)
 
 
+@query()
 def hybrid_lexical_demo(spark, sf):
     return _retrieved(spark, False).select("query_id", "rank", "path", "symbol_name", "line_start", "line_end", F.round("score", 6).alias("score"), joined("reasons"))
 
 
+@query(
+    literal(
+        "query_id, rank, path, symbol_name, line_start, line_end, score, reasons",
+        ("q1", 1, "src/shop/services/orders.py", "Orders", 5, 7, 1.4, "exact_symbol,exact_path"),
+        ("q1", 2, "src/shop/services/orders.py", None, 1, 7, 1.25, "exact_path"),
+        ("q1", 3, "src/shop/api/routes.py", None, 1, 7, 0.35, ""),
+        ("q1", 4, "src/shop/main.py", None, 1, 13, 0.35, "graph_neighbor"),
+        ("q1", 5, "src/shop/main.py", None, 1, 13, 0.35, "graph_neighbor"),
+        ("q1", 6, "src/shop/main.py", "run", 6, 9, 0.35, "graph_neighbor"),
+        ("q2", 1, "src/shop/api/__init__.py", None, 1, 1, 1.0, ""),
+        ("q2", 2, "src/shop/core/settings.py", None, 1, 1, 1.0, ""),
+        ("q2", 3, "src/shop/core/settings.py", None, 1, 1, 1.0, ""),
+        ("q2", 4, "src/shop/api/routes.py", None, 1, 7, 0.35, "graph_neighbor"),
+        ("q2", 5, "src/shop/api/routes.py", "build", 6, 7, 0.35, "graph_neighbor"),
+        ("q2", 6, "src/shop/main.py", None, 1, 13, 0.15, ""),
+        ("q3", 1, "src/pkg/b.py", None, 1, 35, 1.149592, ""),
+        ("q3", 2, "src/pkg/b.py", None, 1, 35, 1.149592, ""),
+        ("q3", 3, "src/pkg/b.py", "thing", 9, 17, 1.143884, ""),
+        ("q3", 4, "src/pkg/__init__.py", None, 1, 2, 0.15, ""),
+        ("q3", 5, "src/pkg/a.py", None, 1, 6, 0.15, ""),
+        ("q3", 6, "src/pkg/sub/deep.py", None, 1, 3, 0.15, ""),
+    )
+)
 def hybrid_vector_demo(spark, sf):
     return _retrieved(spark, True).select("query_id", "rank", "path", "symbol_name", "line_start", "line_end", F.round("score", 6).alias("score"), joined("reasons"))
 
 
+@query()
 def explain_evidence(spark, sf):
     b = bundle(spark)
     chosen = spark.createDataFrame([("shop", "src/shop/services/orders.py"), ("odd", "src/pkg/b.py")], "analysis_id string, path string")
     return answers.explain_chunks(b.files, b.chunks, b.edges, chosen).select("analysis_id", "selected", "rank", "path", "chunk_type", "symbol_name", "score")
 
 
+@query()
 def impact_demo(spark, sf):
     b = bundle(spark)
     found = graph.change_impact(b.files, b.edges, b.files.select("analysis_id", "path"))
     return found.select("analysis_id", "selected_path", joined("direct_dependents"), joined("second_level_dependents"), joined("related_tests"), joined("affected_entry_points"), F.array_join(F.transform("representative_paths", lambda p: F.array_join(p, " ")), "; ").alias("representative_paths"))
 
 
+@query()
 def scan_limits(spark, sf):
     limits = Config(max_file_bytes=120, max_extracted_files=6)
     kept, warnings = repos.scan(demo.raw_files(spark).unionByName(demo.odd_files(spark)), limits)
