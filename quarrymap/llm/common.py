@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,3 +104,15 @@ def slices(sizes: list[int], limit: int) -> Iterator[slice]:
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Column as Python strings; nulls become empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def int_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of rows of 64-bit integers, exact; sums beyond 64 bits are cut to their range."""
+    top = lambda x: int(max(abs(int(x.min())), abs(int(x.max())))) if x.size else 0
+    bound = top(a) * top(b) * a.shape[1]
+    if bound < 1 << 53:  # doubles hold every partial sum
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if bound < 1 << 63:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)

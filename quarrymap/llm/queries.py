@@ -79,8 +79,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymap.llm.sharding import shard_documents
+
+    return shard_documents(read(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op8_suffix_dedup, op9_token_rows, op10_packing)
+    f.__name__: f for f in (op1_ngram_join, op2_bpe_round_trip, op3_language_id, op4_html_extraction, op5_top_k, op6_quality_rules, op7_toxicity, op8_suffix_dedup, op9_token_rows, op10_packing, op11_whitening, op12_hard_negatives, op13_sharding)
 }
 ORACLES: dict[str, str] = {
     "op5_top_k": """
@@ -97,4 +116,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS row, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.row AS anchor, a.id AS anchor_id, p.id, p.row, p.label = a.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v p ON a.id % 100 = 0 AND p.row <> a.row
+        ), positives AS (
+            SELECT anchor, anchor_id, id AS positive_id, row AS positive, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST, row) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM positives JOIN s USING (anchor, anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        WINDOW w AS (PARTITION BY anchor, positive ORDER BY s.score DESC, s.id NULLS LAST, s.row)
+        QUALIFY row_number() OVER w <= 5
+    """,
 }

@@ -141,7 +141,7 @@ def test_chunks_of_queries(spark, monkeypatch):
 
 def test_every_operator_is_registered(spark):
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in registered.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert registered.op9_token_rows(spark, SF).count() >= 200 and registered.op10_packing(spark, SF).count() >= 200
 
 
