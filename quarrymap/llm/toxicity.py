@@ -7,10 +7,12 @@ Windows overlap by half and cover every word of every text; a document's score i
 
 Training (driver, numpy, Adam) sees labels of documents only, so it is multiple-instance learning: in
 the first pass a toxic document is represented by up to `FIRST` windows drawn from it, among four times as
-many clean windows as there are documents; in every later pass by the worst of 4 * `LOOKS` windows drawn
-anew, a clean one by the worst of `LOOKS`, and as many other clean windows join as there are documents. One
-component of a word's embedding starts as the word's log odds between toxic and clean documents, which few
-labelled rows already tell. Training reads a bounded sample of whole texts of any length: per class, the
+many clean windows as there are documents; in every later pass by the worst of all its windows, a clean one by
+the worst of `LOOKS` drawn anew, and as many other clean windows join as there are documents. From the third pass
+on, the `DOUBTED` share of toxic documents whose worst window scores least, and under one half, sits out, as
+some labels are wrong. The weights of the later passes are averaged. One component of a word's embedding starts
+as the word's log odds between toxic and clean documents, which few labelled rows already tell, and a unit of
+either direction starts as its detector, the weaker the more toxic rows there are (`FEW` / rows). Training reads a bounded sample of whole texts of any length: per class, the
 labelled rows of smallest id hash among the ids of `docs`, up to `SAMPLE` rows and to the row with which they
 come to `SAMPLE_CHARS` characters.
 
@@ -41,6 +43,8 @@ SAMPLE, SAMPLE_CHARS = 1000, 8_000_000  # rows and characters of a class
 CACHE, PASS = 200_000, 1 << 19
 EPOCHS, STEPS, BATCH, RATE = 9, 300, 64, 0.01
 FIRST, LOOKS = 16, 24
+DOUBTED, AVERAGED = 0.3, 0.4  # shares of toxic documents and of passes
+FEW = 60
 
 
 def clean(word: str) -> str:
@@ -106,6 +110,16 @@ class Network:
             self.w |= {f"W{s}": g(d, 3 * h), f"U{s}": g(h, 3 * h), f"b{s}": np.zeros(3 * h, np.float32)}
         self.w |= {"A": g(2 * h, a), "v": g(a, 1)[:, 0], "o": g(2 * h, 1)[:, 0], "c": np.zeros(1, np.float32)}
 
+    def detect_odds(self, strength: float) -> None:
+        """Let the first unit of either direction follow the embeddings' first component, and attention and output follow it."""
+        h = HIDDEN
+        for s in "fb":
+            self.w[f"W{s}"][:, 2 * h] *= 1 - 0.7 * strength
+            self.w[f"W{s}"][0, 2 * h] += strength * (1 - self.w[f"W{s}"][0, 2 * h])
+            self.w[f"b{s}"][2 * h] = -0.5 * strength
+        for name, at, value in (("A", ([0, h], 0), 2.0), ("v", 0, 3.0), ("o", [0, h], 2.0)):
+            self.w[name][at] += strength * (value - self.w[name][at])
+
     # -- inputs ----------------------------------------------------------------------------------
     def inputs(self, words: list[str] | Features) -> tuple[np.ndarray, Features]:
         """Vectors of distinct words, and their features."""
@@ -232,16 +246,21 @@ def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
     n_toxic = int(labels.sum())
     odds = np.array([0.0, *(np.log((toxic[w] + 1) * (len(docs) - n_toxic + 2) / ((seen[w] - toxic[w] + 1) * (n_toxic + 2))) * seen[w] / (seen[w] + RARE) for w in frequent)])
     net.w["E"][:, 0] = odds / 2
+    net.detect_odds(min(1.0, FEW / n_toxic))
     words, at, mask, doc = layout(docs)
     features = Features(words, net.vocabulary)
     rng, y = np.random.default_rng(11), labels[doc].astype(np.float32)
     m1, m2, step, epoch = {}, {}, 0, 0
+    total, kept = {}, 0
     while epoch < EPOCHS or step < STEPS:  # small samples get more passes
         if epoch:
-            some = np.sort(drawn(rng, doc, np.where(y == 1, 4 * LOOKS, LOOKS)))
+            some = np.sort(drawn(rng, doc, np.where(y == 1, len(doc), LOOKS)))
             p = score_windows(net, features, at, mask, some)
-            worst = some[np.lexsort((-p, doc[some]))]
-            first = worst[np.unique(doc[worst], return_index=True)[1]]
+            order = np.lexsort((-p, doc[some]))
+            nth = order[np.unique(doc[some][order], return_index=True)[1]]
+            first, p = some[nth], p[nth]
+            if epoch > 1:
+                first = first[(y[first] == 0) | (p >= min(0.5, np.quantile(p[y[first] == 1], DOUBTED)))]
             other = rng.choice(np.flatnonzero(y == 0), min(len(docs), int((y == 0).sum())), replace=False)
             chosen = np.union1d(first, other)
         else:
@@ -259,6 +278,9 @@ def fit(docs: list[list[str]], labels: np.ndarray) -> Network:
                 a = m1[name] = 0.9 * m1.get(name, 0) + 0.1 * d
                 b = m2[name] = 0.999 * m2.get(name, 0) + 0.001 * d * d
                 net.w[name] = (net.w[name] - RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        if epoch > (1 - AVERAGED) * EPOCHS and step > (1 - AVERAGED) * STEPS:
+            total, kept = {name: total.get(name, 0) + w for name, w in net.w.items()}, kept + 1
+    net.w = {name: (w / kept).astype(np.float32) for name, w in total.items()}
     return net
 
 
