@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymap.operators.staging import numbered
+
 # Sortable columns by their public names.
 SORTS = {"importance": "importance_score", "path": "path", "lines": "line_count", "complexity": "estimated_complexity", "incoming": "incoming_count", "outgoing": "outgoing_count", "category": "category"}
 
@@ -34,9 +36,11 @@ def file_page(files: DataFrame, page: int = 1, size: int = 50, sort: str = "impo
     """A page (from 1) of every analysis's files, with its row number and the count of all."""
     if page < 1 or not 1 <= size <= 500:
         raise ValueError("page counts from 1, and a page has 1 to 500 files")
-    numbered = Window.partitionBy("analysis_id").orderBy(*sort_columns(sort, order))
-    # Only the rows up to the page's end are ranked in one task; the count is an aggregation of its own.
-    rows = files.withColumn("position", F.row_number().over(numbered)).filter((F.col("position") <= page * size) & (F.col("position") > (page - 1) * size))
+    column = SORTS.get(sort, "importance_score")
+    slim = files.select("analysis_id", *dict.fromkeys(["path", column]))
+    # Keys alone are dealt by ranges and numbered where they are; only the page's rows meet the files again.
+    rows = numbered(slim, sort_columns(sort, order), ["analysis_id"]).filter((F.col("position") <= page * size) & (F.col("position") > (page - 1) * size))
+    rows = files.join(rows.select("analysis_id", "path", "position"), ["analysis_id", "path"])
     return rows.join(files.groupBy("analysis_id").agg(F.count("*").alias("total")), "analysis_id")
 
 

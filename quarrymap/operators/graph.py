@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymap.operators.staging import written
+
 # Fixed value: the sentence that goes with every impact view.
 DISCLAIMER = "These files may be structurally affected because they depend on the selected module. This is not a guarantee of runtime impact."
 
@@ -102,6 +104,25 @@ def reachable(edges: DataFrame, selected: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("analysis_id", "selected", "dependent").agg(F.min("depth").alias("depth"))
 
 
+def all_reachable(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """(analysis_id, selected, dependent, depth): least depth of every dependent, however deep; cycles end.
+
+    Semi-naive: a round joins only the last round's new pairs with the edges, and keeps what no earlier round found;
+    it ends with the round that finds nothing. Every round is written, so plans stay short and a lost executor costs
+    at most a round. A file that many import is a skewed join key, which Spark splits as it runs.
+    """
+    back = written(edges.select("analysis_id", F.col("target_path").alias("at"), F.col("source_path").alias("dependent")).distinct(), "back-edges")
+    key = ["analysis_id", "selected", "dependent"]
+    new = written(selected.select("analysis_id", F.col("path").alias("selected"), F.col("path").alias("dependent")).distinct().withColumn("depth", F.lit(0)), "reached")
+    rounds = [new]
+    while not new.isEmpty():
+        known = reduce(DataFrame.unionByName, rounds).select(*key)
+        onward = new.select("analysis_id", "selected", F.col("dependent").alias("at")).join(back, ["analysis_id", "at"]).select(*key).distinct()
+        new = written(onward.join(known, key, "left_anti").withColumn("depth", F.lit(len(rounds))), "reached")
+        rounds.append(new)
+    return reduce(DataFrame.unionByName, rounds).filter("depth > 0")
+
+
 def subgraph_nodes(files: DataFrame, edges: DataFrame, limit: int = 50, include_tests: bool = False, entry_points_only: bool = False, category: str | None = None, search: str | None = None, strict: bool = False) -> DataFrame:
     """(analysis_id, path, truncated): files of a bounded view, filled from the best ranked candidate on.
 

@@ -39,58 +39,54 @@ def packages(source_path: Column, level: Column) -> tuple[Column, Column, Column
 
 
 def candidates(imports: DataFrame) -> DataFrame:
-    """Imports with the targets to look up, in order.
+    """Imports with the targets to look up first: the statement's own module, or each name of `from . import`.
 
-    tries: array of (module, names, whole). `whole` marks the statement's own module; submodules of a
-    `from` import follow and count only if the whole has no target. reason: set if nothing is looked up.
+    below: (module, names) of the submodules that a `from` import may mean if its own module has no target.
+    reason: set if nothing is looked up.
     """
     level, module, names = F.coalesce(F.col("level"), F.lit(0)), F.coalesce(F.col("module"), F.lit("")), F.col("names")
     own, too_high, package = packages(F.col("source_path"), level)
-    made = lambda m, n, whole: F.struct(m.alias("module"), n.alias("names"), F.lit(whole).alias("whole"))
+    made = lambda m, n: F.struct(m.alias("module"), n.alias("names"))
     joined = lambda head, tail: F.array_join(F.concat(head, F.array(tail)), ".")
-    siblings = F.transform(names, lambda n: made(joined(package, n), F.array(n), True))
-    below = F.transform(names, lambda n: made(F.when(module != "", F.concat(module, F.lit("."), n)).otherwise(n), F.array(n), False))
-    whole = F.array(made(module, names, True))
+    siblings = F.transform(names, lambda n: made(joined(package, n), F.array(n)))
+    below = F.transform(names, lambda n: made(F.when(module != "", F.concat(module, F.lit("."), n)).otherwise(n), F.array(n)))
     reason = F.when((level > 0) & own.isNull(), NO_SOURCE_MODULE).when((level > 0) & too_high, LEVEL_TOO_HIGH)
-    tries = (
-        F.when(reason.isNotNull(), whole)
-        .when((level > 0) & (module != ""), F.array(made(joined(package, module), names, True)))
-        .when(level > 0, siblings)
-        .when(~F.col("is_from"), whole)
-        .otherwise(F.concat(whole, below))
-    )
-    rows = imports.select("analysis_id", "source_path", "nth", "line_number", reason.alias("reason"), F.posexplode(tries).alias("try", "t"))
-    return rows.select("analysis_id", "source_path", "nth", "line_number", "reason", "try", "t.*")
+    tries = F.when(reason.isNotNull() | (level == 0), F.array(made(module, names))).when(module != "", F.array(made(joined(package, module), names))).otherwise(siblings)
+    below = F.when((level == 0) & F.col("is_from"), below).otherwise(F.array().cast("array<struct<module:string,names:array<string>>>"))
+    rows = imports.select("analysis_id", "source_path", "nth", "line_number", reason.alias("reason"), below.alias("below"), F.posexplode(tries).alias("try", "t"))
+    return rows.select("analysis_id", "source_path", "nth", "line_number", "reason", "below", "try", "t.*")
 
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """One row per resolved target, or per statement (name of `from . import`) without one."""
-    tried = candidates(imports)
-    looked = tried.filter("reason IS NULL").join(modules.withColumnRenamed("path", "target_path"), ["analysis_id", "module"], "left")
-    failed = tried.filter("reason IS NOT NULL").withColumn("target_path", F.lit(None).cast("string"))
-    hit = F.col("target_path").isNotNull()
+    """One row per resolved target, or per statement (name of `from . import`) without one.
+
+    Every statement is looked up once by its own module; only those that miss, and may mean submodules, are looked
+    up by their names, and only these are gathered again.
+    """
+    known = modules.withColumnRenamed("path", "target_path")
+    looked = candidates(imports).withColumn("sought", F.when(F.col("reason").isNull(), F.col("module")))
+    looked = looked.join(known.withColumnRenamed("module", "sought"), ["analysis_id", "sought"], "left").drop("sought")
+    again = F.col("target_path").isNull() & (F.size("below") > 0)
+    columns = ["analysis_id", "source_path", "nth", "try", "module", "names", "line_number", "target_path", "reason"]
     key = ["analysis_id", "source_path", "nth"]
-    tries = looked.unionByName(failed).groupBy(*key).agg(
-        F.collect_list(F.struct("try", "whole", "module", "names", "target_path", "line_number", "reason")).alias("tries"),
-        F.max(hit & F.col("whole")).alias("whole_hit"),
-        F.max(hit & ~F.col("whole")).alias("below_hit"),
-    )
-    # Submodules count if the whole missed; the missed whole counts if no submodule hit.
-    keep = lambda t: F.when(t.whole, F.col("whole_hit") | ~F.col("below_hit")).otherwise(~F.col("whole_hit") & t.target_path.isNotNull())
-    rows = tries.select(*key, F.explode(F.filter("tries", keep)).alias("t"))
-    internal = F.col("t.target_path").isNotNull()
+    named = looked.filter(again).select(*key, "line_number", "reason", F.struct("module", "names").alias("whole"), F.posexplode("below").alias("at", "b"))
+    named = named.select("*", F.col("b.module").alias("below_module")).join(known.withColumnRenamed("module", "below_module"), ["analysis_id", "below_module"], "left")
+    hit = F.when(F.col("target_path").isNotNull(), F.struct((F.col("at") + 1).alias("try"), F.col("b.module").alias("module"), F.col("b.names").alias("names"), "target_path"))
+    tried = named.groupBy(*key).agg(F.collect_list(hit).alias("hits"), F.any_value("line_number").alias("line_number"), F.any_value("reason").alias("reason"), F.any_value("whole").alias("whole"))
+    missed = F.array(F.struct(F.lit(0).alias("try"), F.col("whole.module").alias("module"), F.col("whole.names").alias("names"), F.lit(None).cast("string").alias("target_path")))
+    below = tried.select(*key, "line_number", "reason", F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(missed)).alias("t")).select(*key, "line_number", "reason", "t.*")
+    rows = looked.filter(~again).select(*columns).unionByName(below.select(*columns))
+    internal = F.col("target_path").isNotNull()
     return rows.select(
-        "analysis_id",
-        "source_path",
-        "nth",
-        F.col("t.try").alias("try"),
-        F.col("t.module").alias("imported_module"),
-        F.col("t.names").alias("imported_names"),
-        F.col("t.line_number").alias("line_number"),
-        F.col("t.target_path").alias("target_path"),
+        *key,
+        "try",
+        F.col("module").alias("imported_module"),
+        F.col("names").alias("imported_names"),
+        "line_number",
+        "target_path",
         internal.alias("is_internal"),
         F.when(internal, HIGH).otherwise(LOW).alias("confidence"),
-        F.when(~internal, F.coalesce("t.reason", F.lit(EXTERNAL))).alias("unresolved_reason"),
+        F.when(~internal, F.coalesce("reason", F.lit(EXTERNAL))).alias("unresolved_reason"),
     )
 
 

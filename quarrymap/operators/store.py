@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,51 @@ def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
 
 
+def upsert(rows: DataFrame, path: str, key: list[str], order: list[str], buckets: int = 64) -> int:
+    """Put the last version of every key of `rows` into the table under `path`; returns the table's new version.
+
+    Keys are dealt by hash over `buckets` folders. A batch rewrites only the buckets that it touches, into folders of
+    the new version, and then appends the version's list of folders (a row a bucket) as one file: readers see the
+    old list or the new one, and a batch that fails, or whose tasks are retried, leaves the old one. Rows of
+    untouched buckets stay in the files they were in. Of versions that are equal in `order` either may stay.
+    """
+    spark = rows.sparkSession
+    mine = rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    listed = bucket_list(spark, path)
+    old = {r["bucket"]: r for r in listed.collect()} if listed is not None else {}  # a row a bucket
+    version = 1 + max((r["version"] for r in old.values()), default=0)
+    touched = {r["bucket"] for r in mine.select("bucket").distinct().collect()}
+    kept = [r["folder"] for b, r in old.items() if b in touched]
+    both = mine if not kept else mine.unionByName(spark.read.schema(mine.schema).option("basePath", path).parquet(*(f"{path}/{f}" for f in kept)).select(*mine.columns))
+    rest = [c for c in mine.columns if c not in [*key, "bucket"]]
+    newest = both.groupBy("bucket", *key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select("bucket", *key, "row.*").select(*mine.columns)
+    target = f"data/version={version}-{uuid.uuid4().hex}"
+    newest.repartition(F.col("bucket")).write.partitionBy("bucket").parquet(f"{path}/{target}")
+    folders = [(version, b, f"{target}/bucket={b}") if b in touched else (version, b, old[b]["folder"]) for b in sorted(touched | old.keys())]
+    if folders:
+        spark.createDataFrame(folders, "version int, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def bucket_list(spark: SparkSession, path: str) -> DataFrame | None:
+    """(version, bucket, folder) of the newest version; None before the first."""
+    try:
+        versions = spark.read.schema("version int, bucket int, folder string").parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return versions.join(versions.agg(F.max("version").alias("version")), "version")
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `upsert` keeps, as of its newest version."""
+    listed = bucket_list(spark, path)
+    if listed is None:
+        raise ValueError(f"No upserted table: {path}")
+    return spark.read.option("basePath", path).parquet(*(f"{path}/{r['folder']}" for r in listed.collect())).drop("bucket", "version")
+
+
 def current_status(events: DataFrame) -> DataFrame:
     """The last status event (analysis_id, status, stage, progress, at, seq) of every analysis."""
     return events.groupBy("analysis_id").agg(F.max_by(F.struct("status", "stage", "progress", "at"), F.struct("at", "seq")).alias("e")).select("analysis_id", "e.*")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymap.functions import paths, text, urls
 from quarrymap.operators import answers, catalog, chunks, classify, graph, modules, retrieval, store, summary
+from quarrymap.operators.staging import shared_folder
 from quarrymap.plans import literal_queries, status_queries  # noqa: F401  they register queries
 from quarrymap.plans import synthetic as syn
 from quarrymap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -125,6 +128,18 @@ def representative_paths(spark, sf):
     return graph.representative_paths(syn.edges(spark, sf), syn.nodes(spark, sf)).select("selected", "dep_rank", "step", F.array_join("nodes", " ").alias("nodes"))
 
 
+@query(f"""
+    WITH RECURSIVE e AS (SELECT DISTINCT source_path, target_path FROM ({EDGES})),
+    r AS (SELECT path AS selected, path AS dependent FROM ({syn.NODES}) WHERE is_entry_point UNION SELECT r.selected, e.source_path FROM r JOIN e ON e.target_path = r.dependent),
+    n AS (SELECT path AS selected, path AS dependent, 0 AS depth FROM ({syn.NODES}) WHERE is_entry_point UNION SELECT n.selected, e.source_path, n.depth + 1 FROM n JOIN e ON e.target_path = n.dependent WHERE n.depth < 2),
+    d AS (SELECT selected, dependent, min(depth) AS depth FROM n GROUP BY 1, 2)
+    SELECT selected, count(*) AS dependents, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth = 2) AS second_level FROM r LEFT JOIN d USING (selected, dependent) WHERE dependent <> selected GROUP BY 1""")
+def impact_closure(spark, sf):
+    """Everything that depends on an entry point, however far away."""
+    found = graph.all_reachable(syn.edges(spark, sf), syn.nodes(spark, sf).filter("is_entry_point"))
+    return found.groupBy("selected").agg(F.count("*").alias("dependents"), F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("second_level"))
+
+
 @query(f"""
     WITH s AS (SELECT path FROM ({syn.NODES}) WHERE is_entry_point), e AS ({EDGES})
     SELECT DISTINCT path FROM (SELECT target_path AS path FROM e WHERE source_path IN (FROM s) UNION ALL SELECT source_path FROM e WHERE target_path IN (FROM s)) WHERE path NOT IN (FROM s)""")
@@ -187,6 +202,16 @@ def file_list_page(spark, sf):
     return catalog.file_page(syn.files(spark, sf), 3, 25, "lines", "asc").select("path", "importance_score", "line_count")
 
 
+@query(f"""
+    SELECT category, path, importance_score, CAST(position AS BIGINT) AS position FROM (
+        SELECT *, row_number() OVER (PARTITION BY category ORDER BY importance_score DESC, path) AS position, count(*) OVER (PARTITION BY category) AS total FROM ({FILES}))
+    WHERE position > 30 AND position <= 40""")
+def file_list_deep_page(spark, sf):
+    """Page 4 of ten files of every category (here an analysis of its own), numbered without a window over all files."""
+    rows = syn.files(spark, sf).withColumn("analysis_id", F.col("category"))
+    return catalog.file_page(rows, 4, 10).select("category", "path", "importance_score", "position")
+
+
 @query(f"SELECT path, category, importance_score FROM ({FILES}) WHERE path ILIKE '%API/M_1%' AND NOT is_test AND parse_status = 'ok'")
 def file_list_filtered(spark, sf):
     return catalog.filter_files(syn.files(spark, sf), search="API/M_1", tests=False, parse_status="ok").select("path", "category", "importance_score")
@@ -226,6 +251,16 @@ def repository_upsert_latest(spark, sf):
     return store.latest(syn.table(spark, sf, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upserted_state(spark, sf):
+    """Three batches of events, put one after another into a table of bucket folders: the state that readers see."""
+    rows = syn.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    path = f"{shared_folder(spark)}/upserted-{uuid.uuid4().hex}"
+    for k in (2, 0, 1):
+        store.upsert(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k), path, ["user_id", "event_type"], ["ts", "event_id"])
+    return store.read_upserted(spark, path).select("user_id", "event_type", "event_id", "value")
+
+
 @query("SELECT user_id, event_type AS status, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def current_status(spark, sf):
     rows = syn.table(spark, sf, "events").select(F.col("user_id").alias("analysis_id"), F.col("event_type").alias("status"), F.col("event_id").alias("stage"), F.lit(0).alias("progress"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
@@ -478,7 +513,7 @@ def _rounded(df, *columns):
 
 @query(f"SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path) AS rank FROM ({SCORED}) WHERE score > 0) WHERE rank <= 12")
 def lexical_topk(spark, sf):
-    scored = retrieval.scored_chunks(_parts(spark, sf), _questions(spark, sf)).withColumn("score", F.round("score", 6))
+    scored = retrieval.scored_chunks(_parts(spark, sf), _questions(spark, sf), 12).withColumn("score", F.round("score", 6))
     return scored.select("query_id", "chunk_id", "score", retrieval.by_score()).filter("rank <= 12")
 
 

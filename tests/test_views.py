@@ -85,7 +85,7 @@ def chunks(spark, *rows):
 def test_scores_and_expansion(spark):
     c = chunks(spark, ("1", "app/auth.py", "Login", "login with password", [1.0, 0.0]), ("2", "app/other.py", None, "nothing here", [0.0, 1.0]), ("3", "t/test_auth.py", None, "zzz", None), ("4", "far.py", None, "zzz", None))
     q = spark.createDataFrame([("q", "r", "Login password in app/auth.py password")], "query_id string, analysis_id string, question string")
-    got = {r.chunk_id: (round(r.score, 6), r.reasons) for r in retrieval.scored_chunks(c, q).collect()}
+    got = {r.chunk_id: (round(r.score, 6), r.reasons) for r in retrieval.scored_chunks(c, q, 12).collect()}
     # concepts login, password twice and the path; the exact symbol Login; the path term
     assert got == {"1": (round(4 * 0.15 + 0.5 + 0.6, 6), ["exact_symbol", "exact_path"])}
     f = files(spark, ("app/auth.py", 1.0, False, False, "X"), ("app/other.py", 1.0, False, False, "X"), ("t/test_auth.py", 1.0, False, True, "X"), ("far.py", 1.0, False, False, "X"))
@@ -94,7 +94,7 @@ def test_scores_and_expansion(spark):
     assert [(r.chunk_id, r.score) for r in out][1:] == [("2", 0.35), ("3", 0.25)] and out[1].reasons == ["graph_neighbor"]
     v = retrieval.vector_scores(c, q.withColumn("embedding", F.array(F.lit(1.0), F.lit(1.0))), k=2)
     assert sorted((r.chunk_id, round(r.score, 6)) for r in v.collect()) == [("1", 0.707107), ("2", 0.707107)]
-    both = retrieval.scored_chunks(c, q, v).filter("chunk_id = '2'").first()
+    both = retrieval.scored_chunks(c, q, 12, v).filter("chunk_id = '2'").first()
     assert round(both.score, 6) == 0.707107
     headers = spark.createDataFrame([("q", "o/r", None, ["f"])], "query_id string, full_name string, description string, facts array<string>")
     context = retrieval.context_blocks(out_frame := retrieval.hybrid_retrieve(c, f, e, q), headers, 190).first().context
