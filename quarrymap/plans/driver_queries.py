@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrymap.functions import paths, text, urls
 from quarrymap.operators import answers, catalog, chunks, classify, graph, modules, retrieval, store, summary
 from quarrymap.operators.staging import shared_folder
-from quarrymap.plans import literal_queries, status_queries  # noqa: F401  they register queries
+from quarrymap.plans import literal_queries, rendered_queries, status_queries  # noqa: F401  they register queries
 from quarrymap.plans import synthetic as syn
 from quarrymap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from quarrymap.schemas import IMPORT
@@ -45,15 +45,6 @@ def edge_dedupe(spark, sf):
     return syn.edges(spark, sf).select("source_path", "target_path", "imported_module", "line_number")
 
 
-@query(f"""
-    SELECT count(*) AS python_file_count, CAST(sum(line_count) AS BIGINT) AS lines_of_python, (SELECT count(*) FROM ({EDGES})) AS internal_dependency_edges,
-           count(*) FILTER (is_entry_point) AS entry_point_count, count(*) FILTER (is_test) AS test_file_count, count(*) FILTER (parse_status <> 'ok') AS parse_warning_count
-    FROM ({syn.NODES})""")
-def run_statistics(spark, sf):
-    rows = syn.nodes(spark, sf)
-    return summary.statistics(rows, syn.edges(spark, sf), rows.limit(0)).drop("analysis_id", "chunk_count")
-
-
 @query(f"SELECT category, count(*) AS files FROM ({syn.NODES}) GROUP BY 1")
 def category_counts(spark, sf):
     return summary.category_counts(syn.nodes(spark, sf)).drop("analysis_id")
