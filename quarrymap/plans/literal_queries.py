@@ -35,26 +35,6 @@ def _archive_rows() -> list[tuple]:
     return [(a, p, len(c.encode()), kind.get(p, "python"), digest(p, c)) for a in ("shop", "broken") for p, c in demo.TREES[a].items()]
 
 
-@query(literal("analysis_id, path, size_bytes, kind, content_md5", *_archive_rows()))
-def archive_files(spark, sf):
-    return repos.checked_members(repos.archive_members(demo.archives(spark))).select("analysis_id", "path", "size_bytes", "kind", F.md5(F.col("content").cast("binary")).alias("content_md5"))
-
-
-@query(
-    literal(
-        "analysis_id, error_code, error_message",
-        ('climbs', 'INVALID_ARCHIVE', 'Unsafe archive path rejected: owner-repo-sha/../up.py'),
-        ('crowd', 'REPOSITORY_TOO_LARGE', 'Too many files in the archive.'),
-        ('heavy', 'REPOSITORY_TOO_LARGE', 'Too many bytes in the archive.'),
-        ('junk', 'INVALID_ARCHIVE', 'Downloaded archive is invalid or corrupt.'),
-        ('links', 'INVALID_ARCHIVE', 'Archives containing symlinks are not allowed.'),
-    )
-)
-def archive_failures(spark, sf):
-    limits = Config(max_extracted_files=3, max_extracted_bytes=400)
-    return repos.member_failures(repos.archive_members(demo.bad_archives(spark), limits), limits)
-
-
 # -- answers -------------------------------------------------------------------------------------
 
 RETRIEVED = [("q1", "a.py", 1, 20, 2), ("q1", "a.py", 21, 40, 1), ("q1", "b.py", 1, 9, 3), ("q2", "a.py", 1, 20, 1)]
