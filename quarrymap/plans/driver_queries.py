@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrymap.functions import paths, text, urls
 from quarrymap.operators import answers, catalog, chunks, classify, graph, modules, retrieval, store, summary
 from quarrymap.operators.staging import shared_folder
-from quarrymap.plans import archive_queries, literal_queries, rendered_queries, status_queries  # noqa: F401  they register queries
+from quarrymap.plans import archive_queries, rendered_queries, status_queries  # noqa: F401  they register queries
 from quarrymap.plans import synthetic as syn
 from quarrymap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from quarrymap.schemas import IMPORT
@@ -602,3 +602,6 @@ def answer_normalize(spark, sf):
 def starter_questions(spark, sf):
     own = syn.nodes(spark, sf).groupBy(F.element_at(F.split("path", "/"), 2).alias("brand")).agg(F.collect_set("category").alias("c"))
     return own.select("brand", F.array_join(summary.starter_questions(F.col("c")), "|").alias("questions"))
+
+
+from quarrymap.plans import evidence_queries  # noqa: E402, F401  it builds on the queries above

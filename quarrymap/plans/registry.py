@@ -18,19 +18,3 @@ def query(sql: str | None = None):
         return f
 
     return register
-
-
-def literal(columns: str, *rows: tuple) -> str:
-    """SQL of literal rows: the twin of a query over texts that stand in the code."""
-
-    def value(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).upper()
-        if isinstance(x, float):
-            return f"{x!r}::DOUBLE"
-        return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-    listed = ",\n           ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {listed}) AS t({columns})"
