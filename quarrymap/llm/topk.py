@@ -13,7 +13,8 @@
 
    so a pair whose bound is under the worst kth score (or floor) among its group of queries is pruned.
 
-Scores are integers, computed exactly in double precision. The shards' top k of each query are merged at
+Bounds are doubles with slack; scores are exact integers (sums of products that doubles may not hold are formed in 64-bit
+integers, and cut to their range beyond). The shards' top k of each query are merged at
 the end; a task holds one shard and one batch of queries.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import Batches, materialize, tidy
+from quarrymap.llm.common import Batches, int_products, materialize, tidy
 
 SAMPLE, PIVOTS = 2048, 512  # sampled vectors; cells at most
 SHARD, CHUNK, LEAF, QUERY_LEAF = 8_192, 4_096, 64, 24
 WIDE, SHRINK = 16, 0.7
 SCALE = 256
+LEAST = int(np.iinfo(np.int64).min)  # no score
 
 
 def components(embedding: Column) -> Column:
@@ -84,29 +86,35 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
     return Node(points, np.arange(len(points)), points[0], float(distance.max()), leaf)
 
 
+def whole(v: np.ndarray) -> np.ndarray:
+    """Whole doubles as 64-bit integers, cut to their range."""
+    most = np.nextafter(2.0**63, 0)
+    return np.clip(v, -most, most).astype(np.int64)
+
+
 class Best:
     """The k best (score, id) of every query so far; scores under a query's floor are of no use."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
-        self.floor = np.full(n, -np.inf) if floor is None else floor
-        self.score = np.full((n, k), -np.inf)
+        self.floor = np.full(n, LEAST) if floor is None else floor
+        self.score = np.full((n, k), LEAST)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def worst(self, queries: np.ndarray) -> np.ndarray:
         return np.maximum(self.score[queries, -1], self.floor[queries])
 
     def offer(self, queries: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(query_ids[:, None] == ids, -np.inf, scores)
-        hit = (scores >= self.worst(queries)[:, None]).any(1) & (scores > -np.inf).any(1)
+        scores = np.where(query_ids[:, None] == ids, LEAST, scores)
+        hit = (scores >= self.worst(queries)[:, None]).any(1) & (scores > LEAST).any(1)
         if not hit.any():
             return
         rows = queries[hit]
         s = np.concatenate([self.score[rows], scores[hit]], 1)
         i = np.concatenate([self.id[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        order = np.lexsort((i, ~s), axis=1)[:, : self.k]  # ~s falls as s rises, and can't overflow
         self.score[rows] = np.take_along_axis(s, order, 1)
-        self.id[rows] = np.where(self.score[rows] > -np.inf, np.take_along_axis(i, order, 1), np.iinfo(np.int64).max)
+        self.id[rows] = np.where(self.score[rows] > LEAST, np.take_along_axis(i, order, 1), np.iinfo(np.int64).max)
 
 
 def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, best: Best, root: Node | None = None) -> int:
@@ -117,6 +125,12 @@ def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, po
         b = node.centres @ other.centre + other.norm * node.radii + other.radius * (node.norms + node.radii)
         return b + 1e-6 * (1 + np.abs(b))
 
+    top = lambda v: float(np.abs(v).max(initial=0))
+    if top(queries) * top(points) * queries.shape[1] < 2**53:  # doubles hold every partial sum
+        product = lambda q, p: (queries[q] @ points[p].T).astype(np.int64)
+    else:
+        whole_q, whole_p = whole(queries), whole(points)
+        product = lambda q, p: int_products(whole_q[q], whole_p[p])
     pruned, n = 0, 1
     heap = [(-np.inf, 0, query_root, root or cover_tree(points))]
     while heap:
@@ -126,7 +140,7 @@ def dual_search(query_root: Node, queries: np.ndarray, query_ids: np.ndarray, po
             pruned += 1
             continue
         if not q.children and not p.children:
-            best.offer(q.rows, query_ids[q.rows], queries[q.rows] @ points[p.rows].T, ids[p.rows])
+            best.offer(q.rows, query_ids[q.rows], product(q.rows, p.rows), ids[p.rows])
             continue
         split_q = bool(q.children) and (not p.children or q.radius >= p.radius)
         found = bounds(q, p) if split_q else bounds(p, q)
@@ -160,8 +174,8 @@ def searched(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 query_ids, queries, floor = (np.concatenate(x) for x in zip(*waiting))
                 best = Best(len(query_ids), k, floor)
                 dual_search(cover_tree(queries, QUERY_LEAF), queries, query_ids, points, ids, best, root)
-                at = best.score > -np.inf
-                columns = np.broadcast_to(query_ids[:, None], at.shape)[at], best.id[at], best.score[at].astype(np.int64)
+                at = best.score > LEAST
+                columns = np.broadcast_to(query_ids[:, None], at.shape)[at], best.id[at], best.score[at]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
             waiting.clear()
 
@@ -186,7 +200,7 @@ def searched(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         yield from answers()
 
     parts = max(1, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = data.select("cell", "shard", F.lit(0).alias("side"), F.lit(0).alias("own"), "id", "v", F.lit(0.0).alias("floor"))
+    both = data.select("cell", "shard", F.lit(0).alias("side"), F.lit(0).alias("own"), "id", "v", F.lit(0).cast("long").alias("floor"))
     both = both.unionByName(asked.select("cell", "shard", F.lit(1).alias("side"), "own", "id", "v", "floor"))
     dealt = both.repartition(parts, "cell", "shard").sortWithinPartitions("cell", "shard", "side", "own", "id")
     return dealt.select("cell", "shard", "side", "id", "v", "floor").mapInArrow(tidy(search), "query_id long, vec_id long, score long")
@@ -240,8 +254,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     shard = F.pmod(F.xxhash64("id"), shards).cast("int")
     data = placed.select("cell", shard.alias("shard"), "id", "v")
     queries = placed.filter("query").select("id", "v", F.col("cell").alias("own"))
-    first = queries.select(F.col("own").alias("cell"), "own", "id", "v", F.lit(float("-inf")).alias("floor")).withColumn("shard", shard)
-    floors = best_of(searched(data, first, k), k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    aimed = queries.join(floors, "id", "left").select("id", "v", "own", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    aimed = aimed.mapInArrow(tidy(aim), "id long, v binary, own int, floor double, cell int").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    first = queries.select(F.col("own").alias("cell"), "own", "id", "v", F.lit(LEAST).alias("floor")).withColumn("shard", shard)
+    floors = best_of(searched(data, first, k), k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    aimed = queries.join(floors, "id", "left").select("id", "v", "own", F.coalesce("floor", F.lit(LEAST)).alias("floor"))
+    aimed = aimed.mapInArrow(tidy(aim), "id long, v binary, own int, floor long, cell int").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
     return best_of(searched(data, aimed, k), k).select("query_id", "rank", "vec_id", "score")

@@ -121,6 +121,18 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in rng.integers(-10**6, 10**6, 4)] for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    whole = [[256 * int(x) for x in v] for v in vectors]
+    want = []
+    for q in (0, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), j) for j, v in enumerate(whole) if j != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])]
+    assert sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 50 == 0).collect())) == want and max(abs(w[3]) for w in want) > 2**53
+
+
 def test_dual_search_prunes():
     rng = np.random.default_rng(2)
     points = np.floor(256 * np.concatenate([c + 0.02 * rng.standard_normal((300, 8)) for c in rng.standard_normal((8, 8))]))
