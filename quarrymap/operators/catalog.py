@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.operators.staging import numbered
@@ -10,6 +10,9 @@ from quarrymap.operators.staging import numbered
 # Sortable columns by their public names.
 SORTS = {"importance": "importance_score", "path": "path", "lines": "line_count", "complexity": "estimated_complexity", "incoming": "incoming_count", "outgoing": "outgoing_count", "category": "category"}
 
+CACHE_KEY = ["repository_id", "commit_sha", "analyzer_version"]
+CACHE_BUCKETS = 64
+
 
 def filter_files(files: DataFrame, search: str | None = None, category: str | None = None, entry_points: bool | None = None, tests: bool | None = None, parse_status: str | None = None) -> DataFrame:
     """`search` is a case-insensitive LIKE pattern between wildcards; `entry_points=False` doesn't filter, `tests=False` does."""
@@ -64,12 +67,21 @@ def file_neighbours(edges: DataFrame, selected: DataFrame) -> DataFrame:
 
 def cache_misses(requested: DataFrame, analyses: DataFrame, force: bool = False) -> DataFrame:
     """Requests (repository_id, commit_sha, analyzer_version) without a completed analysis; all if forced."""
-    key = ["repository_id", "commit_sha", "analyzer_version"]
-    return requested if force else requested.join(analyses.filter("status = 'completed'").select(*key), key, "left_anti")
+    return requested if force else requested.join(analyses.filter("status = 'completed'").select(*CACHE_KEY), CACHE_KEY, "left_anti")
+
+
+def save_analyses(analyses: DataFrame, name: str, path: str, buckets: int = CACHE_BUCKETS) -> None:
+    """Write analyses as the table `name` under `path`, dealt over `buckets` by what a request asks for."""
+    dealt = analyses.repartition(buckets, *CACHE_KEY)  # so that a bucket is one file
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *CACHE_KEY).sortBy(*CACHE_KEY).saveAsTable(name)
+
+
+def cache_misses_of(requested: DataFrame, name: str, buckets: int = CACHE_BUCKETS) -> DataFrame:
+    """`cache_misses` against a table of `save_analyses`: requests go to its buckets, the table stays where it is."""
+    return cache_misses(requested.repartition(buckets, *CACHE_KEY), requested.sparkSession.table(name))
 
 
 def next_attempts(requested: DataFrame, analyses: DataFrame) -> DataFrame:
     """Requests with the number of their next attempt, so that a forced rerun is a new row."""
-    key = ["repository_id", "commit_sha", "analyzer_version"]
-    tried = analyses.groupBy(*key).agg(F.max("attempt").alias("tried"))
-    return requested.join(tried, key, "left").withColumn("attempt", F.coalesce("tried", F.lit(0)) + 1).drop("tried")
+    tried = analyses.groupBy(*CACHE_KEY).agg(F.max("attempt").alias("tried"))
+    return requested.join(tried, CACHE_KEY, "left").withColumn("attempt", F.coalesce("tried", F.lit(0)) + 1).drop("tried")

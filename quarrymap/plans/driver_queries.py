@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrymap.functions import paths, text, urls
 from quarrymap.operators import answers, catalog, chunks, classify, graph, modules, retrieval, store, summary
 from quarrymap.operators.staging import shared_folder
-from quarrymap.plans import archive_queries, rendered_queries, status_queries  # noqa: F401  they register queries
+from quarrymap.plans import archive_queries, rendered_queries, status_queries, stream_queries  # noqa: F401  they register queries
 from quarrymap.plans import synthetic as syn
 from quarrymap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from quarrymap.schemas import IMPORT
