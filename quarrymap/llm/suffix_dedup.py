@@ -250,7 +250,10 @@ def find_runs(docs: DataFrame) -> DataFrame:
 
 
 def cut_contexts(docs_with_runs: DataFrame) -> DataFrame:
-    """(id, tfp, hot, key, fp, lo, times, bytes) from (id, tfp, text, runs): contexts, and pieces of hot runs."""
+    """(id, tfp, hot, key, fp, lo, times, bytes) from (id, tfp, text, runs): contexts, and pieces of hot runs.
+
+    Of rows equal in id and tfp that follow one another, as a join leaves them, the first is cut.
+    """
 
     def pieces(data: np.ndarray, prints: Fingerprints, own: np.ndarray, lo: int, n: int, seed: int) -> Iterator[tuple]:
         at = int(own[lo])
@@ -264,10 +267,14 @@ def cut_contexts(docs_with_runs: DataFrame) -> DataFrame:
             yield int(key.view(np.int64)), int(shared[1].view(np.int64)), a, z - a + 1, data[a : z + LENGTH].tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for b in it:
             out: list[tuple] = []
             size = 0
-            for row, (text, runs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            for row, (own_id, tfp, text, runs) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                if (own_id, tfp) == before:
+                    continue
+                before = own_id, tfp
                 raw = (text or "").encode()
                 hot = None
                 for r in runs:
@@ -279,7 +286,7 @@ def cut_contexts(docs_with_runs: DataFrame) -> DataFrame:
                         data = np.frombuffer(raw, np.uint8)
                         hot = data, Fingerprints(data), owners(data, seed_hashes(data))
                     for key, fp, lo, _, held in pieces(*hot, r["lo"], r["n"], r["seed"]):
-                        out.append((row, True, key, fp, lo, 1, held))
+                        out.append((row, True, key, fp, lo, r["times"], held))
                         size += len(held)
                 if size > 4 << 20 or len(out) > 20_000:
                     yield made(b, out)
@@ -298,7 +305,7 @@ def cut_contexts(docs_with_runs: DataFrame) -> DataFrame:
 
 
 def search_blocks(contexts: DataFrame) -> DataFrame:
-    """(key, fp, a, z): repeated window ranges of contexts (key, fp, bytes, times), grouped by key."""
+    """(key, fp, a, z): repeated window ranges of contexts (key, fp, bytes, times), grouped by key; equal ones count once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps, held, counts, size = [], [], [], [], 0
@@ -312,6 +319,8 @@ def search_blocks(contexts: DataFrame) -> DataFrame:
 
         for b in it:
             for key, fp, raw, count in zip(*(c.to_pylist() for c in b.columns)):
+                if keys and (key, fp) == (keys[-1], fps[-1]):
+                    continue  # of a row equal in id and text; the first has the count of all
                 if size >= BLOCK and key != keys[-1]:
                     yield flush()
                 keys.append(key)
@@ -364,12 +373,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = materialize(stand.groupBy("seed").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("seed"), "hot")
     columns = ["id", "tfp", "seed", "fp", "lo", "n", "times", "hot"]
     wanted = stand.join(hot, "seed", "left_anti").withColumn("hot", F.lit(False)).select(*columns)
-    wanted = wanted.unionByName(hits.join(hot, "seed", "left_semi").withColumns({"times": F.lit(1).cast("long"), "hot": F.lit(True)}).select(*columns))
+    # Rows equal in id and text make one entry; two stands for any greater number of them.
+    once = materialize(hits.join(hot, "seed", "left_semi"), "hot-hits").groupBy("id", "tfp", "seed", "fp", "lo", "n").agg(F.least(F.count("*"), F.lit(2)).alias("times"))
+    wanted = wanted.unionByName(once.withColumn("hot", F.lit(True)).select(*columns))
     by_text = wanted.groupBy("id", "tfp").agg(F.collect_list(F.struct("seed", "fp", "lo", "n", "times", "hot")).alias("runs"))
     by_text = by_text.withColumnsRenamed({"id": "id_", "tfp": "tfp_"})
     same = docs["id"].eqNullSafe(by_text["id_"]) & (docs["tfp"] == by_text["tfp_"])
     cut = materialize(cut_contexts(docs.join(by_text, same)), "cut")
-    merged = materialize(cut.filter("hot").groupBy("key", "fp").agg(F.max("bytes").alias("bytes"), F.count("*").alias("times")), "pieces")
+    merged = materialize(cut.filter("hot").groupBy("key", "fp").agg(F.max("bytes").alias("bytes"), F.sum("times").alias("times")), "pieces")
     full = materialize(merged.groupBy("key").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("key"), "full")
     blocks = cut.filter("NOT hot").select("key", "fp", "bytes", "times").unionByName(merged.join(full, "key", "left_anti").select("key", "fp", "bytes", "times"))
     found = materialize(search_blocks(blocks).unionByName(counted_windows(merged.join(full, "key", "left_semi"))), "windows")

@@ -113,6 +113,26 @@ def brute_repeats(texts, length=200):
     return out
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_suffix_dedup_of_thousands_of_equal_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = words(260)
+    data = [(7, words(50) + passage)] * 5000 + [(k, words(40) + passage[:210] + words(30)) for k in range(20, 26)] + [(99, words(400))]
+    blocks = []
+
+    def counted(contexts, search=suffix_dedup.search_blocks):
+        blocks.append(contexts.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return search(contexts)
+
+    monkeypatch.setattr(suffix_dedup, "search_blocks", counted)
+    found = suffix_dedup.span_digests(spark.createDataFrame(data, "doc_id long, text string").repartition(6))
+    want = set(brute_repeats(data[:2] + data[5000:]))
+    assert set(map(tuple, found.collect())) == want and found.filter("doc_id = 7").count() == 5000
+    assert blocks[0] < 100
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
