@@ -4,14 +4,17 @@ A language is a smoothed distribution over the character 1- to 3-grams of lower-
 `BINS` cells. A document is a mixture: each of its words was drawn from one of the languages, with the
 likelihood of the word's n-grams. Expectation-maximisation estimates the document's proportions; the
 language set is the one of least penalised likelihood, -2 log L + |set| log(words), among the nested
-sets that drop the least language of the last fit. The prediction is the largest proportion.
+sets that drop the least language of the last fit. The prediction is the largest proportion. Of more than
+2 * `MEET` languages, a document's are first found in slices: the `MEET` languages of largest proportion so far are
+mixed with the next `MEET`, and so on to the last; the sets are then those of the `MEET` that are left.
 
-Training reads whole texts of a bounded sample: the `SAMPLE` labelled rows of smallest id hash.
+Training reads whole texts of a bounded sample: the `SAMPLE` labelled rows of smallest id hash. So there are `SAMPLE`
+languages at most, and the table holds the cells that the sample's texts of a language have, not all `BINS`.
 
 Defined cases: a text that is null, empty or without letters is `und` with score 0; so is every text
 when no labelled row exists; ties go to the alphabetically first language; repeated rows get equal
 rows; texts of any length are used whole, about `PASS` characters of documents (or one longer text) at a
-time; more than `LANGUAGES` languages are an error; an empty table gives no rows; the input's other columns
+time; any number of languages is taken; an empty table gives no rows; the input's other columns
 are ignored, whatever their names.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from quarrymap.llm.common import held, slices, texts_of, tidy
 
 BINS = 1 << 16
-LANGUAGES = 500  # so that the broadcast table has 131 MB at most
+MEET = 8  # languages of a slice
 SAMPLE = 6000
 CACHE, PASS = 600_000, 1 << 20
 ROUNDS = 8
@@ -58,13 +61,30 @@ def letters_of(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their log n-gram probabilities [languages, BINS]."""
+class GramTable:
+    """Log n-gram probabilities of languages: cells that a language has, and one value for all that it lacks."""
+
+    def __init__(self, cells: list[np.ndarray], counts: list[np.ndarray]):
+        totals = np.array([c.sum() for c in counts]) + 0.1 * BINS
+        self.cells = cells
+        self.seen = [np.log((n + 0.1) / t).astype(np.float32) for n, t in zip(counts, totals)]
+        self.unseen = np.log(0.1 / totals).astype(np.float32)
+
+    def dense(self, first: int, last: int) -> np.ndarray:
+        """[BINS, last - first]: the table of some languages."""
+        out = np.tile(self.unseen[first:last], (BINS, 1))
+        for k in range(first, last):
+            out[self.cells[k], k - first] = self.seen[k]
+        return out
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], GramTable]:
+    """Languages (sorted) and the table of their n-grams."""
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     edge = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if edge is None:
-        return [], np.zeros((0, BINS), np.float32)
+        return [], GramTable([], [])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -72,30 +92,32 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             for lang, text in zip(b.column(1).to_pylist(), texts_of(b.column(0))):
                 words = [w for w in map(letters_of, text.lower().split()) if w]
                 if words:
+                    if lang not in held and len(held) == 4 * MEET:
+                        yield from flush(held)
+                        held.clear()
                     held.setdefault(lang, np.zeros(BINS, np.int64))
                     held[lang] += np.bincount(word_grams(words)[0], minlength=BINS)
+        yield from flush(held)
+
+    def flush(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             cells = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], names=["lang", "cell", "n"])
 
     counted = rows.filter(F.col("h") <= edge).select("text", "lang").mapInArrow(tidy(count), "lang string, cell int, n long")
-    total = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()  # at most languages * BINS rows
-    languages = sorted({r["lang"] for r in total})
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"{len(languages)} languages: their table would be broadcast beyond {LANGUAGES} x {BINS} floats")
-    table = np.full((len(languages), BINS), 0.1)
-    for r in total:
-        table[languages.index(r["lang"]), r["cell"]] += r["n"]
-    return languages, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    packed = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("grams"))  # BINS at most
+    found = packed.select("lang", F.col("grams.cell").alias("cells"), F.col("grams.n").alias("counts")).toArrow().sort_by("lang")
+    pick = lambda name: [x.values.to_numpy() for x in found.column(name)]
+    return found.column("lang").to_pylist(), GramTable(pick("cells"), pick("counts"))
 
 
 class Scorer:
-    """Log likelihoods of words, kept for words seen before in this worker."""
+    """Log likelihoods of words, kept for words seen before in this worker; table: [BINS, languages]."""
 
     def __init__(self, table: np.ndarray):
-        self.table = np.ascontiguousarray(table.T)
+        self.table = table
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((CACHE + 1, table.shape[0]), np.float32)
+        self.rows = np.zeros((CACHE + 1, table.shape[1]), np.float32)
         self.used = 1  # row 0: words without letters
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -163,33 +185,72 @@ def choose(loglik: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return best
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sliced(table: GramTable, words: list[str], languages: int) -> Iterator[np.ndarray]:
+    """Log likelihoods [words, MEET] of words (of letters only) in one slice of the languages after another."""
+    at: dict[str, int] = {}
+    place = np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words))
+    cells, owners = word_grams(list(at))
+    for first in range(0, languages, MEET):
+        part = table.dense(first, min(first + MEET, languages))
+        yield np.stack([np.bincount(owners, part[cells, k], len(at)) for k in range(part.shape[1])], 1).astype(np.float32)[place]
+
+
+def leading(parts: Iterator[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The languages [documents, MEET] that lead after all slices of them, and their log likelihoods [words, MEET].
+
+    Every slice is mixed with the leaders so far; those of largest proportion lead on, ties go to the first.
+    """
+    best = chosen = owner = None
+    first = 0
+    for part in parts:
+        own = np.broadcast_to(np.arange(first, first + part.shape[1]), (len(starts), part.shape[1]))
+        first += part.shape[1]
+        if best is None:
+            best, chosen, owner = part, own, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(part))))
+            continue
+        best, chosen = np.concatenate([best, part], 1), np.concatenate([chosen, own], 1)
+        share, _ = mixtures(best, starts, np.ones(chosen.shape, np.float32))
+        keep = np.sort(np.argsort(-share, 1, kind="stable")[:, :MEET], 1)
+        best, chosen = np.take_along_axis(best, keep[owner], 1), np.take_along_axis(chosen, keep, 1)
+    return chosen, best
+
+
+def identify(df: DataFrame, model: tuple[list[str], GramTable], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept columns, lang_pred, score, proportions) of every row; nothing is shuffled."""
     languages, table = model
     keep = keep or []
-    shared, token = df.sparkSession.sparkContext.broadcast((languages, table)), uuid.uuid4().hex  # languages * BINS floats
+    shared, token = df.sparkSession.sparkContext.broadcast((languages, table)), uuid.uuid4().hex  # the cells of the sample's texts
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table = shared.value
-        scorer = held(("langid", token), lambda: Scorer(table))
+        few = len(languages) <= 2 * MEET
         for whole in it:
             texts = texts_of(whole.column(1))
-            for s in slices([len(t) + 1 for t in texts], PASS):
+            for s in slices([len(t) + len(languages) + 1 for t in texts], PASS):
                 b = whole.slice(s.start, s.stop - s.start)
                 cut = [t.lower().split() for t in texts[s]]
-                counts = np.array([len(c) for c in cut], np.int64)
                 share = np.zeros((b.num_rows, len(languages)), np.float32)
-                if languages and counts.sum():
-                    at = scorer.words([w for c in cut for w in c])
-                    owner = np.repeat(np.arange(b.num_rows), counts)[at > 0]
+                if not few:
+                    cut = [[w for w in map(letters_of, c) if w] for c in cut]
+                counts = np.array([len(c) for c in cut], np.int64)
+                owner = np.repeat(np.arange(b.num_rows), counts)
+                words = [w for c in cut for w in c]
+                if languages and words and few:
+                    scorer = held(("langid", token), lambda: Scorer(table.dense(0, len(languages))))
+                    at = scorer.words(words)
+                    owner = owner[at > 0]
                     if len(owner):
                         docs, starts = np.unique(owner, return_index=True)
                         share[docs] = choose(scorer.rows[at[at > 0]], starts)
+                elif languages and words:
+                    docs, starts = np.unique(owner, return_index=True)
+                    chosen, loglik = leading(sliced(table, words, len(languages)), starts)
+                    share[docs[:, None], chosen] = choose(loglik, starts)
                 best = share.argmax(1) if languages else np.zeros(b.num_rows, np.int64)
                 score = share.max(1) if languages else np.zeros(b.num_rows)
                 named = [languages[i] if s > 0 else "und" for i, s in zip(best.tolist(), score.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *b.columns[2:], pa.array(named, pa.string()), pa.array(np.minimum(score, 1.0).astype(float), pa.float64()), pa.array(share.astype(float).tolist(), pa.list_(pa.float64()))],
+                    [b.column(0), *b.columns[2:], pa.array(named, pa.string()), pa.array(np.minimum(score, 1.0).astype(float), pa.float64()), pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * len(languages), share.astype(float).ravel())],
                     names=[id_col, *keep, "lang_pred", "score", "proportions"],
                 )
 

@@ -45,6 +45,59 @@ def plain_choice(loglik):
     return min(fits)[2]
 
 
+def plain_cells(word):
+    """Cells of the 1- to 3-grams of `<word>`, one at a time."""
+    codes, out = [ord(c) for c in f"<{word}>"], []
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            key = 0
+            for c in codes[i : i + n]:
+                key = (key * 1_000_003 + c) % 2**64
+            if n == 1:
+                key = codes[i]
+            out.append((((key ^ n) * 0x9E3779B97F4A7C15 % 2**64) >> 48) % langid.BINS)
+    return out
+
+
+def test_training_counts_equal_plain_python(spark):
+    data = [(1, "Der Hund, der läuft", "de"), (2, "el perro 12 corre x2y", "es"), (3, "Hund?", "de"), (4, None, "de"), (5, "the dog", None), (6, "", "fr")]
+    languages, table = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert languages == ["de", "es"]
+    for k, lang in enumerate(languages):
+        words = [w for _, t, own in data if own == lang and t for w in ("".join(c for c in x if c.isalpha()) for x in t.lower().split()) if w]
+        counts = np.bincount([c for w in words for c in plain_cells(w)], minlength=langid.BINS) + 0.1
+        assert np.allclose(table.dense(0, 2)[:, k], np.log(counts / counts.sum()), atol=1e-5)
+
+
+def test_six_hundred_languages(spark):
+    rng = random.Random(11)
+    vocabulary = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(30)] for k in range(600)}
+    said = lambda lang, n: " ".join(rng.choices(vocabulary[lang], k=n))
+    learned = spark.createDataFrame([(k, said(lang, 120), lang) for k, lang in enumerate(vocabulary)], "doc_id long, text string, lang string")
+    model = langid.train(learned)
+    assert model[0] == sorted(vocabulary)
+    asked = [(k, said(f"l{k:03d}", 40), None) for k in range(0, 600, 7)] + [(1000, said("l005", 60) + " " + said("l597", 40), None), (1001, "", None), (1002, "12 34", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[k].lang_pred == f"l{k:03d}" and len(got[k].proportions) == 600 for k, *_ in asked[:-3])
+    assert got[1000].lang_pred == "l005" and abs(got[1000].proportions[597] - 0.4) < 0.1
+    assert got[1001].lang_pred == got[1002].lang_pred == "und"
+
+
+def test_leading_languages_are_those_of_a_plain_tournament():
+    rng = np.random.default_rng(4)
+    counts, total = [3, 1, 25], 21
+    loglik = rng.normal(-9, 2, (sum(counts), total)).astype(np.float32)
+    starts = np.cumsum([0, *counts[:-1]])
+    chosen, best = langid.leading((loglik[:, k : k + langid.MEET] for k in range(0, total, langid.MEET)), starts)
+    for i, (s, n) in enumerate(zip(starts, counts)):
+        lead = list(range(langid.MEET))
+        for first in range(langid.MEET, total, langid.MEET):
+            met = lead + list(range(first, min(first + langid.MEET, total)))
+            share, _ = plain_mixture(loglik[s : s + n, met].tolist(), [1.0] * len(met))
+            lead = sorted(met[k] for k in sorted(range(len(met)), key=lambda k: -share[k])[: langid.MEET])
+        assert chosen[i].tolist() == lead and (best[s : s + n] == loglik[s : s + n, lead]).all()
+
+
 def test_mixture_inference_equals_plain_python():
     rng = np.random.default_rng(3)
     counts = [1, 2, 7, 40, 90]
