@@ -54,7 +54,8 @@ def test_template_slots_without_article_mark(spark):
     want = sorted([(k, f"Body number {k} of its own.", 25) for k in [*range(6), 3]] + [(9, "", 0), (10, "", 0)])
     assert got == want
     found = templates(frame.filter("page_id < 6").select(F.lit("h").alias("host"), "html")).collect()
-    assert len({r["class"] for r in found if r.path.endswith(("t", "body"))} | {0}) >= 1 and sum(r.boilerplate for r in found) == 2
+    assert {r.token.partition("\n")[0] for r in found if r.boilerplate} == {"html/body/div.t1", "html/body/div.t2"}
+    assert len({r["class"] for r in found}) == 1  # all tokens that several pages have stand on all of them
     assert extract_main_text(frame.limit(0)).count() == 0
 
 
@@ -83,8 +84,65 @@ def test_classes_decide_inside_marked_pages(spark):
     assert {r["class"] for r in found if r.token in ("body/article", "body/article/div.box")} == {slot["body"]["class"], slot["body/article/div.box"]["class"]}
 
 
+def host_of(page):
+    return re.match(r"[a-z]+://([^/:?#]*)", page.url or "")[1]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_classes_are_those_of_explicit_occurrence_vectors(spark, plain):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    if plain:  # one host, copies of pages among its rows
+        pages = pages.withColumn("url", F.lit("http://one.example/x")).unionByName(pages.filter("page_id % 3 = 0"))
+    pages = pages.withColumn("host", F.regexp_extract("url", "//([^/:?#]*)", 1))
+    vectors, contents, times = {}, {}, {}
+    for n, r in enumerate(pages.collect()):
+        found = blocks(r.html)
+        for token, (some, *_) in html_extract.page_tokens(found).items():
+            vectors.setdefault((r.host, token), set()).add(n)
+            contents.setdefault((r.host, token), set()).add(html_extract.content_of(found))
+            times[r.host, token] = times.get((r.host, token), 0) + some
+    valid = {t: (t[0], frozenset(v)) for t, v in vectors.items() if len(contents[t]) >= html_extract.MIN_PAGES}
+    got = {(r.host, r.token): r for r in templates(pages).collect()}
+    assert got.keys() == valid.keys()
+    assert all(got[t].pages == len(valid[t][1]) and got[t].times == times[t] for t in got)
+    classes = {}
+    for t, r in got.items():
+        classes.setdefault((r.host, r["class"]), set()).add(valid[t])
+    assert all(len(v) == 1 for v in classes.values()) and len(classes) == len(set(valid.values()))
+    for t, r in got.items():
+        above = [got[t[0], p] for p in html_extract.prefixes(r.path)]
+        if r.token != r.path:
+            assert r.boilerplate == any(valid[t[0], a.token] == valid[t] for a in above)
+        wider = [a for a in above if a.pages > r.pages]
+        assert r.parent_class == (wider[0]["class"] if wider else None)
+
+
+def test_classes_alone_find_the_articles(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet")
+    want = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    found = html_extract.materialize(templates(pages.withColumn("host", F.regexp_extract("url", "//([^/:?#]*)", 1))), "templates")
+    main = {r.host: r.main for r in html_extract.main_slots(found).collect()}
+    slots = {}
+    for r in found.filter("boilerplate").collect():
+        slots.setdefault(r.host, set()).add(r.token)
+    for names in ("NEVER", "NAMED", "ROLES", "MAIN_NAMED", "MARKS"):
+        monkeypatch.setattr(html_extract, names, frozenset())
+    rows = pages.collect()
+    same = sum(main_text(blocks(r.html), slots.get(host_of(r), set()), main.get(host_of(r))) == want[r.page_id] for r in rows)
+    assert same >= 0.95 * len(rows)
+    assert sum(main_text(blocks(r.html), set()) == want[r.page_id] for r in rows) < 0.05 * len(rows)
+
+
+def test_deduced_slot_on_unmarked_pages(spark):
+    page = lambda k: f"<body><div class='x1'><p>Teaser {k} of today.</p></div><div class='x2'><h1>Title {k}</h1><div class='x3'><p>{'Body of its own. ' * 9}{k}</p><p>End {k}.</p></div></div><div class='x4'><h1>Site</h1><p>Seen {k * 7} times.</p></div></body>"
+    frame = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(frame).collect()}
+    assert got == {k: f"Title {k}\n{'Body of its own. ' * 9}{k}\nEnd {k}." for k in range(8)}
+
+
 def test_templates_joined_beyond_the_broadcast_limit(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages = pages.unionByName(pages.select("page_id", "url", F.regexp_replace("html", "</?article>", "").alias("html"))).unionByName(pages.limit(5))
     want = sorted(map(tuple, extract_main_text(pages).collect()))
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, extract_main_text(pages).collect())) == want
