@@ -44,7 +44,7 @@ LINK, UNION = 100, 80
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PASS = 1 << 19  # bytes of text a pass
 FLUSH = 1_500_000
-TILE = 2048
+TILE, TILE_BYTES = 2048, 16 << 20  # members of a bucket of a block, and bytes of their sketches, on average
 # ASCII white space.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -408,10 +408,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def mixed_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (signature, id, n, sketch) of blocks with several components, with component c and block size k."""
+    """Members (signature, id, n, sketch) of blocks with several components, with component c and the number of buckets the block is cut in."""
     labelled = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    whole = labelled.groupBy("signature").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    return materialize(labelled.join(materialize(whole.select("signature", "k"), "mixed"), "signature"), "rest")
+    whole = labelled.groupBy("signature").agg(F.count("*").alias("k"), F.sum(F.octet_length("sketch")).alias("bytes"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    buckets = F.ceil(F.greatest(F.col("k") / TILE, F.col("bytes") / TILE_BYTES)).cast("int").alias("buckets")
+    return materialize(labelled.join(materialize(whole.select("signature", buckets), "mixed"), "signature"), "rest")
 
 
 def folded(sketches: list[bytes], size: int) -> np.ndarray:
@@ -448,8 +449,8 @@ def close_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bucket: n
 def cross_pairs(rest: DataFrame) -> DataFrame:
     """Pairs of a block's members of different components that may link.
 
-    A block of k members is k / TILE buckets; each pair of buckets is a tile of at most 2 * TILE members,
-    whose sketches are compared as matrices, so a tile's memory is bounded and only close pairs are rows.
+    A block's buckets hold about TILE members and TILE_BYTES bytes of sketches at most; each pair of buckets is a
+    tile, whose sketches are compared as matrices, so a tile's memory is bounded and only close pairs are rows.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,8 +470,7 @@ def cross_pairs(rest: DataFrame) -> DataFrame:
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
-    buckets = F.ceil(F.col("k") / TILE).cast("int")
-    rows = rest.withColumn("bucket", F.pmod(F.xxhash64("id"), buckets).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), buckets - 1)))
+    rows = rest.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     rows = rows.select("signature", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "bucket", "id", "n", "c", "sketch")
     parts = max(1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(parts, "signature", "p", "q").sortWithinPartitions("signature", "p", "q").mapInArrow(tidy(run, "ngram"), "a long, b long").distinct()

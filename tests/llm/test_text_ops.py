@@ -63,6 +63,25 @@ def test_ngram_join_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(data))
 
 
+def test_tiles_are_cut_by_bytes_without_losing_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    members = []
+    for k in range(60):
+        h = base.copy()
+        h[: 5 * k] = rng.integers(0, 2**63, 5 * k).astype(np.uint64)
+        h.sort()
+        members.append((7, k, len(h), bytearray(ngram_join.parity_sketch(h, len(h)))))
+    members = spark.createDataFrame(members, "signature long, id long, n long, sketch binary")
+    found = spark.createDataFrame([], "id long, component long")
+    want = sorted(map(tuple, ngram_join.cross_pairs(ngram_join.mixed_blocks(members, found)).collect()))
+    monkeypatch.setattr(ngram_join, "TILE_BYTES", 4096)
+    cut = ngram_join.mixed_blocks(members, found)
+    size = members.selectExpr("sum(octet_length(sketch))").first()[0]
+    assert cut.first()["buckets"] == -(-size // 4096) > 1
+    assert sorted(map(tuple, ngram_join.cross_pairs(cut).collect())) == want and len(want) > 100
+
+
 def test_ngram_join_odd_rows(spark):
     got = ngram_join.near_duplicate_classes(documents(spark)).collect()
     assert len(got) == len(rows())
