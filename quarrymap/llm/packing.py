@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarrymap.llm.common import texts_of, tidy
-from quarrymap.llm.words import load_words
+from quarrymap.llm.common import tidy
+from quarrymap.llm.words import blocks, load_words
 
 LENGTH = 2048
 HARD = 256
@@ -83,10 +83,8 @@ def tail_cuts(start: int, end: int) -> list[int]:
     return cuts
 
 
-def pack_block(keys: list, ids: list[bytes], ends: np.ndarray, length: int, first: int) -> tuple[dict, int]:
+def pack_block(keys: pa.Array, stream: np.ndarray, sizes: np.ndarray, ends: np.ndarray, length: int, first: int) -> tuple[dict, int]:
     """Pieces of one block of documents, and the number of sequences; `first` is its first sequence id."""
-    stream = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
     after = np.cumsum(sizes)
     at, penalty = candidates(ends[stream], after, min(HARD, length))
     cuts = best_cuts(at, penalty, length)
@@ -97,16 +95,16 @@ def pack_block(keys: list, ids: list[bytes], ends: np.ndarray, length: int, firs
     doc = np.searchsorted(after, starts, side="right")
     sequence = np.searchsorted(cuts, starts, side="right")
     opened = np.concatenate([[0], cuts])[sequence]
-    raw = memoryview(b"".join(ids))
+    raw = memoryview(stream).cast("B")
     return {
-        "key": [keys[d] for d in doc.tolist()],
+        "key": keys.take(pa.array(doc)),
         "start": starts - (after - sizes)[doc],
         "length": bounds - starts,
         "crc": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), bounds.tolist())],
         "tokens": sizes[doc],
         "sequence": first + sequence,
         "offset": starts - opened,
-        "ids": lambda: [np.frombuffer(raw[4 * a : 4 * b], "<u4").astype(np.int32) for a, b in zip(starts.tolist(), bounds.tolist())],
+        "ids": lambda: [stream[a:b].astype(np.int32) for a, b in zip(starts.tolist(), bounds.tolist())],
     }, len(cuts)
 
 
@@ -119,35 +117,17 @@ def pack_documents(
         words = load_words(tokenizer)
         ends = words.ends.copy()
         ends[end_id] = False
-        end = np.uint32(end_id).tobytes()
         first = TaskContext.get().partitionId() << 33
-        keys: list = []
-        ids: list[bytes] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first, keys, ids, held
-            made, n = pack_block(keys, ids, ends, length, first)
+        for keys, stream, sizes in blocks(words, it, end_id, BLOCK):
+            made, n = pack_block(keys, stream, sizes, ends, length, first)
             first += n
-            keys, ids, held = [], [], 0
-            columns = [pa.array(made["key"], key_type), *(pa.array(made[k], pa.int64()) for k in ("start", "length", "crc", "tokens", "sequence", "offset"))]
+            columns = [made["key"], *(pa.array(made[k], pa.int64()) for k in ("start", "length", "crc", "tokens", "sequence", "offset"))]
             if with_ids:
                 columns.append(pa.array(made["ids"](), pa.list_(pa.int32())))
             whole = pa.RecordBatch.from_arrays(columns, names=names)
             for k in range(0, whole.num_rows, 20_000):
                 yield whole.slice(k, 20_000)
 
-        for b in it:
-            key_type = b.schema.field(0).type
-            for key, x in zip(b.column(0).to_pylist(), words.encode(texts_of(b.column(1)))):
-                keys.append(key)
-                ids.append(x + end)
-                held += len(x) // 4 + 1
-                if held >= BLOCK:
-                    yield from flush()
-        if keys:
-            yield from flush()
-
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids

@@ -7,10 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quarrymap.llm import common
+from quarrymap.llm import common, words
 from quarrymap.llm import queries as registered
 from quarrymap.llm.bpe import ByteBpe, decode_documents, encode_documents, round_trip_digests
 from quarrymap.llm.packing import best_cuts, candidates, pack_documents, tail_cuts
@@ -56,6 +57,45 @@ def test_words_equal_library():
             assert np.frombuffer(got, "<u4").tolist() == want.ids, text
 
 
+def test_letters_that_become_letter_and_mark_keep_the_punctuation_behind_them():
+    lib, own = Tokenizer.from_file(WORD), WordIds(WORD)
+    texts = ["\u0958.", "a\u0130!", "\ufb1d,", "B\u095b...", "\u0130 \u0958 x."]
+    for text, want, got in zip(texts, lib.encode_batch(texts, add_special_tokens=False), own.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
+def test_words_are_learned_once_whatever_their_case_and_punctuation(monkeypatch):
+    lib, own, learned = Tokenizer.from_file(WORD), WordIds(WORD), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda new: (learned.extend(new), learn(new))[1])
+    texts = ["Thbleti thbleti, THBLETI...", "thbleti! (thbleti", "Thbleti..."]
+    for text, want, got in zip(texts, lib.encode_batch(texts, add_special_tokens=False), own.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+    assert sorted(learned) == sorted(["thbleti", "(thbleti", ",", "...", "!"])
+
+
+def test_a_full_cache_of_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(words, "CACHE", 8)
+    monkeypatch.setattr(words, "PASS", 50)
+    lib, own = Tokenizer.from_file(WORD), WordIds(WORD)
+    texts = random_texts(200, 6)
+    for text, want, got in zip(texts, lib.encode_batch(texts, add_special_tokens=False), own.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
+def test_blocks_end_with_the_document_that_fills_them(monkeypatch):
+    monkeypatch.setattr(words, "PASS", 20)
+    own = WordIds(WORD)
+    texts = [None, "one two three", "", "four " * 30, "five", None, "six seven"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])] * 2
+    for limit in (1, 7, 1000):
+        found = list(words.blocks(own, iter(batches), 1, limit))
+        assert [k for keys, _, _ in found for k in keys.to_pylist()] == [*range(len(texts))] * 2
+        assert all(len(ids) == sum(sizes) and sum(sizes[:-1]) < limit <= sum(sizes) for _, ids, sizes in found[:-1])
+        whole = [i for x in own.encode([t or "" for t in texts]) for i in [*np.frombuffer(x, "<u4").tolist(), 1]]
+        assert [i for _, ids, _ in found for i in ids.tolist()] == whole * 2
+
+
 def test_round_trip_query(spark):
     lib, got = Tokenizer.from_file(BYTE), round_trip_digests(documents(spark), BYTE).collect()
     want = []
