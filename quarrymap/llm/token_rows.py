@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.llm.common import materialize, texts_of, tidy
-from quarrymap.llm.words import load_words
+from quarrymap.llm.common import materialize, tidy
+from quarrymap.llm.words import blocks, load_words, taken
 
 LENGTH = 2048
 BLOCK = 4_000_000
@@ -97,59 +97,40 @@ def packed_rows(
     """Matrix rows, or with `pieces` the rows of `piece_rows` over matrix rows written under the checkpoint folder."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = load_words(tokenizer), np.uint32(end_id).tobytes()
         first = TaskContext.get().partitionId() << 33
-        keys: list = []
-        starts: list[int] = []
-        parts: list[bytes] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first, keys, starts, parts, held
-            sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-            rows = best_fit_decreasing(sizes, length)
+        for documents, stream, counts in blocks(load_words(tokenizer), it, end_id, BLOCK):
+            per = -(-counts // length)
+            doc = np.repeat(np.arange(len(counts)), per)
+            starts = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * length
+            sizes = np.minimum(counts[doc] - starts, length)
+            rows, keys = best_fit_decreasing(sizes, length), documents.take(pa.array(doc))
             for k in range(0, len(rows), ROWS):
-                yield as_matrix(first + k, rows[k : k + ROWS], sizes)
+                yield as_matrix(first + k, rows[k : k + ROWS], keys, starts, sizes, stream)
             first += len(rows)
-            keys, starts, parts, held = [], [], [], 0
-
-        def as_matrix(first: int, rows: list[list[int]], sizes: np.ndarray) -> pa.RecordBatch:
-            order = [i for r in rows for i in r]
-            stream = np.frombuffer(b"".join([parts[i] for i in order]), "<u4")
-            size = sizes[order]
-            inside = np.arange(len(stream), dtype=np.uint32) - np.repeat((np.cumsum(size) - size).astype(np.uint32), size)
-            per = np.array([len(r) for r in rows])
-            row = np.repeat(np.arange(len(rows)), per)
-            before = np.cumsum(size) - size
-            before -= before[np.repeat(np.cumsum(per) - per, per)]  # ids of the row before each segment
-            at = np.repeat(row * length + before, size) + inside
-            ids, positions = np.full((len(rows), length), pad_id, "<u4"), np.zeros((len(rows), length), "<u4")
-            ids.reshape(-1)[at], positions.reshape(-1)[at] = stream, inside
-            # Each row's cumulative lengths: 0 and the end of every segment.
-            ends = np.insert((before + size).astype("<u4"), np.cumsum(per) - per, 0)
-            columns = [
-                pa.array(np.arange(first, first + len(rows)), pa.int64()),
-                binary_rows(ids, np.full(len(rows), 4 * length)),
-                binary_rows(ends, 4 * (per + 1)),
-                binary_rows(positions, np.full(len(rows), 4 * length)),
-                pa.array([[keys[i] for i in r] for r in rows], pa.list_(key_type)),
-                pa.array([[starts[i] for i in r] for r in rows], pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["row_id", "input_ids", "cu_seqlens", "position_ids", "keys", "starts"])
-
-        for b in it:
-            key_type = b.schema.field(0).type
-            for key, x in zip(b.column(0).to_pylist(), words.encode(texts_of(b.column(1)))):
-                x += end
-                for a in range(0, len(x) // 4, length):
-                    keys.append(key)
-                    starts.append(a)
-                    parts.append(x[4 * a : 4 * (a + length)])
-                held += len(x) // 4
-                if held >= BLOCK:
-                    yield from flush()
-        if keys:
-            yield from flush()
+
+    def as_matrix(first: int, rows: list[list[int]], keys: pa.Array, starts: np.ndarray, sizes: np.ndarray, stream: np.ndarray) -> pa.RecordBatch:
+        order = np.array([i for r in rows for i in r])
+        stream, size = taken(stream, sizes, order), sizes[order]
+        inside = np.arange(len(stream), dtype=np.uint32) - np.repeat((np.cumsum(size) - size).astype(np.uint32), size)
+        per = np.array([len(r) for r in rows])
+        row = np.repeat(np.arange(len(rows)), per)
+        before = np.cumsum(size) - size
+        before -= before[np.repeat(np.cumsum(per) - per, per)]  # ids of the row before each segment
+        at = np.repeat(row * length + before, size) + inside
+        ids, positions = np.full((len(rows), length), pad_id, "<u4"), np.zeros((len(rows), length), "<u4")
+        ids.reshape(-1)[at], positions.reshape(-1)[at] = stream, inside
+        # Each row's cumulative lengths: 0 and the end of every segment.
+        ends = np.insert((before + size).astype("<u4"), np.cumsum(per) - per, 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
+        columns = [
+            pa.array(np.arange(first, first + len(rows)), pa.int64()),
+            binary_rows(ids, np.full(len(rows), 4 * length)),
+            binary_rows(ends, 4 * (per + 1)),
+            binary_rows(positions, np.full(len(rows), 4 * length)),
+            pa.ListArray.from_arrays(offsets, keys.take(pa.array(order))),
+            pa.ListArray.from_arrays(offsets, pa.array(starts[order], pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["row_id", "input_ids", "cu_seqlens", "position_ids", "keys", "starts"])
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"row_id long, input_ids binary, cu_seqlens binary, position_ids binary, keys array<{kind}>, starts array<long>"
