@@ -1,11 +1,11 @@
-"""Entry points, categories and importance of files, as Column expressions."""
+"""Entry points, categories and importance of files, as Column expressions; the join of files and console scripts."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.functions.paths import basename, is_test_path, parts
@@ -43,15 +43,54 @@ BY_PATH = [
 WEB_ROOTS, DATA_ROOTS = ["fastapi", "flask", "starlette"], ["sqlalchemy", "django", "tortoise", "peewee"]
 
 
+#: Characters of a script's end that it and a file's name meet by.
+TAIL = 16
+
+
+def _dotted(path: Column) -> Column:
+    return F.regexp_replace(F.replace(path, F.lit("/"), F.lit(".")), r"\.py$", "")
+
+
+def _by_module(path: Column, target: Column) -> Column:
+    return F.endswith(target, _dotted(path)) | F.endswith(_dotted(path), F.replace(target, F.lit(":"), F.lit(".")))
+
+
+def _script_files(target: Column) -> list[Column]:
+    """Ends of the paths that a script may mean."""
+    file = F.replace(F.element_at(F.split(target, ":"), 1), F.lit("."), F.lit("/"))
+    return [F.concat(file, F.lit(".py")), F.concat(file, F.lit("/__init__.py"))]
+
+
+def _by_path(path: Column, target: Column) -> Column:
+    return reduce(or_, (F.endswith(path, end) for end in _script_files(target)))
+
+
+def script_targets(files: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(analysis_id, path, target): the least script that refers to a file, of files (analysis_id, path) and scripts (analysis_id, scripts).
+
+    No file meets all scripts: a script's last `TAIL` characters (all, if fewer) are the key of an equi-join with ends of
+    paths and modules that are as long, and every end of a script is looked up among whole modules; the rule then decides.
+    """
+    each = scripts.select("analysis_id", F.explode("scripts").alias("target"))
+    target, module = F.col("target"), _dotted(F.col("path"))
+    made = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    tail = lambda c: F.right(c, F.lit(TAIL))
+    ends = F.transform(F.sequence(F.lit(0), F.length("target")), lambda n: made("whole", F.right(target, n)))
+    keys = F.concat(ends, F.array(made("module", tail(F.replace(target, F.lit(":"), F.lit(".")))), *(made("path", tail(end)) for end in _script_files(target))))
+    wanted = each.select("analysis_id", "target", F.explode(keys).alias("k")).select("analysis_id", "target", "k.*")
+    sizes = wanted.filter("kind <> 'whole'").groupBy("analysis_id").agg(F.collect_set(F.struct("kind", F.length("key").alias("size"))).alias("sizes"))
+    asked = F.transform("sizes", lambda s: F.struct(s.kind.alias("kind"), F.right(F.when(s.kind == "module", module).otherwise(F.col("path")), s.size).alias("key")))
+    named = files.select("analysis_id", "path").join(sizes, "analysis_id")
+    named = named.select("analysis_id", "path", F.explode(F.array_union(F.array(made("whole", module)), asked)).alias("k")).select("analysis_id", "path", "k.*")
+    met = named.join(wanted, ["analysis_id", "kind", "key"]).filter(_by_module(F.col("path"), target) | _by_path(F.col("path"), target))
+    return met.groupBy("analysis_id", "path").agg(F.min("target").alias("target"))
+
+
 def entry_reasons(path: Column, has_main: Column, hints: Column, symbol_names: Column, scripts: Column) -> Column:
     """Ordered distinct reasons; of several matching scripts the least one is reported."""
     name = basename(path)
-    module = F.regexp_replace(F.replace(path, F.lit("/"), F.lit(".")), r"\.py$", "")
-    by_module = lambda t: F.endswith(t, module) | F.endswith(module, F.replace(t, F.lit(":"), F.lit(".")))
-    file_of = lambda t: F.replace(F.element_at(F.split(t, ":"), 1), F.lit("."), F.lit("/"))
-    by_path = lambda t: F.endswith(path, F.concat(file_of(t), F.lit(".py"))) | F.endswith(path, F.concat(file_of(t), F.lit("/__init__.py")))
-    target = F.get(F.filter(F.array_sort(scripts), lambda t: by_module(t) | by_path(t)), 0)
-    script = F.when(by_module(target), F.concat(F.lit("Referenced by console script target ("), target, F.lit(")"))).when(target.isNotNull(), F.concat(F.lit("Referenced by console script ("), target, F.lit(")")))
+    target = F.get(F.filter(F.array_sort(scripts), lambda t: _by_module(path, t) | _by_path(path, t)), 0)
+    script = F.when(_by_module(path, target), F.concat(F.lit("Referenced by console script target ("), target, F.lit(")"))).when(target.isNotNull(), F.concat(F.lit("Referenced by console script ("), target, F.lit(")")))
     labels = F.transform(hints, lambda h: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in HINT_LABELS.items() for x in kv)), h), h))
     own = F.array(F.when(name.isin(ENTRY_NAMES), F.concat(F.lit("Filename matches common entry-point pattern ("), name, F.lit(")"))), F.when(has_main, MAIN_REASON))
     notable = F.transform(F.filter(symbol_names, lambda s: s.isin(NOTABLE)), lambda s: F.concat(F.lit("Defines notable symbol `"), s, F.lit("`")))

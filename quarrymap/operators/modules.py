@@ -41,7 +41,7 @@ def packages(source_path: Column, level: Column) -> tuple[Column, Column, Column
 def candidates(imports: DataFrame) -> DataFrame:
     """Imports with the targets to look up first: the statement's own module, or each name of `from . import`.
 
-    below: (module, names) of the submodules that a `from` import may mean if its own module has no target.
+    below: whether it is a `from` import that may mean submodules if its own module has no target.
     reason: set if nothing is looked up.
     """
     level, module, names = F.coalesce(F.col("level"), F.lit(0)), F.coalesce(F.col("module"), F.lit("")), F.col("names")
@@ -49,10 +49,9 @@ def candidates(imports: DataFrame) -> DataFrame:
     made = lambda m, n: F.struct(m.alias("module"), n.alias("names"))
     joined = lambda head, tail: F.array_join(F.concat(head, F.array(tail)), ".")
     siblings = F.transform(names, lambda n: made(joined(package, n), F.array(n)))
-    below = F.transform(names, lambda n: made(F.when(module != "", F.concat(module, F.lit("."), n)).otherwise(n), F.array(n)))
     reason = F.when((level > 0) & own.isNull(), NO_SOURCE_MODULE).when((level > 0) & too_high, LEVEL_TOO_HIGH)
     tries = F.when(reason.isNotNull() | (level == 0), F.array(made(module, names))).when(module != "", F.array(made(joined(package, module), names))).otherwise(siblings)
-    below = F.when((level == 0) & F.col("is_from"), below).otherwise(F.array().cast("array<struct<module:string,names:array<string>>>"))
+    below = (level == 0) & F.col("is_from")
     rows = imports.select("analysis_id", "source_path", "nth", "line_number", reason.alias("reason"), below.alias("below"), F.posexplode(tries).alias("try", "t"))
     return rows.select("analysis_id", "source_path", "nth", "line_number", "reason", "below", "try", "t.*")
 
@@ -66,10 +65,11 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     known = modules.withColumnRenamed("path", "target_path")
     looked = candidates(imports).withColumn("sought", F.when(F.col("reason").isNull(), F.col("module")))
     looked = looked.join(known.withColumnRenamed("module", "sought"), ["analysis_id", "sought"], "left").drop("sought")
-    again = F.col("target_path").isNull() & (F.size("below") > 0)
+    again = F.col("target_path").isNull() & F.coalesce(F.col("below"), F.lit(False)) & (F.size("names") > 0)
+    submodule = lambda n: F.struct(F.when(F.col("module") != "", F.concat("module", F.lit("."), n)).otherwise(n).alias("module"), F.array(n).alias("names"))
     columns = ["analysis_id", "source_path", "nth", "try", "module", "names", "line_number", "target_path", "reason"]
     key = ["analysis_id", "source_path", "nth"]
-    named = looked.filter(again).select(*key, "line_number", "reason", F.struct("module", "names").alias("whole"), F.posexplode("below").alias("at", "b"))
+    named = looked.filter(again).select(*key, "line_number", "reason", F.struct("module", "names").alias("whole"), F.posexplode(F.transform("names", submodule)).alias("at", "b"))
     named = named.select("*", F.col("b.module").alias("below_module")).join(known.withColumnRenamed("module", "below_module"), ["analysis_id", "below_module"], "left")
     hit = F.when(F.col("target_path").isNotNull(), F.struct((F.col("at") + 1).alias("try"), F.col("b.module").alias("module"), F.col("b.names").alias("names"), "target_path"))
     tried = named.groupBy(*key).agg(F.collect_list(hit).alias("hits"), F.any_value("line_number").alias("line_number"), F.any_value("reason").alias("reason"), F.any_value("whole").alias("whole"))

@@ -55,7 +55,6 @@ def run_archives(archives: DataFrame, target: str, config: Config = Config()) ->
             written(reached(alive, stage), target)
             for name in tables:
                 save_partitioned(getattr(bundle, name), f"{target}/{name}")
-        bundle.parsed.unpersist()
         written(reached(alive, "complete"), target)
     except Exception:
         last = spark.read.schema(status.EVENT).parquet(f"{target}/events").join(alive, "analysis_id", "left_semi")

@@ -23,7 +23,6 @@ def analyze_arrivals(stream: DataFrame, target: str, checkpoint: str, config: Co
         bundle = analyze(batch, config)
         for name in ("files", "edges", "chunks"):
             save_partitioned(getattr(bundle, name), f"{target}/{name}")
-        bundle.parsed.unpersist()
 
     writer = stream.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
