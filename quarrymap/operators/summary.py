@@ -60,9 +60,10 @@ def starter_questions(categories: Column) -> Column:
 def structural_facts(statistics_row: DataFrame, files: DataFrame) -> DataFrame:
     """(analysis_id, facts): formatted counts, entry points and the eight most important files."""
     listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", "), F.lit("]"))
-    gather = lambda df, n: ranked(df).groupBy("analysis_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "path")))), lambda x: x.path).alias("paths"))
-    entries = gather(files.filter("is_entry_point"), 1 << 30).withColumnRenamed("paths", "entries")
-    tops = gather(files.filter(~F.col("is_test")), 8).withColumnRenamed("paths", "tops")
+    order = F.struct((-F.col("importance_score")).alias("down"), "path")
+    gather = lambda df, name: df.groupBy("analysis_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.path).alias(name))
+    entries = gather(files.filter("is_entry_point"), "entries")
+    tops = gather(important_files(files, 8), "tops")
     none = F.array().cast("array<string>")
     joined = statistics_row.join(entries, "analysis_id", "left").join(tops, "analysis_id", "left")
     facts = F.array(
