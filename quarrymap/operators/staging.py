@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: `df` as a fresh table in the shared folder, so that what reads it twice reads the same rows."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@ files by their lines, so that twins can say what parsing, resolution, classifica
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.config import Config
@@ -35,25 +37,26 @@ BLOCKS = [
 ]
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, n, statement): the import lines of every file, in order."""
-    leaf, own = F.regexp_extract("target_path", r"(m\d+)\.py$", 1), F.regexp_extract("source_path", r"(m\d+)\.py$", 1)
-    dotted = F.translate(F.regexp_replace("target_path", r"^src/|\.py$", ""), "/", ".")
+def statement(n: Column) -> Column:
+    """The import line of an edge (imported_module, line_number, target_path) of the file `path`."""
+    leaf, own = F.regexp_extract(n.target_path, r"(m\d+)\.py$", 1), F.regexp_extract("path", r"(m\d+)\.py$", 1)
+    dotted = F.translate(F.regexp_replace(n.target_path, r"^src/|\.py$", ""), "/", ".")
     package = F.regexp_replace(dotted, r"\.m\d+$", "")
-    kind = (F.col("imported_module").cast("long") + F.col("line_number")) % 9
+    kind = (n.imported_module.cast("long") + n.line_number) % 9
     outside = F.element_at(F.array(F.lit("sqlalchemy"), F.lit("fastapi"), F.concat(F.lit("ext_"), leaf), F.lit("os")), (F.length(leaf) % 4 + 1).cast("int"))
     made = [
         F.concat(F.lit("import "), dotted), F.concat(F.lit("import "), dotted, F.lit(" as alias")), F.concat(F.lit("from "), dotted, F.lit(" import thing")),
         F.concat(F.lit("from "), package, F.lit(" import "), leaf, F.lit(", nothing")), F.concat(F.lit("from "), package, F.lit(" import gone")), F.concat(F.lit("from ..."), dotted, F.lit(" import thing")),
         F.concat(F.lit("from ...."), leaf, F.lit(" import far")), F.concat(F.lit("from . import "), own, F.lit(", missing")), F.concat(F.lit("import "), outside, F.lit(".sub")),
     ]
-    text = F.element_at(F.array(*made), (kind + 1).cast("int"))
-    return syn.edges(spark, sf_dir).select(F.col("source_path").alias("path"), F.struct("imported_module", "line_number", "target_path").alias("n"), text.alias("statement"))
+    return reduce(lambda found, i: found.when(kind == i, made[i]), range(len(made)), F)  # only the kind that is asked for is made
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW_FILES of the rendered repository."""
-    lines = statements(spark, sf_dir).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "statement"))), lambda x: x.statement).alias("statements"))
+    # Edges are gathered, not the longer lines that they make.
+    edges = syn.edges(spark, sf_dir).groupBy(F.col("source_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("imported_module", "line_number", "target_path"))).alias("n"))
+    lines = edges.select("path", F.transform("n", statement).alias("statements"))
     parts = syn.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_name", syn.part_path().alias("path")).join(lines, "path", "left")
     none = F.array().cast("array<string>")
     number = F.col("part").cast("string")
